@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiltmeter.llm import prefix_bpe
+from tiltmeter.llm import itq_dedup, minhash_hamming, prefix_bpe, temperature_mix, warc_salvage
+from tiltmeter.llm.shared import new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,19 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op2_itq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op6_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = temperature_mix.mix(table(spark, sf_dir, "documents"))
+    return drawn.select("doc_id", "source", "mix_tokens", "mix_pass", "mix_block", "mix_order", "mix_weight")
+
+
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_hamming.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = prefix_bpe.encode_documents(table(spark, sf_dir, "documents"), piece_model())
     return coded.select(
@@ -28,8 +42,23 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc_salvage.write_archives(table(spark, sf_dir, "pages"), path)
+    read = warc_salvage.read_archives(spark, path).where("kind = 'record'")
+    page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
+    whole = F.col("warc_type") == "response"
+    return read.select(
+        page("record_id").alias("page_id"),
+        F.when(whole, F.octet_length("payload").cast("long")).otherwise(F.col("http_length")).alias("payload_bytes"),
+        F.when(whole, warc_salvage.base32_of_hex(F.sha1("payload"))).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        F.col("warc_type").alias("record_type"),
+        page("refers_to").alias("refers_to"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_sentencepiece": op8_sentencepiece}
+    return {f.__name__: f for f in (op2_itq_near_dedup, op6_temperature_mix, op7_minhash_near_dedup, op8_sentencepiece, op10_warc_salvage)}
 
 
 def oracle_sql() -> dict[str, str]:
