@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiltmeter.llm import itq_dedup, minhash_hamming, prefix_bpe, temperature_mix, warc_salvage
+from tiltmeter.llm import itq_dedup, label_sharding, minhash_hamming, prefix_bpe, temperature_mix, warc_salvage
 from tiltmeter.llm.shared import new_path
 
 
@@ -26,6 +26,14 @@ def op2_itq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op3_label_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = label_sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op6_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = temperature_mix.mix(table(spark, sf_dir, "documents"))
     return drawn.select("doc_id", "source", "mix_tokens", "mix_pass", "mix_block", "mix_order", "mix_weight")
@@ -58,7 +66,7 @@ def op10_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_itq_near_dedup, op6_temperature_mix, op7_minhash_near_dedup, op8_sentencepiece, op10_warc_salvage)}
+    return {f.__name__: f for f in (op2_itq_near_dedup, op3_label_sharding, op6_temperature_mix, op7_minhash_near_dedup, op8_sentencepiece, op10_warc_salvage)}
 
 
 def oracle_sql() -> dict[str, str]:
