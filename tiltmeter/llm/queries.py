@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiltmeter.llm import itq_dedup, label_sharding, minhash_hamming, prefix_bpe, temperature_mix, warc_salvage
+from tiltmeter.llm import itq_dedup, label_sharding, minhash_hamming, order_minhash, prefix_bpe, temperature_mix, warc_salvage
 from tiltmeter.llm.shared import new_path
 
 
@@ -22,6 +22,10 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op2_itq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -66,7 +70,7 @@ def op10_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_itq_near_dedup, op3_label_sharding, op6_temperature_mix, op7_minhash_near_dedup, op8_sentencepiece, op10_warc_salvage)}
+    return {f.__name__: f for f in (op1_order_minhash, op2_itq_near_dedup, op3_label_sharding, op6_temperature_mix, op7_minhash_near_dedup, op8_sentencepiece, op10_warc_salvage)}
 
 
 def oracle_sql() -> dict[str, str]:
