@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiltmeter.llm import itq_dedup, label_sharding, minhash_hamming, nbsvm_quality, order_minhash, prefix_bpe, temperature_mix, warc_salvage
+from tiltmeter.llm import itq_dedup, label_sharding, minhash_hamming, nbsvm_quality, order_minhash, prefix_bpe, temperature_mix, toxic_segments, warc_salvage
 from tiltmeter.llm.shared import new_path
 
 
@@ -58,6 +58,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic_segments.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc_salvage.write_archives(table(spark, sf_dir, "pages"), path)
@@ -74,7 +78,7 @@ def op10_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_order_minhash, op2_itq_near_dedup, op3_label_sharding, op4_nbsvm_quality, op6_temperature_mix, op7_minhash_near_dedup, op8_sentencepiece, op10_warc_salvage)}
+    return {f.__name__: f for f in (op1_order_minhash, op2_itq_near_dedup, op3_label_sharding, op4_nbsvm_quality, op6_temperature_mix, op7_minhash_near_dedup, op8_sentencepiece, op9_toxic_segments, op10_warc_salvage)}
 
 
 def oracle_sql() -> dict[str, str]:
