@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiltmeter.llm import itq_dedup, label_sharding, minhash_hamming, nbsvm_quality, order_minhash, prefix_bpe, temperature_mix, toxic_segments, warc_salvage
+from tiltmeter.llm import itq_dedup, label_sharding, license_scan, minhash_hamming, nbsvm_quality, order_minhash, prefix_bpe, temperature_mix, toxic_segments, warc_salvage
 from tiltmeter.llm.shared import new_path
 
 
@@ -42,6 +42,10 @@ def op4_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbsvm_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op6_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = temperature_mix.mix(table(spark, sf_dir, "documents"))
     return drawn.select("doc_id", "source", "mix_tokens", "mix_pass", "mix_block", "mix_order", "mix_weight")
@@ -78,7 +82,7 @@ def op10_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_order_minhash, op2_itq_near_dedup, op3_label_sharding, op4_nbsvm_quality, op6_temperature_mix, op7_minhash_near_dedup, op8_sentencepiece, op9_toxic_segments, op10_warc_salvage)}
+    return {f.__name__: f for f in (op1_order_minhash, op2_itq_near_dedup, op3_label_sharding, op4_nbsvm_quality, op5_license_scan, op6_temperature_mix, op7_minhash_near_dedup, op8_sentencepiece, op9_toxic_segments, op10_warc_salvage)}
 
 
 def oracle_sql() -> dict[str, str]:
