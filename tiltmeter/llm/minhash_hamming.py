@@ -101,25 +101,21 @@ def signature(words: list[bytes], k: int, hashes: dict[bytes, int]) -> tuple[int
 def signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     """``id``, ``n_shingles``, ``words_key`` (equal for equal word sequences) and the packed chunks."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("n_shingles long, words_key string, " + ", ".join(f"{c} long" for c in LANES))
+    def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         hashes = _WordHashes()
-        for batch in batches:
+        for texts in batches:
             sizes, keys, packed = [], [], []
-            for text in batch["text"]:
+            for text in texts:
                 words = words_of(text)
                 n, lanes = signature(words, k, hashes) if words else (0, [0] * CHUNKS)
                 sizes.append(n)
                 keys.append(hashlib.blake2b(b" ".join(words), digest_size=16).hexdigest())
                 packed.append(lanes)
-            lanes = np.array(packed, dtype=np.int64).reshape(len(batch), CHUNKS)
-            yield pd.DataFrame(
-                {"id": batch["id"], "n_shingles": sizes, "words_key": keys}
-                | {c: lanes[:, j] for j, c in enumerate(LANES)}
-            )
+            lanes = np.array(packed, dtype=np.int64).reshape(len(texts), CHUNKS)
+            yield pd.DataFrame({"n_shingles": sizes, "words_key": keys} | {c: lanes[:, j] for j, c in enumerate(LANES)})
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, n_shingles long, words_key string, " + ", ".join(f"{c} long" for c in LANES)
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+    return docs.select(F.col(id_col).alias("id"), sign(F.col(text_col)).alias("s")).select("id", "s.*")
 
 
 def chunk_keys() -> list[Column]:

@@ -13,7 +13,8 @@ and broadcast (``SPACE`` numbers); every text is scored where it lies.
 
 Defined results: a null or empty text has no features and gets the score of the offset alone; repeated
 rows are scored each; a null id is not held out; without labels of both classes every score is the
-share of label 1 (0.5 without labels); other columns are ignored.
+share of label 1 (0.5 without labels); other columns are kept as they are, but ``held_out``, ``score``
+and ``predicted`` are replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiltmeter.llm.labelled import calibrated, class_weights, fold, labelled_sample, sigmoid
@@ -167,32 +168,27 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_co
     return Model([np.frombuffer(r["found"], dtype=np.int32) for r in got], y, counts)
 
 
-def score_documents(docs: DataFrame, model: Model, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
-    """The kept columns of each row with its ``score``."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+def score_column(spark: SparkSession, model: Model, text: Column) -> Column:
+    """The score of a text column."""
+    held = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known, model = _Words(), held.value
-        for batch in batches:
-            texts = batch.pop("__text")
-            yield batch.assign(score=[model.score(features(t or "", known)) for t in texts])
+        for texts in batches:
+            yield pd.Series([model.score(features(t or "", known)) for t in texts], dtype=float)
 
-    chosen = docs.select(*keep, F.col(text_col).alias("__text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name != "__text")
-    return chosen.mapInPandas(run, f"{kept}, score double")
+    return score(text)
 
 
 def classify(
     docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text",
-    folds: int = 5, held_out: int = 0, keep: list[str] | None = None,
+    folds: int = 5, held_out: int = 0,
 ) -> DataFrame:
-    """The kept columns (the id) with ``held_out``, ``score`` and ``predicted`` for each row of ``docs``."""
-    keep = [id_col] if keep is None else keep
+    """``docs`` with ``held_out``, ``score`` and ``predicted``."""
     model = fit(docs, labels, label_col, id_col, text_col, folds, held_out)
-    scored = score_documents(docs, model, id_col, text_col, keep)
-    return scored.select(
-        *keep,
-        F.coalesce(fold(id_col, folds) == held_out, F.lit(False)).alias("held_out"),
-        "score",
-        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
+    return (
+        docs.withColumn("held_out", F.coalesce(fold(id_col, folds) == held_out, F.lit(False)))
+        .withColumn("score", score_column(docs.sparkSession, model, F.col(text_col)))
+        .withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
     )

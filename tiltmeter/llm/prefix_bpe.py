@@ -10,7 +10,7 @@ The vocabulary is read on the driver and broadcast (its size is that of the mode
 encoded where they lie, in batches of the scan; nothing is shuffled.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; repeated rows are
-encoded each; other columns are kept out of the result except the ones asked for.
+encoded each; other columns are kept as they are, but those named as the results are replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from functools import lru_cache
 import ahocorasick
 import pandas as pd
 import sentencepiece
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACE = "▁"
@@ -300,23 +300,25 @@ class _Held:
         return self.name == other.name
 
 
-def encode_documents(
-    docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None
-) -> DataFrame:
-    """One row per row of ``docs``: the kept columns, ``ids`` (decimal, joined by commas), ``n_tokens``, ``decoded``."""
-    keep = [id_col] if keep is None else keep
+def coded_column(spark: SparkSession, model_path: str, text: Column) -> Column:
+    """A struct for each text: ``ids`` (decimal, joined by commas), ``n_tokens``, ``decoded``."""
     vocabulary = read_vocabulary(model_path)
     name = hashlib.sha256(repr(sorted(vocabulary["rank"].items())).encode()).hexdigest()
-    held = _Held(name, docs.sparkSession.sparkContext.broadcast(vocabulary))
+    held = _Held(name, spark.sparkContext.broadcast(vocabulary))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("ids string, n_tokens long, decoded string")
+    def code(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         coder = _coder_of(name, held)
-        for batch in batches:
-            done = [coder.encode_decode(t) for t in batch.pop("__text")]
-            yield batch.assign(
-                ids=[d[0] for d in done], n_tokens=[d[1] for d in done], decoded=[d[2] for d in done]
-            )
-
-    chosen = docs.select(*keep, F.col(text_col).alias("__text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name != "__text")
-    return chosen.mapInPandas(run, f"{kept}, ids string, n_tokens long, decoded string")
+        for texts in batches:
+            done = [coder.encode_decode(t) for t in texts]
+            yield pd.DataFrame(done, columns=["ids", "n_tokens", "decoded"])
+
+    return code(text)
+
+
+def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``ids``, ``n_tokens`` and ``decoded``."""
+    coded = docs.withColumn("__coded", coded_column(docs.sparkSession, model_path, F.col(text_col)))
+    for field in ("ids", "n_tokens", "decoded"):
+        coded = coded.withColumn(field, F.col(f"__coded.{field}"))
+    return coded.drop("__coded")

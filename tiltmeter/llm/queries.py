@@ -39,7 +39,8 @@ def op3_label_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nbsvm_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    judged = nbsvm_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "held_out", "score", "predicted")
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +64,8 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxic_segments.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    judged = toxic_segments.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "held_out", "score", "predicted", "n_passages", "worst")
 
 
 def op10_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,8 @@ summed in Spark, and what passes the evidence limits is broadcast. Texts are sca
 
 Defined results: a null or empty text has no segments and gets the score of the offset alone; repeated
 rows are scored each; a null id is not held out; without labels of both classes no token is toxic and
-every score is the share of label 1 (0.5 without labels); other columns are ignored.
+every score is the share of label 1 (0.5 without labels); other columns are kept as they are, but
+those named as the results are replaced.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiltmeter.llm.labelled import calibrated, class_weights, fold, labelled_sample, sigmoid
@@ -35,7 +36,7 @@ from tiltmeter.llm.shared import stored
 TOKEN = re.compile(r"[^\W\d_]+")
 SHORTEST, LONGEST = 3, 8
 #: Weight of a prior in documents, least toxic documents, and least log-odds in standard errors of a lexicon entry.
-PRIOR, LEAST_TEXTS, ERRORS = 2.0, 4, 3.0
+PRIOR, LEAST_TEXTS, ERRORS = 2.0, 5, 4.0
 BACKGROUND = -0.6
 SIGNIFICANT, THRESHOLD, WORD_CACHE = 0.05, 0.3, 400_000
 
@@ -226,16 +227,17 @@ def _dense(n: int, at: bytes, values: bytes) -> np.ndarray:
     return scores
 
 
-def score_documents(docs: DataFrame, model: Model, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
-    """The kept columns with ``score``, ``n_passages`` and ``worst`` (the segment with the least expectation, as words)."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+def judged_column(spark: SparkSession, model: Model, text: Column) -> Column:
+    """A struct for each text: ``score``, ``n_passages`` and ``worst`` (the least expected segment, as words)."""
+    held = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("score double, n_passages int, worst string")
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = held.value
         scorer = Scorer(model.lexicon)
-        for batch in batches:
+        for texts in batches:
             score, count, worst = [], [], []
-            for text in batch.pop("__text"):
+            for text in texts:
                 words = TOKEN.findall(text or "")
                 values = np.array([scorer[w] for w in words], dtype=float)
                 found = model.passages(values) if (values > 0).any() else []
@@ -243,25 +245,23 @@ def score_documents(docs: DataFrame, model: Model, id_col: str, text_col: str, k
                 count.append(len(found))
                 top = min(found, key=lambda f: f[3], default=None)
                 worst.append(" ".join(words[top[0] : top[1]]) if top else None)
-            yield batch.assign(score=score, n_passages=count, worst=worst)
+            yield pd.DataFrame({"score": score, "n_passages": count, "worst": worst})
 
-    chosen = docs.select(*keep, F.col(text_col).alias("__text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name != "__text")
-    return chosen.mapInPandas(run, f"{kept}, score double, n_passages int, worst string")
+    return judge(text)
 
 
 def classify(
     docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
-    folds: int = 4, held_out: int = 2, keep: list[str] | None = None,
+    folds: int = 4, held_out: int = 2,
 ) -> DataFrame:
-    """The kept columns (the id) with ``held_out``, ``score``, ``predicted``, ``n_passages`` and ``worst``."""
-    keep = [id_col] if keep is None else keep
+    """``docs`` with ``held_out``, ``score``, ``predicted``, ``n_passages`` and ``worst``."""
     model = fit(docs, labels, label_col, id_col, text_col, folds, held_out)
-    return score_documents(docs, model, id_col, text_col, keep).select(
-        *keep,
-        F.coalesce(fold(id_col, folds) == held_out, F.lit(False)).alias("held_out"),
-        "score",
-        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
-        "n_passages",
-        "worst",
+    return (
+        docs.withColumn("held_out", F.coalesce(fold(id_col, folds) == held_out, F.lit(False)))
+        .withColumn("__judged", judged_column(docs.sparkSession, model, F.col(text_col)))
+        .withColumn("score", F.col("__judged.score"))
+        .withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+        .withColumn("n_passages", F.col("__judged.n_passages"))
+        .withColumn("worst", F.col("__judged.worst"))
+        .drop("__judged")
     )
