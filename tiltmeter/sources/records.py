@@ -14,12 +14,17 @@ from tiltmeter.operators.pool import DOMAINS
 
 ITEM_FIELDS = ("id", "domain", "question", "correct", "wrong", "notes")
 ITEM = T.StructType([T.StructField(c, T.StringType()) for c in ITEM_FIELDS])
-BLOCKS = "array<struct<label:string,text:string>>"
-#: One line of the judgment log.
-JUDGMENT = T.StructType.fromDDL(
-    "item_id string, axis string, condition string, judge_id string, rep int, temperature double, prompt_template string, "
-    f"preferred string, blocks {BLOCKS}, extra_instruction string, raw string, verdict string, is_correct boolean, "
-    "latency_ms double, model_version string, error string, key string"
+BLOCKS = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("label", "text")]))
+_KINDS = {"rep": T.IntegerType(), "temperature": T.DoubleType(), "blocks": BLOCKS, "is_correct": T.BooleanType(), "latency_ms": T.DoubleType()}
+#: One line of the judgment log; fields without another kind are strings.
+JUDGMENT = T.StructType(
+    [
+        T.StructField(c, _KINDS.get(c, T.StringType()))
+        for c in (
+            "item_id", "axis", "condition", "judge_id", "rep", "temperature", "prompt_template", "preferred", "blocks",
+            "extra_instruction", "raw", "verdict", "is_correct", "latency_ms", "model_version", "error", "key",
+        )
+    ]
 )
 
 
