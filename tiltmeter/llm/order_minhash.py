@@ -19,6 +19,8 @@ have equal fingerprints; other columns are ignored. For neighbours, rows are ord
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,32 +48,34 @@ def with_fingerprint(df: DataFrame, text: Column, name: str) -> DataFrame:
     packed = lambda i: F.shiftleft(F.shiftrightunsigned(kmer(i), 32), PLACE_BITS).bitwiseOR(i.cast("long"))
     df = fixed(df, "__s", F.sort_array(F.transform(F.sequence(F.lit(0), last), packed)))
     hash_of = lambda x: F.shiftright(x, PLACE_BITS)
-    # where each run of equal k-mers starts, how long it is, and so the occurrence of each of its k-mers
-    starts = F.filter(
-        F.sequence(F.lit(0), F.size("__s") - 1),
-        lambda i: (i == 0) | (hash_of(F.get("__s", i)) != hash_of(F.get("__s", F.greatest(i - 1, F.lit(0))))),
+    # sorted by k-mer and place: an element whose upper bits are those of the one before repeats a k-mer
+    new = lambda array: lambda x, i: F.coalesce(x.bitwiseXOR(F.get(array, i - 1)) > PLACE, F.lit(True))
+    df = fixed(df, "__u", F.filter("__s", new("__s")))
+    nothing = F.array().cast("array<bigint>")
+    df = fixed(
+        df, "__d", F.when(F.size("__u") == F.size("__s"), nothing).otherwise(F.filter("__s", lambda x, i: ~new("__s")(x, i)))
     )
-    df = fixed(df, "__r", starts)
+    # where each run of repeats starts; from it and the next start the occurrences of the run, counted from 1
+    every = F.when(F.size("__d") > 0, F.sequence(F.lit(0), F.size("__d") - 1)).otherwise(F.array().cast("array<int>"))
+    df = fixed(df, "__r", F.filter(every, lambda i: new("__d")(F.get("__d", i), i)))
     seen = F.flatten(
-        F.transform("__r", lambda at, i: F.sequence(F.lit(0), F.coalesce(F.get("__r", i + 1), F.size("__s")) - at - 1))
+        F.transform("__r", lambda at, i: F.sequence(F.lit(1), F.coalesce(F.get("__r", i + 1), F.size("__d")) - at))
     )
-    numbered = F.zip_with(
-        "__s", seen,
-        lambda x, o: F.shiftleft(F.shiftrightunsigned(F.xxhash64(hash_of(x), o), 32), PLACE_BITS).bitwiseOR(
-            x.bitwiseAND(F.lit(PLACE))
-        ),
+    numbered = lambda x, o: F.shiftleft(F.shiftrightunsigned(F.xxhash64(hash_of(x), o), 32), PLACE_BITS).bitwiseOR(
+        x.bitwiseAND(F.lit(PLACE))
     )
-    df = fixed(df, "__n", F.sort_array(numbered))
+    once = F.transform("__u", lambda x: numbered(x, F.lit(0)))
+    again = F.when(F.size("__d") > 0, F.zip_with("__d", seen, numbered)).otherwise(nothing)
+    df = fixed(df, "__n", F.sort_array(F.concat(once, again)))
     cell_of = lambda x: F.shiftright(x, PLACE_BITS + 32 - CELL_BITS).cast("int")
-    least = F.filter("__n", lambda x, i: (i == 0) | (cell_of(x) != cell_of(F.get("__n", F.greatest(i - 1, F.lit(0))))))
+    low_bits = (1 << (PLACE_BITS + 32 - CELL_BITS)) - 1
+    least = F.filter("__n", lambda x, i: F.coalesce(x.bitwiseXOR(F.get("__n", i - 1)) > low_bits, F.lit(True)))
     df = fixed(df, "__c", least)
-    next_filled = lambda c: F.coalesce(
-        F.get(F.filter("__c", lambda x: cell_of(x) >= c), F.lit(0)), F.get("__c", F.lit(0))
-    )
-    df = fixed(
-        df, "__f",
-        F.when(F.size("__c") == CELLS, F.col("__c")).otherwise(F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), next_filled)),
-    )
+    # an empty cell takes over the next filled one's, the cells after the last one the first one's
+    reach = lambda x, i: cell_of(x) - F.coalesce(cell_of(F.get("__c", i - 1)), F.lit(-1))
+    filled = F.flatten(F.transform("__c", lambda x, i: F.array_repeat(x, reach(x, i))))
+    beyond = F.array_repeat(F.get("__c", F.lit(0)), F.lit(CELLS - 1) - cell_of(F.element_at("__c", -1)))
+    df = fixed(df, "__f", F.when(F.size("__c") == CELLS, F.col("__c")).otherwise(F.concat(filled, beyond)))
 
     def tuple_hash(t: Column) -> Column:
         chosen = [F.get("__f", t * LENGTH + j) for j in range(LENGTH)]
@@ -93,35 +97,34 @@ def likeness(a: Column, b: Column) -> Column:
     return F.size(same) / F.lit(float(TUPLES))
 
 
-def with_next(df: DataFrame, id_col: str, carried: dict[str, str], order: list[str]) -> DataFrame:
-    """``df`` with columns of the next row by descending id; the last row's next one is the first.
+def with_next(
+    df: DataFrame, id_col: str, prepare: Callable[[DataFrame], DataFrame], carried: dict[str, str], order: list[str]
+) -> DataFrame:
+    """``prepare(df)`` with columns of the next row by descending id; the last row's next one is the first.
 
     Rows are dealt to ranges of ids of about equal numbers, each followed by a copy of the first row
     of the next range. ``carried`` names the columns of the next row; ``order`` breaks ties of ids.
+    ``prepare`` sees every row once (and those copies), before the rows are dealt.
     """
     spark = df.sparkSession
     wanted = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = df.select(F.col(id_col).alias("id"))
     shares = [i / wanted for i in range(1, wanted)]
-    cuts = ids.agg(F.percentile_approx("id", shares, 20 * wanted)).first()[0] or []
-    cuts = sorted(set(cuts))
+    cuts = sorted(set(df.agg(F.percentile_approx(id_col, shares, 20 * wanted)).first()[0] or []))
     # ranges are numbered by descending id; nulls come last
     part = F.when(F.col(id_col).isNull(), len(cuts) + 1).otherwise(_place(F.col(id_col), cuts))
     dealt = df.withColumn("__part", part.cast("int"))
     firsts = dealt.groupBy("__part").agg(F.max(id_col).alias("first")).orderBy("__part").collect()  # one for each range
-    if not firsts:
-        return dealt.select(*df.columns, *[F.col(c).alias(n) for n, c in carried.items()])
     follows = [(firsts[(i + 1) % len(firsts)]["first"], r["__part"]) for i, r in enumerate(firsts)]
     heads = spark.createDataFrame(follows, f"__first {df.schema[id_col].dataType.simpleString()}, __before int")
     ghosts = df.join(F.broadcast(heads), F.col(id_col).eqNullSafe(F.col("__first"))).select(
         *df.columns, F.col("__before").alias("__part"), F.lit(1).alias("__ghost")
     )
-    both = dealt.withColumn("__ghost", F.lit(0)).unionByName(ghosts)
+    both = prepare(dealt.withColumn("__ghost", F.lit(0)).unionByName(ghosts))
     at = Window.partitionBy("__part").orderBy("__ghost", F.col(id_col).desc_nulls_last(), *order)
     return (
         both.select("*", *[F.lead(c).over(at).alias(n) for n, c in carried.items()])
         .where("__ghost = 0")
-        .select(*df.columns, *carried)
+        .drop("__ghost", "__part")
     )
 
 
@@ -144,8 +147,8 @@ def edited(text: Column, n_chars: Column, following: Column) -> Column:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprint of every text and of its edited form, and their likenesses; see the module."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    printed = with_fingerprint(rows, F.col("text"), "fingerprint")
-    paired = with_next(printed, "id", {"next_text": "text", "next_print": "fingerprint"}, ["text"])
+    printed = lambda df: with_fingerprint(df, F.col("text"), "fingerprint")
+    paired = with_next(rows, "id", printed, {"next_text": "text", "next_print": "fingerprint"}, ["text"])
     paired = paired.withColumn("n_chars", F.char_length("text").cast("long"))
     paired = fixed(paired, "edit", edited(F.col("text"), F.col("n_chars"), F.col("next_text"))).drop("text", "next_text")
     paired = paired.withColumn("edited_sha256", F.sha2("edit", 256))
