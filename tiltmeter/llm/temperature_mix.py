@@ -13,7 +13,7 @@ gathered in one task; the choice is then a plain filter on each document.
 
 Defined results: a null text has no tokens; null is a source of its own; sources without tokens get
 weight 0 and none of their rows; rows that repeat are drawn each; an empty table gives no rows. Other
-columns are kept.
+columns are kept whatever their names, but those that start with ``mix_``.
 """
 
 from __future__ import annotations
@@ -112,11 +112,12 @@ def mix(
     entropy_share: float | None = 0.95, max_repeats: float | None = 4.0, budget: int | None = None, seed: int = 11,
 ) -> DataFrame:
     """The drawn rows: all columns of ``docs`` with ``mix_tokens``, ``mix_pass``, ``mix_block``, ``mix_order``, ``mix_weight``."""
-    named = docs.withColumn("mix_tokens", tokens(F.col(text_col))).withColumn(
-        "__src", F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("-"))
-    )
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string")))
-    light = stored(named.select(F.col("__src"), key.alias("k"), F.col("mix_tokens").alias("t")), "mix-light")
+    named = docs.select(  # the row is carried as one struct, so that no name of its own can clash
+        F.struct(*docs.columns).alias("__row"), tokens(F.col(text_col)).alias("t"), key.alias("k"),
+        F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("-")).alias("__src"),
+    )
+    light = stored(named.select("__src", "k", "t"), "mix-light")
     sources = stored(
         quotas(
             light.groupBy(F.col("__src").alias("source")).agg(F.sum("t").alias("n_tokens"), F.count(F.lit(1)).alias("n_docs")),
@@ -147,13 +148,13 @@ def mix(
     )
     plan = stored(per_source.join(cuts, "__src", "left"), "mix-plan")
 
-    drawn = named.join(plan, "__src").withColumn("k", key).withColumn("block", block)
+    drawn = named.join(plan, "__src").withColumn("block", block)
     in_last = (F.col("rest") > 0) & ((turn < F.col("cut_turn")) | ((turn == F.col("cut_turn")) & (inner <= F.col("cut_inner"))))
     drawn = drawn.withColumn("n", F.col("passes") + F.when(F.coalesce(in_last, F.lit(False)), 1).otherwise(0)).where("n > 0")
     drawn = drawn.withColumn("mix_pass", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     order = F.md5(F.concat_ws("|", F.col("mix_pass").cast("string"), F.col("k")))
     turn_of = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("mix_pass").cast("string"), F.col("__src"), F.col("block").cast("string")))
     return drawn.select(
-        *docs.columns, "mix_tokens", "mix_pass", turn_of.alias("mix_block"), order.alias("mix_order"),
+        *[F.col("__row")[c].alias(c) for c in docs.columns if not c.startswith("mix_")], F.col("t").alias("mix_tokens"), "mix_pass", turn_of.alias("mix_block"), order.alias("mix_order"),
         F.col("weight").alias("mix_weight"),
     )
