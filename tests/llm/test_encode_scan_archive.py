@@ -79,7 +79,9 @@ def test_license_scan_equals_brute_force(spark, documents, prose, sf_dir):
     assert license_scan.scan_licenses(df.limit(0)).count() == 0
 
 
-def test_archives_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("bound", [2_000_000, 0])
+def test_archives_round_trip(spark, tmp_path, monkeypatch, bound):
+    monkeypatch.setattr(warc_salvage, "BROADCAST_REVISITS", bound)
     rows = [(1, "http://a b", "<p>x</p>"), (2, None, "<p>x</p>"), (3, "u", None), (4, "u", ""), (5, "u", "WARC/1.1\r\n\r\nodd\r\n\r\n"), (6, "u", "é" * 3000), (None, "u", "é" * 3000), (7, "u", "own"), (7, "u", "own")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("id", F.lit("x")).withColumn("sha", F.lit("y"))
     warc_salvage.write_archives(df, f"file://{tmp_path}/w")

@@ -3,7 +3,8 @@
 Documents start in a shard drawn from a hash of their id. In each round, every linked document looks
 at the shards of its neighbours and, if most of them are elsewhere, asks to move there. Requests from
 shard i to shard j are granted as far as they are matched by requests from j to i, plus what fits into
-the free room of j under the capacity; requests are taken in the order of a hash, by counts over
+the free room of j; the capacity of a shard is its share of all rows, and only linked rows count, since
+the others can still make way. Requests are taken in the order of a hash, by counts over
 buckets of it, so a round is a few joins and sums. Hubs take part in even rounds only, so that a
 document and its hub don't swap places.
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tiltmeter.llm.shared import stored
 
-ROUNDS, SLACK, STEPS, BUCKET_ROWS = 8, 0.05, 64, 1000
+ROUNDS, STEPS, BUCKET_ROWS = 8, 64, 1000
 
 
 def draw(seed: int, *cols: Column) -> Column:
@@ -37,19 +38,17 @@ def equal_text_links(rows: DataFrame) -> DataFrame:
     return known.join(hubs.select("text_key", "a"), "text_key").where("id <> a").select("a", F.col("id").alias("b"))
 
 
-def propagate(nodes: DataFrame, links: DataFrame, shards: int, total: int, sizes: dict[int, int], seed: int) -> DataFrame:
-    """Shards of the linked ``nodes(id, rows)`` after the rounds, as ``(id, shard)``.
-
-    ``sizes`` has the rows of each shard at the start, unlinked rows included.
-    """
+def propagate(nodes: DataFrame, links: DataFrame, shards: int, room: int, seed: int) -> DataFrame:
+    """Shards of the linked ``nodes(id, rows)`` after the rounds, as ``(id, shard)``; none gets more than ``room`` of their rows."""
     ways = stored(
         links.select(F.col("a").alias("id"), F.col("b").alias("other"), F.lit(True).alias("hub")).unionByName(
             links.select(F.col("b").alias("id"), F.col("a").alias("other"), F.lit(False).alias("hub"))
         ),
         "shard-ways",
     )
-    spark, room = nodes.sparkSession, int(total / shards * (1 + SLACK)) + 1
+    spark = nodes.sparkSession
     state = stored(nodes.withColumn("shard", (draw(seed, F.col("id").cast("long")) % shards).cast("int")), "shard-state")
+    sizes = dict.fromkeys(range(shards), 0) | {r[0]: r[1] for r in state.groupBy("shard").agg(F.sum("rows")).collect()}
     for turn in range(ROUNDS):
         around = (
             ways.where("hub" if turn % 2 == 0 else "not hub")
@@ -126,14 +125,11 @@ def shard_documents(
         "shard-rows",
     )
     start = (draw(seed, F.coalesce(F.col("id").cast("long"), F.col("crc"))) % shards).cast("int")
-    sizes = dict.fromkeys(range(shards), 0) | {
-        r[0]: r[1] for r in rows.groupBy(start.alias("s")).agg(F.count(F.lit(1))).collect()
-    }
-    total = sum(sizes.values())
+    total = rows.count()
     links = stored((equal_text_links(rows) if links is None else links).select("a", "b"), "shard-links")
     ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
     nodes = rows.join(ends, "id").groupBy("id").agg(F.count(F.lit(1)).alias("rows"))
-    state = propagate(nodes, links, shards, total, sizes, seed)
+    state = propagate(nodes, links, shards, total // shards, seed)
 
     buckets = max(1, -(-total // (BUCKET_ROWS * shards)))
     placed = stored(

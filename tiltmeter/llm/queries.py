@@ -87,5 +87,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_order_minhash, op2_itq_near_dedup, op3_label_sharding, op4_nbsvm_quality, op5_license_scan, op6_temperature_mix, op7_minhash_near_dedup, op8_sentencepiece, op9_toxic_segments, op10_warc_salvage)}
 
 
+#: Base 32 of SHA-1, five hex digits at a time, and the first page of each payload.
+OP10_SQL = """with p as (select page_id, coalesce(html, '') as h from pages), d as (select page_id, strlen(h)::BIGINT as n, sha1(h) as s from p),
+f as (select s, min(page_id) as m from d group by s)
+select page_id, n as payload_bytes, translate((select string_agg(lpad(to_base(('0x'||substr(s, 1+5*i, 5))::BIGINT, 32), 4, '0'), '' order by i) from range(8) t(i)),
+ '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') as payload_digest,
+ case when page_id = m then 'response' else 'revisit' end as record_type, case when page_id <> m then m end as refers_to from d join f using (s)"""
+
+#: All pairs of a label, then the least id that links reach.
+OP2_SQL = """with recursive v as (select vec_id, embedding::DOUBLE[] as e, label from embeddings where label is not null),
+l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
+ where list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e)) >= 0.93),
+r as (select vec_id as id, vec_id as top from embeddings union select l.b, r.top from r join l on l.a = r.id)
+select vec_id, (select count(*) from l where l.a = vec_id) as n_links, (select min(top) from r where r.id = vec_id) as component_id,
+ vec_id = (select min(top) from r where r.id = vec_id) as kept from embeddings"""
+
+#: Shingles as four words joined by spaces; texts of fewer words are one shingle.
+OP7_SQL = r"""with recursive t as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 2, 2)::BIGINT), lambda i: array_to_string(w[i:i+3], ' '))) as g, len(w) as n from t),
+c as (select doc_id, case when n = 0 then 0 else len(g) end::BIGINT as n_shingles, g, n from s), x as (select doc_id, n_shingles, unnest(g) as k from c where n > 0),
+p as (select a.doc_id as a, b.doc_id as b, a.n_shingles as na, b.n_shingles as nb, count(*) as k2 from x a join x b on a.k = b.k and a.doc_id <> b.doc_id group by all),
+l as (select a, b from p where 100 * k2 >= 80 * (na + nb - k2)),
+r as (select doc_id as id, doc_id as top from c union select l.b, r.top from r join l on l.a = r.id), m as (select id, min(top) as top from r group by id)
+select doc_id, n_shingles, top as component_id, doc_id = top as kept from c join m on m.id = doc_id"""
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_itq_near_dedup": OP2_SQL, "op7_minhash_near_dedup": OP7_SQL, "op10_warc_salvage": OP10_SQL}

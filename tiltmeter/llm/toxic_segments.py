@@ -38,6 +38,8 @@ SHORTEST, LONGEST = 3, 8
 #: Weight of a prior in documents, least toxic documents, and least log-odds in standard errors of a lexicon entry.
 PRIOR, LEAST_TEXTS, ERRORS = 2.0, 5, 4.0
 BACKGROUND = -0.6
+#: Shares are kept this far from 0 and 1.
+LEAST_SHARE = 0.001
 SIGNIFICANT, THRESHOLD, WORD_CACHE = 0.05, 0.3, 400_000
 
 
@@ -59,7 +61,8 @@ def lexicon(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> dict[
         while parent and parent not in share:
             parent = parent[:-1]
         a, b = counts[feature][0] * scale_t, counts[feature][1] * scale_c
-        q = share[feature] = (a + PRIOR * share[parent]) / (a + b + PRIOR)
+        q = (a + PRIOR * share[parent]) / (a + b + PRIOR)
+        q = share[feature] = min(max(q, LEAST_SHARE), 1 - LEAST_SHARE)
         odds = float(np.log(q / (1 - q)))
         error = float(np.sqrt(1 / (a + PRIOR * share[parent]) + 1 / (b + PRIOR * (1 - share[parent]))))
         if counts[feature][0] >= LEAST_TEXTS and odds >= ERRORS * error:

@@ -1,7 +1,7 @@
 """WARC archives: deduplicated writing, and a salvage reader that survives damage.
 
 Writing is a plain text write whose line separator is the end of a record, so Spark's own commit
-protocol guards the files. Of records with equal payloads, the one with the least page id is a
+protocol guards the files; where payloads must move between executors, they move deflated. Of records with equal payloads, the one with the least page id is a
 ``response``; the others are ``revisit`` records that keep the HTTP head only and refer to it.
 
 The reader checks version line, head, length, record end and block digest of each record, and each
@@ -30,6 +30,9 @@ from tiltmeter.llm.shared import stored
 
 END = b"\r\n\r\n"
 FILE_BYTES = 16_000_000
+#: Revisits up to this many are sent to all executors, so that payloads stay where they are read; beyond it both
+#: sides are shuffled.
+BROADCAST_REVISITS = 2_000_000
 #: Date of all records, so that equal tables give equal archives.
 RECORD_DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -47,6 +50,15 @@ def base32_of_hex(hexed: Column) -> Column:
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
+def deflate(payload: pd.Series) -> pd.Series:
+    """Payloads as they are moved between executors."""
+    return payload.map(lambda p: zlib.compress(p, 1))
+
+
+def inflate(payload: pd.Series) -> pd.Series:
+    return payload.map(zlib.decompress)
+
+
 def write_archives(
     pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
     min_revisit_bytes: int = 0,
@@ -56,21 +68,30 @@ def write_archives(
         F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(payload_col, F.lit("")).alias("payload")
     ).withColumn("sha", F.sha1(F.col("payload").cast("binary")))
     light = stored(full.select("id", "sha", F.octet_length("payload").cast("long").alias("size")), "warc-light")
-    total = light.agg(F.sum(F.col("size") + 1000)).first()[0] or 0
-    files = max(1, -(-total // FILE_BYTES))
+    rows, total = light.agg(F.count(F.lit(1)), F.sum(F.col("size") + 700)).first()
     # a null id sorts last: only payloads without any other id are first met there
     first = light.groupBy("sha").agg(F.min("id").alias("first_id"))
-    decided = (
-        light.distinct()
-        .join(first, "sha")
-        .select(F.xxhash64("id", "sha").alias("rk"), F.col("id").alias("i2"), F.col("sha").alias("s2"), "first_id")
-        .repartition(files, "rk")
+    again = ~F.col("id").eqNullSafe(F.col("first_id")) & (F.col("size") >= min_revisit_bytes)
+    revisits = stored(
+        light.distinct().join(first, "sha").where(again).select(
+            F.xxhash64("id", "sha").alias("rk"), F.col("id").alias("i2"), F.col("sha").alias("s2"), "first_id"
+        ),
+        "warc-revisits",
     )
-    placed = full.withColumn("rk", F.xxhash64("id", "sha")).repartition(files, "rk")
-    both = placed.join(decided, "rk").where(F.col("id").eqNullSafe(F.col("i2")) & (F.col("sha") == F.col("s2")))
+    keyed = full.withColumn("rk", F.xxhash64("id", "sha"))
+    same = (F.col("rk") == F.col("r_rk")) & F.col("id").eqNullSafe(F.col("i2")) & (F.col("sha") == F.col("s2"))
+    revisits_by = revisits.withColumnRenamed("rk", "r_rk")
+    if revisits.count() <= BROADCAST_REVISITS:
+        both = keyed.join(F.broadcast(revisits_by), same, "left")
+    else:
+        files = -(-total // FILE_BYTES)
+        moved = keyed.withColumn("payload", F.pandas_udf(deflate, "binary")(F.col("payload").cast("binary")))
+        both = moved.repartition(files, "rk").join(
+            revisits_by.repartition(files, "r_rk"), same, "left"
+        ).withColumn("payload", F.pandas_udf(inflate, "binary")("payload").cast("string"))
 
     size = F.octet_length("payload")
-    is_response = F.col("id").eqNullSafe(F.col("first_id")) | (size < min_revisit_bytes)
+    is_response = F.col("s2").isNull()
     crlf = "\r\n"
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
     http = F.concat(
@@ -95,7 +116,9 @@ def write_archives(
         F.concat(F.lit("Content-Length: "), F.octet_length("block").cast("string")),
     )
     record = F.concat(head, F.lit(crlf + crlf), "block")
-    made.select(record.alias("value")).write.option("lineSep", END.decode()).text(path)
+    made.select(record.alias("value")).write.option("lineSep", END.decode()).option(
+        "maxRecordsPerFile", max(1, FILE_BYTES * rows // total) if rows else 0
+    ).text(path)
 
 
 def _head(lines: bytes) -> dict[str, str]:
