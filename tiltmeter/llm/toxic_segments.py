@@ -3,7 +3,8 @@
 A token's log-odds compare its shares among the documents of the two classes. Counts are smoothed by
 Dirichlet priors in levels: the prior of a prefix is the estimate of the prefix one letter shorter,
 and that of a whole word the estimate of its longest prefix, so rare forms of a known stem inherit
-its odds. Tokens whose odds are not clearly above even get a common negative score. A linear scan
+its odds; a prefix counts its words but for the most toxic one. Tokens whose odds are not clearly
+above even (by likelihood ratio) get a common negative score. A linear scan
 (Ruzzo and Tompa) finds all maximal scoring segments of a text. A segment of score s in n tokens is
 expected ``K n exp(-lambda s)`` times by chance; lambda solves the usual moment equation over clean
 texts and K is fitted to their best segments. Segments with an expectation below ``SIGNIFICANT`` are
@@ -35,8 +36,8 @@ from tiltmeter.llm.shared import stored
 
 TOKEN = re.compile(r"[^\W\d_]+")
 SHORTEST, LONGEST = 3, 8
-#: Weight of a prior in documents, least toxic documents, and least log-odds in standard errors of a lexicon entry.
-PRIOR, LEAST_TEXTS, ERRORS = 2.0, 5, 4.0
+#: Weight of a prior in documents; least toxic documents and least evidence in standard errors of a lexicon entry.
+PRIOR, LEAST_TEXTS, ERRORS = 2.0, 4, 4.0
 BACKGROUND = -0.6
 #: Shares are kept this far from 0 and 1.
 LEAST_SHARE = 0.001
@@ -48,6 +49,13 @@ def levels(word: str) -> list[str]:
     return [word[:k] for k in range(SHORTEST, min(LONGEST, len(word)) + 1)] + [word + "."]
 
 
+def evidence(toxic: float, clean: float, share: float) -> float:
+    """Signed root of the likelihood ratio against the share of toxic documents; exact enough at small counts."""
+    n = toxic + clean
+    gain = sum(c * np.log(c / (n * p)) for c, p in ((toxic, share), (clean, 1 - share)) if c)
+    return float(np.sqrt(2 * max(gain, 0.0)) * (1 if toxic > n * share else -1))
+
+
 def lexicon(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> dict[str, float]:
     """Log-odds of features from (toxic, clean) document counts; only those clearly above even."""
     if not toxic or not clean:
@@ -63,12 +71,8 @@ def lexicon(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> dict[
         a, b = counts[feature][0] * scale_t, counts[feature][1] * scale_c
         q = (a + PRIOR * share[parent]) / (a + b + PRIOR)
         q = share[feature] = min(max(q, LEAST_SHARE), 1 - LEAST_SHARE)
-        odds = float(np.log(q / (1 - q)))
-        error = float(np.sqrt(1 / (a + PRIOR * share[parent]) + 1 / (b + PRIOR * (1 - share[parent]))))
-        if counts[feature][0] >= LEAST_TEXTS and odds >= ERRORS * error:
-            found[feature] = odds
-        elif any(feature[:k] in found for k in range(SHORTEST, len(feature))) and odds <= 0:
-            found[feature] = BACKGROUND  # a form of a toxic stem that is itself harmless
+        if counts[feature][0] >= LEAST_TEXTS and q > 0.5 and evidence(*counts[feature], toxic / (toxic + clean)) >= ERRORS:
+            found[feature] = float(np.log(q / (1 - q)))
     return found
 
 
@@ -164,13 +168,13 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_co
     def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for text, label in zip(batch["text"], batch["label"], strict=True):
-                found = {f for w in set(TOKEN.findall(text.lower())) for f in levels(w)}
-                yield pd.DataFrame({"feature": sorted(found), "toxic": int(label), "clean": 1 - int(label)})
+                yield pd.DataFrame({"word": sorted(set(TOKEN.findall(text.lower()))), "toxic": int(label), "clean": 1 - int(label)})
 
-    sums = (
-        sample.select("text", "label").mapInPandas(spell, "feature string, toxic long, clean long")
-        .groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    words = (
+        sample.select("text", "label").mapInPandas(spell, "word string, toxic long, clean long")
+        .groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     )
+    sums = feature_counts(words)
     sizes = {0: 0, 1: 0} | {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if not sizes[0] or not sizes[1]:
         return Model({}, counts)
@@ -230,6 +234,19 @@ def _dense(n: int, at: bytes, values: bytes) -> np.ndarray:
     return scores
 
 
+def feature_counts(words: DataFrame) -> DataFrame:
+    """Counts of whole words, and of prefixes without the most toxic word of each: one word says nothing about others."""
+    top = F.least(F.length("word"), F.lit(LONGEST))
+    prefixes = F.when(top >= SHORTEST, F.transform(F.sequence(F.lit(SHORTEST), top), lambda k: F.substring("word", F.lit(1), k)))
+    shared = (
+        words.select(F.explode(prefixes).alias("feature"), "toxic", "clean")
+        .groupBy("feature")
+        .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.max(F.struct("toxic", "clean")).alias("top"))
+        .select("feature", (F.col("toxic") - F.col("top.toxic")).alias("toxic"), (F.col("clean") - F.col("top.clean")).alias("clean"))
+    )
+    return words.select(F.concat("word", F.lit(".")).alias("feature"), "toxic", "clean").unionByName(shared)
+
+
 def judged_column(spark: SparkSession, model: Model, text: Column) -> Column:
     """A struct for each text: ``score``, ``n_passages`` and ``worst`` (the least expected segment, as words)."""
     held = spark.sparkContext.broadcast(model)
