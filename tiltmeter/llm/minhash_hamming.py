@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiltmeter.llm.shared import components, stored
+from tiltmeter.llm.shared import components, small_batches, stored
 
 VALUES, BITS, PER_CHUNK, CHUNK_ERRORS = 40, 14, 4, 1
 CHUNKS = VALUES // PER_CHUNK
@@ -49,7 +49,9 @@ FULL = sum((2**BITS - 1) << (LANE * i) for i in range(PER_CHUNK))
 FREE = sum(1 << (LANE * i + BITS) for i in range(PER_CHUNK))
 #: Ids up to this many are sent to all executors to fetch texts; beyond it the texts are shuffled.
 BROADCAST_IDS = 300_000
-WORD_CACHE = 400_000
+WORD_CACHE = 100_000
+#: Texts, and pairs of texts, that a Python worker holds at once.
+BATCH_TEXTS, BATCH_PAIRS = 1000, 250
 _BLOCK = 256
 _RNG = np.random.default_rng(20240229)
 _MULTIPLY = _RNG.integers(0, 2**31, VALUES + FINE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -199,7 +201,9 @@ def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80
 ) -> DataFrame:
     """One row per row of ``docs``: id, ``n_shingles``, ``component_id`` (least id reachable), ``kept``."""
-    rows = stored(signatures(docs, id_col, text_col, shingle), "minhash-rows")
+    spark = docs.sparkSession
+    with small_batches(spark, BATCH_TEXTS):
+        rows = stored(signatures(docs, id_col, text_col, shingle), "minhash-rows")
     classes = stored(
         rows.where("n_shingles > 0 and id is not null")
         .groupBy("words_key")
@@ -219,7 +223,8 @@ def near_duplicates(
         .distinct(),
         "minhash-first",
     )
-    links = stored(confirmed(first, docs, id_col, text_col, shingle, percent), "minhash-links")
+    with small_batches(spark, BATCH_PAIRS):
+        links = stored(confirmed(first, docs, id_col, text_col, shingle, percent), "minhash-links")
     joined = components(links)
 
     placed = filed.join(joined.select(F.col("id").alias("cls"), "component_id"), "cls", "left").select(
@@ -237,7 +242,8 @@ def near_duplicates(
         "minhash-second",
     )
     if not second.isEmpty():
-        more = stored(confirmed(second, docs, id_col, text_col, shingle, percent), "minhash-links")
+        with small_batches(spark, BATCH_PAIRS):
+            more = stored(confirmed(second, docs, id_col, text_col, shingle, percent), "minhash-links")
         if not more.isEmpty():
             joined = components(links.unionByName(more))
 

@@ -33,7 +33,7 @@ SPACE = 1 << 18
 LONGEST = 6
 #: A feature must occur in so many texts of the sample.
 LEAST_TEXTS = 5
-COST, EPOCHS, THRESHOLD, WORD_CACHE = 1.0, 20, 0.3, 300_000
+COST, EPOCHS, THRESHOLD, WORD_CACHE = 1.0, 20, 0.3, 100_000
 
 
 def form(word: str) -> int:

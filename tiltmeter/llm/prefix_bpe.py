@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 NO_RANK = float("inf")
 #: Encoded chunks that a Python worker remembers, and the length of the longest of them.
-CACHE_CHUNKS, CACHE_CHARS = 500_000, 60
+CACHE_CHUNKS, CACHE_CHARS = 150_000, 60
 
 
 def read_vocabulary(model_path: str) -> dict:

@@ -41,7 +41,7 @@ PRIOR, LEAST_TEXTS, ERRORS = 2.0, 4, 4.0
 BACKGROUND = -0.6
 #: Shares are kept this far from 0 and 1.
 LEAST_SHARE = 0.001
-SIGNIFICANT, THRESHOLD, WORD_CACHE = 0.05, 0.3, 400_000
+SIGNIFICANT, THRESHOLD, WORD_CACHE = 0.05, 0.3, 100_000
 
 
 def levels(word: str) -> list[str]:
