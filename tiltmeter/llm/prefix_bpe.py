@@ -30,6 +30,8 @@ SPACE = "▁"
 NO_RANK = float("inf")
 #: Encoded chunks that a Python worker remembers, and the length of the longest of them.
 CACHE_CHUNKS, CACHE_CHARS = 150_000, 60
+#: Encoded rows that a Python worker hands on at once.
+OUT_ROWS = 250
 
 
 def read_vocabulary(model_path: str) -> dict:
@@ -310,8 +312,9 @@ def coded_column(spark: SparkSession, model_path: str, text: Column) -> Column:
     def code(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         coder = _coder_of(name, held)
         for texts in batches:
-            done = [coder.encode_decode(t) for t in texts]
-            yield pd.DataFrame(done, columns=["ids", "n_tokens", "decoded"])
+            for at in range(0, len(texts), OUT_ROWS):  # ids and text are several times the input: hand them on in parts
+                done = [coder.encode_decode(t) for t in texts.iloc[at : at + OUT_ROWS]]
+                yield pd.DataFrame(done, columns=["ids", "n_tokens", "decoded"])
 
     return code(text)
 
