@@ -3,10 +3,17 @@
 Random numbers are hashes of (seed, stream, keys), so results don't depend on partitions or order.
 Permutation signs come from the bits of one hash for each item and 48 resamples. The published
 sequence of a call-order generator is therefore met in distribution, not draw by draw.
+
+Equal cells are interchangeable, so ``counted_resamples`` draws how often each distinct cell occurs:
+the same distribution, and its work grows with distinct cells, not with items.
 """
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,9 +86,69 @@ def permutation_p_exact(cell_table: DataFrame, by: list[str] = BY) -> DataFrame:
     )
 
 
+def _generator(seed: int, stream: str, key: str) -> np.random.Generator:
+    return np.random.default_rng(int(hashlib.md5(f"{seed}|{stream}|{key}".encode()).hexdigest(), 16))
+
+
+def _ends(n: int, alpha: float) -> tuple[int, int]:
+    return int(alpha / 2 * n), min(n - 1, -int(-(1 - alpha / 2) * n // 1) - 1)
+
+
+def _drawn_sums(rng: np.random.Generator, times: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of ``values`` over as many items as there are, drawn with replacement; each row of them occurs ``times``."""
+    step = max(1, 1_000_000 // len(times))
+    return np.concatenate([rng.multinomial(times.sum(), times / times.sum(), min(step, n - at)) @ values for at in range(0, n, step)])
+
+
+def _angle(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    return 2 * np.arcsin(np.sqrt(np.clip(part / whole, 0, 1)))
+
+
+def counted_resamples(cell_table: DataFrame, by: list[str] = BY, n: int = RESAMPLES, alpha: float = ALPHA) -> DataFrame:
+    """``observed_d`` and ``p`` as of ``permutation_p``, ``h_lo`` and ``h_hi`` as of ``bootstrap_h``, and the ends
+    ``ci_lo`` and ``ci_hi`` of ``noise_gate``, all from counts of equal cells (null where there are no items)."""
+    counts = ["n", "b", "c", "nn", "nb", "nc"]
+    paired = F.coalesce(F.col("item_id") != "", F.lit(False)).cast("long")
+    tally = cell_table.groupBy(*by, *[F.col(c).cast("long").alias(c) for c in counts], paired.alias("paired")).agg(F.count(F.lit(1)).alias("m"))
+    cols = [*counts, "paired", "m"]
+    packed = tally.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("cells"))
+    low, high = _ends(n, alpha)
+
+    def one(key: str, *arrays: np.ndarray) -> tuple:
+        at = dict(zip(cols, (np.asarray(a, dtype=np.int64) for a in arrays), strict=True))
+        out: list = [None] * 6
+        used = {k: v[at["n"] > 0] for k, v in at.items()}
+        if len(used["m"]):
+            d = used["b"] - used["c"]
+            observed, rng = int((d * used["m"]).sum()), _generator(SEED, "perm", key)
+            total = np.zeros(n, dtype=np.int64)
+            for k in np.unique(np.abs(d[d != 0])):
+                m = int(used["m"][np.abs(d) == k].sum())
+                total += k * (2 * rng.binomial(m, 0.5, n) - m)
+            out[:2] = observed, (int((np.abs(total) >= abs(observed)).sum()) + 1) / (n + 1) if d.any() else 1.0
+            sums = _drawn_sums(_generator(SEED, "boot", key), used["m"], np.stack([used[c] for c in "nbc"], 1), n)
+            out[2:4] = np.sort(_angle(sums[:, 1], sums[:, 0]) - _angle(sums[:, 2], sums[:, 0]))[[low, high]]
+        both = {k: v[(at["n"] > 0) & (at["nn"] > 0) & (at["paired"] > 0)] for k, v in at.items()}
+        if len(both["m"]):
+            diff = both["b"] / both["n"] - both["nb"] / both["nn"]
+            sums = _drawn_sums(_generator(GATE_SEED, "gate", key), both["m"], diff[:, None], n)[:, 0]
+            out[4:] = np.sort(np.round(sums / both["m"].sum(), 12))[[low, high]]
+        return tuple(out)
+
+    names = ["observed_d", "p", "h_lo", "h_hi", "ci_lo", "ci_hi"]
+
+    @F.pandas_udf("observed_d long, p double, h_lo double, h_hi double, ci_lo double, ci_hi double")
+    def resample(key: pd.Series, n_: pd.Series, b: pd.Series, c: pd.Series, nn: pd.Series, nb: pd.Series, nc: pd.Series, paired: pd.Series, m: pd.Series) -> pd.DataFrame:
+        rows = [one(*r) for r in zip(key, n_, b, c, nn, nb, nc, paired, m, strict=True)]
+        return pd.DataFrame(rows, columns=names).astype({"observed_d": "Int64"})
+
+    found = packed.withColumn("found", resample(F.concat_ws("|", *by), *[F.col(f"cells.{c}") for c in cols]))
+    return found.select(*by, *[F.col(f"found.{c}").alias(c) for c in names])
+
+
 def _order_statistics(draws: DataFrame, by: list[str], value: str, n: int, alpha: float) -> DataFrame:
     """The draws at the two ends of the interval, by rank and without interpolation."""
-    low, high = int(alpha / 2 * n), min(n - 1, -int(-(1 - alpha / 2) * n // 1) - 1)
+    low, high = _ends(n, alpha)
     at = F.row_number().over(Window.partitionBy(*by).orderBy(value)) - 1
     ranked = draws.withColumn("__at", at)
     return ranked.groupBy(*by).agg(
@@ -137,7 +204,10 @@ def noise_gate(cell_table: DataFrame, by: list[str] = BY, n: int = RESAMPLES, se
     ).withColumn("one", F.lit(1))
     sums = _resampled(shared, by, ["diff", "one"], n, seed, "gate")
     draws = sums.select(*by, F.round(F.col("diff") / F.col("one"), 12).alias("diff"))
-    ends = _order_statistics(draws, by, "diff", n, alpha)
+    return _gated(cell_table, _order_statistics(draws, by, "diff", n, alpha), by)
+
+
+def _gated(cell_table: DataFrame, ends: DataFrame, by: list[str]) -> DataFrame:
     floors = noise_floor(cell_table, by).join(totals(cell_table, by).select(*by, "p_wrong"), by)
     return floors.join(ends, by, "left").select(
         *by, "noise_floor", "noise_self_disagreement",
@@ -222,12 +292,12 @@ def corrected(results: DataFrame, by: list[str] = BY, order: str = "axis_order",
 def axis_results(judgments: DataFrame, axes: DataFrame, by: list[str] = BY, n: int = RESAMPLES, alpha: float = ALPHA) -> DataFrame:
     """Everything known about each judge and axis, with corrected verdicts; ``axes`` is ``axes.taxonomy``."""
     table = cells(judgments, by)
+    drawn = counted_resamples(table, by, n, alpha)
     found = (
         totals(table, by)
-        .join(permutation_p(table, by, n), by)
-        .join(bootstrap_h(table, by, n, alpha=alpha).withColumnsRenamed({"ci_lo": "h_lo", "ci_hi": "h_hi"}), by, "left")
+        .join(drawn.select(*by, "observed_d", "p", "h_lo", "h_hi"), by)
         .join(dersimonian_laird(effects(table, by), by), by, "left")
-        .join(noise_gate(table, by, n, alpha=alpha), by, "left")
+        .join(_gated(table, drawn.select(*by, "ci_lo", "ci_hi"), by), by, "left")
         .join(F.broadcast(axes), "axis")
     )
     if "prompt_template" not in by:  # rows by template carry no accuracies

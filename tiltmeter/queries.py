@@ -404,7 +404,7 @@ def meta_dl(spark, sf_dir):
 
 
 def _results(spark, sf_dir) -> DataFrame:
-    return I.axis_results(judgments(spark, sf_dir), X.taxonomy(spark), n=DRAWS)
+    return I.axis_results(judgments(spark, sf_dir), X.taxonomy(spark))
 
 
 def _tested(spark, sf_dir) -> DataFrame:
