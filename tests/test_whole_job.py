@@ -1,5 +1,8 @@
 """Queries and operators do the whole job: full resamples, all items."""
 
+import math
+from math import comb
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -35,3 +38,28 @@ def test_counted_resamples_equal_brute_force(spark):
         assert ends == pytest.approx(tuple(np.quantile(values, [0.025, 0.975])), abs=0.03)
     again = table.repartition(7).withColumn("nc", F.col("nc"))
     assert sorted(map(repr, I.counted_resamples(again).collect())) == sorted(map(repr, got.values()))
+
+
+def test_exact_permutation_of_many_items(spark):
+    made = lambda axis, ones, b: spark.range(ones).selectExpr(
+        "'j' judge_id", f"'{axis}' axis", "string(id) item_id", "4L n", f"if(id < {b}, 1L, 0L) b", f"if(id < {b}, 0L, 1L) c", "0L nn", "0L nb", "0L nc"
+    )
+    many, b = 20_000, 10_150
+    table = made("one", many, b).unionByName(made("two", 60, 38)).unionByName(
+        made("two", 50, 30).withColumns({"item_id": F.concat(F.lit("x"), "item_id"), "b": F.col("b") * 3, "c": F.col("c") * 3})
+    )
+    got = {r.axis: r for r in I.permutation_p_exact(table).collect()}
+    tail, term = 0, comb(many, b)
+    for i in range(b, b + 1500):  # later terms are below 1e-50 of the first
+        tail, term = tail + 2 * term, term * (many - i) // (i + 1)
+    assert got["one"].observed_d == 300 and got["one"].p == pytest.approx(tail / 2**many, rel=1e-9)
+    seen = 16 + 3 * 10
+    hits = sum(comb(60, i) * comb(50, j) for i in range(61) for j in range(51) if abs(2 * i - 60 + 3 * (2 * j - 50)) >= seen)
+    assert got["two"].observed_d == seen and got["two"].p == pytest.approx(hits / 2**110, rel=1e-9)
+
+
+def test_exact_permutation_is_fast_for_millions_of_items():
+    assert I._exact_p({}, 0) == 1.0
+    p = I._exact_p({1: 3_000_000, 2: 1_000_000, 3: 300_000, 4: 60_000}, 6_000)
+    sd = (3_000_000 + 4 * 1_000_000 + 9 * 300_000 + 16 * 60_000) ** 0.5
+    assert p == pytest.approx(2 * (1 - 0.5 * (1 + math.erf(5_999 / sd / 2**0.5))), rel=1e-3)

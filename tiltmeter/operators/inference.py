@@ -53,37 +53,51 @@ def permutation_p(cell_table: DataFrame, by: list[str] = BY, n: int = RESAMPLES,
     return seen.join(hits, by, "left").select(*by, F.col("observed").alias("observed_d"), p.alias("p"))
 
 
+def _binomial(m: int) -> tuple[np.ndarray, int]:
+    """Probabilities of Binomial(m, 1/2) and the first count they stand for; left out is what no double can hold."""
+    mode, reach = m // 2, int((380 * m) ** 0.5) + 64
+    up = np.arange(mode, min(m, mode + reach), dtype=float)
+    down = np.arange(mode, max(0, mode - reach), -1, dtype=float)
+    right, left = np.cumprod((m - up) / (up + 1)), np.cumprod(down / (m - down + 1))
+    pmf = np.concatenate([left[::-1], [1.0], right])
+    return pmf / pmf.sum(), mode - len(left)
+
+
+def _exact_p(sizes: dict[int, int], observed: int) -> float:
+    """P(abs(sum) >= abs(observed)) where each of ``sizes[k]`` items adds k or -k.
+
+    ``pmf[i]`` stands for a sum of ``low + 2 * i``; one step of a size is k places.
+    """
+    pmf, low = np.ones(1), 0
+    for k, m in sorted(sizes.items()):
+        steps, first = _binomial(m)
+        wide = np.zeros(len(pmf) + k * (len(steps) - 1))
+        for r in range(min(k, len(pmf))):  # places that are apart by other than a multiple of k don't meet
+            part = np.convolve(pmf[r::k], steps)
+            wide[r :: k][: len(part)] += part
+        pmf, low = wide, low + k * (2 * first - m)
+        held = np.flatnonzero(pmf)
+        pmf, low = pmf[held[0] : held[-1] + 1], low + 2 * int(held[0])
+    sums = low + 2 * np.arange(len(pmf))
+    return float(min(1.0, np.sort(pmf[np.abs(sums) >= abs(observed)]).sum()))
+
+
 def permutation_p_exact(cell_table: DataFrame, by: list[str] = BY) -> DataFrame:
-    """The same p without sampling: the distribution of the signed sum, folded over the sizes of the differences.
+    """The same p without sampling: the exact distribution of the signed sum.
 
-    Items enter as counts of equal differences, so the fold is as long as the sum of absolute differences.
+    Items enter as counts of equal differences, whose signed sums are binomial; a group is one row of as
+    many counts as there are sizes, and its distribution is as long as the square root of the items.
     """
-    used = cell_table.where("n > 0").withColumn("d", (F.col("b") - F.col("c")).cast("int"))
+    used = cell_table.where("n > 0").withColumn("d", (F.col("b") - F.col("c")).cast("long"))
     sizes = used.groupBy(*by, F.abs("d").alias("k")).agg(F.count(F.lit(1)).alias("m"), F.sum("d").alias("s"))
-    packed = sizes.groupBy(*by).agg(
-        F.sum("s").cast("int").alias("observed"),
-        F.flatten(F.array_sort(F.collect_list(F.when(F.col("k") > 0, F.array_repeat(F.col("k"), F.col("m").cast("int")))))).alias("ks"),
-    )
-    # index i of the table stands for a sum of i minus the sum of the sizes so far
-    spread = F.aggregate(
-        "ks",
-        F.array(F.lit(1.0)),
-        lambda pmf, k: F.transform(
-            F.sequence(F.lit(0), F.size(pmf) - 1 + F.lit(2) * k),
-            lambda i: F.lit(0.5) * (
-                F.coalesce(F.get(pmf, i), F.lit(0.0)) + F.when(i >= 2 * k, F.coalesce(F.get(pmf, i - 2 * k), F.lit(0.0))).otherwise(0.0)
-            ),
-        ),
-    )
-    reach = F.aggregate("ks", F.lit(0), lambda acc, k: acc + k)
-    far = F.aggregate(
-        F.transform("pmf", lambda x, i: F.when(F.abs(i - F.col("reach")) >= F.abs(F.col("observed")), x).otherwise(0.0)),
-        F.lit(0.0),
-        lambda acc, x: acc + x,
-    )
-    return packed.withColumn("pmf", spread).withColumn("reach", reach).select(
-        *by, F.col("observed").cast("long").alias("observed_d"), F.least(far, F.lit(1.0)).alias("p")
-    )
+    packed = sizes.groupBy(*by).agg(F.sum("s").alias("observed"), F.array_sort(F.collect_list(F.struct("k", "m"))).alias("sizes"))
+
+    @F.pandas_udf("double")
+    def exact(k: pd.Series, m: pd.Series, observed: pd.Series) -> pd.Series:
+        found = ({int(x): int(y) for x, y in zip(a, b, strict=True) if x} for a, b in zip(k, m, strict=True))
+        return pd.Series([_exact_p(x, int(o)) for x, o in zip(found, observed, strict=True)])
+
+    return packed.select(*by, F.col("observed").alias("observed_d"), exact("sizes.k", "sizes.m", "observed").alias("p"))
 
 
 def _generator(seed: int, stream: str, key: str) -> np.random.Generator:
