@@ -63,3 +63,14 @@ def test_exact_permutation_is_fast_for_millions_of_items():
     p = I._exact_p({1: 3_000_000, 2: 1_000_000, 3: 300_000, 4: 60_000}, 6_000)
     sd = (3_000_000 + 4 * 1_000_000 + 9 * 300_000 + 16 * 60_000) ** 0.5
     assert p == pytest.approx(2 * (1 - 0.5 * (1 + math.erf(5_999 / sd / 2**0.5))), rel=1e-3)
+
+
+def test_quiet_hubs_do_not_end_propagation(spark):
+    from tiltmeter.llm import label_sharding as S
+
+    shards, seed = 4, 5
+    drawn = spark.range(400).select("id", (S.draw(seed, F.col("id")) % shards).cast("int").alias("s")).collect()
+    ids = [i for t in range(shards) for i in [r.id for r in drawn if r.s == t][: 12 if t == 0 else 5]]
+    nodes = spark.createDataFrame([(i, 1) for i in ids], "id long, rows long")
+    links = spark.createDataFrame([(ids[0], i) for i in ids[1:]], "a long, b long")  # the hub lies where most copies lie
+    assert {r.shard for r in S.propagate(nodes, links, shards, len(ids), seed).collect()} == {0}

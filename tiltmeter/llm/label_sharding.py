@@ -49,6 +49,7 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int, room: int, seed:
     spark = nodes.sparkSession
     state = stored(nodes.withColumn("shard", (draw(seed, F.col("id").cast("long")) % shards).cast("int")), "shard-state")
     sizes = dict.fromkeys(range(shards), 0) | {r[0]: r[1] for r in state.groupBy("shard").agg(F.sum("rows")).collect()}
+    quiet = 0  # rounds in a row without requests: one of hubs says nothing about their documents
     for turn in range(ROUNDS):
         around = (
             ways.where("hub" if turn % 2 == 0 else "not hub")
@@ -67,8 +68,11 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int, room: int, seed:
         )
         asked = stored(asked.select("id", "rows", "shard", "to", "step"), "shard-asked")
         counts = asked.groupBy("shard", "to", "step").agg(F.sum("rows").alias("rows")).collect()  # a fixed bound of cells
-        if not counts:
+        quiet = 0 if counts else quiet + 1
+        if quiet == 2:
             break
+        if not counts:
+            continue
         limits, sizes = granted([tuple(r) for r in counts], sizes, room)
         grants = spark.createDataFrame([(i, j, k) for (i, j), k in sorted(limits.items())], "shard int, to int, upto int")
         moves = asked.join(F.broadcast(grants), ["shard", "to"]).where("step <= upto").select("id", "to")
