@@ -4,7 +4,9 @@ Every prefix of a text has one BPE encoding, hence one last token. The table sto
 each prefix: an automaton lists the pieces that end at a position, and the one that is compatible
 with the last token of the prefix before it is the one. The ids are then read off backwards. Two
 adjacent tokens are compatible if undoing their merges in reverse order never meets a pair across
-their border that would have been merged earlier.
+their border that would have been merged earlier. What the next row of the table depends on (the
+automaton's state, and the last tokens of the prefixes inside it) is itself a state, whose
+successors are remembered, so that rows met before cost one look-up for each character.
 
 The vocabulary is read on the driver and broadcast (its size is that of the model file). Texts are
 encoded where they lie, in batches of the scan; nothing is shuffled.
@@ -19,8 +21,9 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
+from operator import getitem
 
-import ahocorasick
 import pandas as pd
 import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,8 +31,9 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 NO_RANK = float("inf")
-#: Encoded chunks that a Python worker remembers, and the length of the longest of them.
-CACHE_CHUNKS, CACHE_CHARS = 150_000, 60
+#: Encoded chunks and rows of prefix tables that a Python worker remembers (twice as many chunks, of the last two
+#: generations), and the length of the longest such chunk.
+CACHE_CHUNKS, CACHE_ROWS, CACHE_CHARS = 30_000, 200_000, 60
 #: Encoded rows that a Python worker hands on at once.
 OUT_ROWS = 250
 
@@ -77,7 +81,6 @@ class PrefixCoder:
         self.rank: dict[str, int] = vocabulary["rank"]
         self.bytes: dict[int, int] = vocabulary["bytes"]
         self.split: dict[str, tuple[str, str]] = {}
-        self.automaton = ahocorasick.Automaton()
         # Pieces of white space alone may share one rank; they are merged after all others.
         self.blank = {p for p in self.pieces if len(p) > 1 and not p.strip(SPACE)}
         rank = {p: r for p, r in self.rank.items() if p not in self.blank}
@@ -85,10 +88,13 @@ class PrefixCoder:
             whole, last = merged(list(piece), rank)
             if len(whole) == 1:  # any other piece can't come out of merging
                 if last:  # a character alone is the last token where no longer piece fits
-                    self.automaton.add_word(piece, (piece, len(piece), {}))
                     self.split[piece] = last
-        self.automaton.make_automaton()
+        self.begins = {p[:k] for p in self.split for k in range(len(p))}
+        self.endings: dict[str, tuple[str, list[tuple[int, str]]]] = {}
+        self.fits: dict[tuple[str, str], bool] = {}
+        self.rows: dict[tuple, _Row] = {}
         self.merge_rank = {p: rank[p] for p in self.split}
+        self.tokens: dict[str, tuple[str, str, int]] = {}
         self.ids_of, self.text_of = _Memory(self._learn), _Memory(self._learn)
         self.word_ids, self.word_text = _Memory(self._learn_word), _Memory(self._learn_word)
         assert not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.pieces)
@@ -97,9 +103,9 @@ class PrefixCoder:
         self.from_id = {i: p for p, i in self.pieces.items()}
         self.id_text = {i: p.replace(SPACE, " ") for i, p in self.from_id.items()}
         self.id_name = {i: str(i) for i in (*self.from_id, *self.bytes.values())}
-        self.letters = re.compile(r"[^\W\d_]+").fullmatch
         self.from_byte = {i: b for b, i in self.bytes.items()}
         self.silent, self.unknown = set(vocabulary["silent"]), vocabulary["unknown"]
+        self.first = _Row(self, "", ("",))
 
     def _chunk_pattern(self) -> str:
         """A chunk starts where no piece reaches back over the border.
@@ -132,26 +138,68 @@ class PrefixCoder:
             else:
                 before_b, b = rb, split[b][0]
 
-    def tokens(self, chunk: str) -> list[str]:
-        """Pieces of a chunk by the prefix table; characters that no piece holds stand for themselves."""
-        last: list[str | None] = [None] * (len(chunk) + 1)
-        for end, (piece, n, fits) in self.automaton.iter(chunk):
-            end += 1
-            if last[end] is None:
-                start = end - n
-                if start:
-                    before = last[start] or chunk[start - 1]
-                    fit = fits.get(before)
-                    if fit is None:
-                        fit = fits[before] = self.compatible(before, piece)
-                    if not fit:
-                        continue
-                last[end] = piece
-        out, at = [], len(chunk)
+    def _next_row(self, row: _Row, char: str) -> _Row:
+        """The row after ``char``: the longest end of the text that a piece may continue, and the last token."""
+        seen = row.state + char
+        got = self.endings.get(seen)
+        if got is None:
+            state = seen
+            while state not in self.begins:
+                state = state[1:]
+            pieces = [(k, seen[k:]) for k in range(len(seen) - 1) if seen[k:] in self.split]
+            got = self.endings[seen] = (state, pieces)
+        state, pieces = got
+        last = char
+        for k, piece in pieces:  # the longest first
+            before = row.lasts[k]
+            if before:  # none at the start of the text
+                fit = self.fits.get((before, piece))
+                if fit is None:
+                    fit = self.fits[before, piece] = self.compatible(before, piece)
+                if not fit:
+                    continue
+            last = piece
+            break
+        lasts = (*row.lasts[len(row.lasts) - len(state) :], last)
+        found = self.rows.get((state, lasts))
+        if found is None:
+            found = self.rows[state, lasts] = _Row(self, state, lasts)
+        return found
+
+    def token(self, piece: str) -> tuple[str, str, int]:
+        """Ids joined by commas, decoded text and length of a piece; what no piece holds is written as bytes."""
+        got = self.tokens.get(piece)
+        if got is None:
+            i = self.pieces.get(piece)
+            ids = [i] if i is not None else [self.bytes[b] for b in piece.encode("utf-8", "replace")]
+            got = self.tokens[piece] = (",".join([self.id_name[i] for i in ids]), self.decoded(ids), len(piece))
+        return got
+
+    def coded(self, chunk: str) -> tuple[str, str]:
+        """Ids joined by commas and decoded text of a chunk, read backwards off its prefix table."""
+        if max(len(self.rows), len(self.endings), len(self.fits) // 4, len(self.tokens)) > CACHE_ROWS:
+            for row in (self.first, *self.rows.values()):
+                row.clear()
+            for memory in (self.rows, self.endings, self.fits, self.tokens):
+                memory.clear()
+        table = list(accumulate(chunk, getitem, initial=self.first))
+        ids, texts, at = [], [], len(chunk)
         while at:
-            out.append(last[at] or chunk[at - 1])
-            at -= len(out[-1])
-        return out[::-1]
+            name, text, size = table[at].token
+            ids.append(name)
+            texts.append(text)
+            at -= size
+        if chunk.startswith(SPACE + SPACE):
+            single, blanks = self.token(SPACE)[0], 0
+            while ids and ids[-1] == single:
+                ids.pop()
+                texts.pop()
+                blanks += 1
+            for piece in reversed(self.blanks(blanks)):
+                name, text, _ = self.token(piece)
+                ids.append(name)
+                texts.append(text)
+        return ",".join(ids[::-1]), "".join(texts[::-1])
 
     def blanks(self, n: int) -> list[str]:
         """Pieces of ``n`` separate white-space symbols: the leftmost merge first, all of one rank or by rank."""
@@ -170,21 +218,6 @@ class PrefixCoder:
             symbols = out
         return symbols
 
-    def chunk_ids(self, chunk: str) -> list[int]:
-        pieces = self.tokens(chunk)
-        if pieces[:2] == [SPACE, SPACE]:
-            n = next((k for k, p in enumerate(pieces) if p != SPACE), len(pieces))
-            pieces = self.blanks(n) + pieces[n:]
-        ids: list[int] = []
-        try:
-            return [self.pieces[p] for p in pieces]
-        except KeyError:  # it holds characters that are written as bytes
-            pass
-        for p in pieces:
-            i = self.pieces.get(p)
-            ids.extend([i] if i is not None else [self.bytes[b] for b in p.encode("utf-8", "replace")])
-        return ids
-
     def decoded(self, ids: list[int]) -> str:
         """The text of ids, white space at its start not yet stripped."""
         try:
@@ -207,29 +240,20 @@ class PrefixCoder:
         return "".join(out)
 
     def _learn(self, chunk: str) -> None:
-        self.ids_of[chunk], self.text_of[chunk] = self._named(chunk)
-
-    def _named(self, chunk: str) -> tuple[str, str]:
-        ids = self.chunk_ids(chunk)
-        return ",".join([self.id_name[i] for i in ids]), self.decoded(ids)
+        self.ids_of[chunk], self.text_of[chunk] = self.coded(chunk)
 
     def _learn_word(self, word: str) -> None:
         """A word is what stands between single spaces; it is encoded with the space before it."""
-        if len(self.word_ids) + len(self.ids_of) > CACHE_CHUNKS:
-            for memory in (self.word_ids, self.word_text, self.ids_of, self.text_of):
-                memory.clear()
-        if self.letters(word):
-            self.word_ids[word], self.word_text[word] = self._named(SPACE + word)
-        else:
-            chunks = self.chunks.findall(SPACE + word)
-            self.word_ids[word] = ",".join(map(self.ids_of.__getitem__, chunks))
-            self.word_text[word] = "".join(map(self.text_of.__getitem__, chunks))
+        self.word_ids[word], self.word_text[word] = self.coded(SPACE + word)
 
     def encode_decode(self, text: str | None) -> tuple[str, int, str]:
         """Ids joined by commas, their number, and the decoded text (dummy prefix added and taken away)."""
         if not text:
             return "", 0, ""
         text = text.replace(SPACE, " ")
+        for memory in (self.word_ids, self.word_text, self.ids_of, self.text_of):
+            if len(memory) > CACHE_CHUNKS:
+                memory.age()
         if "  " in text or text[0] == " " or text[-1] == " ":
             of_ids, of_text, parts = self.ids_of, self.text_of, self.chunks.findall(SPACE + text.replace(" ", SPACE))
         else:
@@ -269,16 +293,37 @@ def _lenient(raw: bytes) -> str:
 
 
 class _Memory(dict):
-    """A dict that asks for what it lacks."""
+    """A dict that asks for what it lacks, and drops what it has not used for a generation."""
 
     def __init__(self, learn):
         super().__init__()
-        self.learn = learn
+        self.learn, self.older = learn, {}
 
     def __missing__(self, key):
-        self.learn(key)
+        if key in self.older:
+            self[key] = self.older.pop(key)
+        else:
+            self.learn(key)
         return self[key]
 
+    def age(self) -> None:
+        self.older = dict(self)
+        self.clear()
+
+
+class _Row(dict):
+    """A row of the prefix table, by character the rows that can follow it."""
+
+    __slots__ = ("coder", "state", "lasts", "token")
+
+    def __init__(self, coder: PrefixCoder, state: str, lasts: tuple[str, ...]):
+        super().__init__()
+        self.coder, self.state, self.lasts, self.token = coder, state, lasts, coder.token(lasts[-1])
+
+    def __missing__(self, char: str) -> _Row:
+        found = self[char] = self.coder._next_row(self, char)
+        return found
+
 
 @lru_cache(maxsize=2)
 def _coder_of(key: str, holder) -> PrefixCoder:
