@@ -152,7 +152,7 @@ def test_near_duplicates_equal_brute_force(spark, documents, prose, k):
 def test_distances_match_plain_counts(spark):
     words = [minhash_hamming.words_of(t) for t in ("a b c d e f g h i j k l", "a b c d e f g h i j k m")]
     sigs = [minhash_hamming.signature(w, 4, minhash_hamming._WordHashes()) for w in words]
-    cols = minhash_hamming.LANES + minhash_hamming.FINE_LANES
+    cols = minhash_hamming.LANES + minhash_hamming.ODD_LANES
     schema = "cls int, n long, " + ", ".join(f"{c} long" for c in cols)
     a, b = (spark.createDataFrame([(i, s[0], *s[1])], schema).alias("ab"[i]) for i, s in enumerate(sigs))
     got = a.crossJoin(b).select(*[d.alias(f"d{j}") for j, d in enumerate(minhash_hamming.chunk_distances("a", "b"))]).first()

@@ -6,19 +6,24 @@ are split into chunks of ``PER_CHUNK``; if two signatures differ in at most ``DI
 chunk differs in at most ``CHUNK_ERRORS`` of its values (pigeonhole), so each document is filed under
 every chunk with every choice of that many values left out, and every such pair shares a key. At
 Jaccard similarity 0.8 a pair lies beyond ``DISTANCE`` with a probability of about 2 in 100,000, at
-0.85 of less than one in ten million. A second signature of ``FINE`` values of two bits sorts out pairs
-of middling similarity before any text is read: at 0.8 a pair differs in more than ``FINE_DISTANCE`` of
-them with a probability of about 1 in 100,000, at 0.65 in 49 of 50 cases. What is left is proposed; a link is
-confirmed on the full sets.
+0.85 of less than one in ten million.
+
+Before a pair leaves a join, two further tests sort out what is less similar, in the join itself. The
+parities of ``ODD`` bins into which the shingles are dealt differ in at most as many places as the sets
+differ, so they bound the similarity from above and lose nothing. Where sets are too large for the bins
+(over ``ODD_SIZE`` shingles), 16 bits of each of the ``SKETCH`` least shingle hashes are intersected as
+well: for sets of at most that size this is again a bound, for larger ones an estimate, taken
+``SKETCH_ERRORS`` standard errors low. Hardly any pair under the threshold passes; what is left is
+proposed, and a link is confirmed on the full sets.
 
 No group is expanded into all its pairs:
 
 1. Documents with the same words in the same order form a class; one member stands for it.
-2. In every key's bucket, each class is compared with the bucket's least class only. What the sets
-   confirm is joined into components.
-3. Buckets that lie in one component are done. In the others, pairs from different components,
-   of sizes that can reach the similarity, and within the signature distances are compared as well;
-   each pair is taken under the first key that it shares.
+2. In every key's bucket, each class is compared with one hub of the bucket only, for ``HUBS`` hubs one
+   after another: the least class, then others by a hash. What the sets confirm is joined into components.
+3. Buckets that lie in one component are done. In the others, pairs from different components are
+   compared as well; each pair is taken under the first key that it shares, and leaves the join only
+   if all tests allow a link.
    So each pair that the signatures propose is either confirmed, refuted, or already in one component.
 
 Defined results: a null, empty or white-space text has an empty set (``n_shingles`` 0) and is linked
@@ -37,27 +42,27 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiltmeter.llm.shared import components, small_batches, stored
+from tiltmeter.llm.shared import broadcast_if_small, components, small_batches, stored
 
 VALUES, BITS, PER_CHUNK, CHUNK_ERRORS = 40, 14, 4, 1
 CHUNKS = VALUES // PER_CHUNK
 DISTANCE = CHUNKS * (CHUNK_ERRORS + 1) - 1
-FINE, FINE_LANES, FINE_DISTANCE = 512, [f"f{j}" for j in range(16)], 113
+ODD, ODD_SIZE = 512, 300
+ODD_LANES = [f"o{j}" for j in range(ODD // 64)]
+SKETCH, SKETCH_ERRORS = 2048, 5.5
+HUBS = 2
 LANE = BITS + 1  # a value and a free bit above it
 LANES = [f"s{j}" for j in range(CHUNKS)]
 FULL = sum((2**BITS - 1) << (LANE * i) for i in range(PER_CHUNK))
 FREE = sum(1 << (LANE * i + BITS) for i in range(PER_CHUNK))
-#: Ids up to this many are sent to all executors to fetch texts; beyond it the texts are shuffled.
-BROADCAST_IDS = 300_000
 WORD_CACHE = 100_000
 #: Texts, and pairs of texts, that a Python worker holds at once.
 BATCH_TEXTS, BATCH_PAIRS = 1000, 250
 _BLOCK = 256
 _RNG = np.random.default_rng(20240229)
-_MULTIPLY = _RNG.integers(0, 2**31, VALUES + FINE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_FLIP = _RNG.integers(0, 2**32, VALUES + FINE, dtype=np.uint32)
+_MULTIPLY = _RNG.integers(0, 2**31, VALUES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_FLIP = _RNG.integers(0, 2**32, VALUES, dtype=np.uint32)
 _PLACES = np.arange(PER_CHUNK, dtype=np.int64) * LANE
-_FINE_PLACES = np.arange(32, dtype=np.uint64) * np.uint64(2)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -87,8 +92,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def signature(words: list[bytes], k: int, hashes: dict[bytes, int]) -> tuple[int, list[int]]:
-    """Number of distinct shingles, and both signatures packed into longs (``LANES``, ``FINE_LANES``)."""
+def signature(words: list[bytes], k: int, hashes: dict[bytes, int]) -> tuple[int, list[int], np.ndarray]:
+    """Number of distinct shingles, signature and parities packed into longs (``LANES``, ``ODD_LANES``), and the sketch."""
     h = np.array([hashes[w] for w in words], dtype=np.uint64)
     n = max(1, len(words) - k + 1)
     shingles = np.zeros(n, dtype=np.uint64)
@@ -96,33 +101,38 @@ def signature(words: list[bytes], k: int, hashes: dict[bytes, int]) -> tuple[int
         shingles = _mixed(shingles * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n])
     shingles = np.unique(shingles)
     short = (shingles >> np.uint64(32)).astype(np.uint32)
-    least = np.full(VALUES + FINE, 2**32 - 1, dtype=np.uint32)
+    least = np.full(VALUES, 2**32 - 1, dtype=np.uint32)
     for at in range(0, len(short), _BLOCK):
         part = short[None, at : at + _BLOCK] ^ _FLIP[:, None]
         part *= _MULTIPLY[:, None]
         np.minimum(least, part.min(axis=1), out=least)
     values = _mixed(least.astype(np.uint64))
-    coarse = (values[:VALUES] & np.uint64(2**BITS - 1)).astype(np.int64).reshape(CHUNKS, PER_CHUNK)
-    fine = (values[VALUES:] & np.uint64(3)).reshape(len(FINE_LANES), 32) << _FINE_PLACES
-    return len(shingles), (coarse << _PLACES).sum(axis=1).tolist() + fine.sum(axis=1, dtype=np.uint64).view(np.int64).tolist()
+    coarse = (values & np.uint64(2**BITS - 1)).astype(np.int64).reshape(CHUNKS, PER_CHUNK)
+    odd = np.bincount((shingles & np.uint64(ODD - 1)).astype(np.int64), minlength=ODD) & 1
+    lanes = (coarse << _PLACES).sum(axis=1).tolist() + np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+    sketch = shingles[: SKETCH if len(shingles) > ODD_SIZE else 0] >> np.uint64(16) & np.uint64(0xFFFF)
+    sketch = np.unique(sketch.astype(np.uint16).view(np.int16))
+    return len(shingles), lanes, sketch
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """``id``, ``n_shingles``, ``words_key`` (equal for equal word sequences) and the packed chunks."""
+    """``id``, ``n_shingles``, ``words_key`` (equal for equal word sequences), the packed chunks and the ``sketch``."""
 
-    @F.pandas_udf("n_shingles long, words_key string, " + ", ".join(f"{c} long" for c in LANES + FINE_LANES))
+    @F.pandas_udf("n_shingles long, words_key string, " + ", ".join(f"{c} long" for c in LANES + ODD_LANES) + ", sketch array<smallint>")
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         hashes = _WordHashes()
         for texts in batches:
-            sizes, keys, packed = [], [], []
+            sizes, keys, packed, sketches = [], [], [], []
             for text in texts:
                 words = words_of(text)
-                n, lanes = signature(words, k, hashes) if words else (0, [0] * len(LANES + FINE_LANES))
+                n, lanes, sketch = signature(words, k, hashes) if words else (0, [0] * len(LANES + ODD_LANES), np.zeros(0, np.int16))
                 sizes.append(n)
                 keys.append(hashlib.blake2b(b" ".join(words), digest_size=16).hexdigest())
                 packed.append(lanes)
-            lanes = np.array(packed, dtype=np.int64).reshape(len(texts), len(LANES + FINE_LANES))
-            yield pd.DataFrame({"n_shingles": sizes, "words_key": keys} | {c: lanes[:, j] for j, c in enumerate(LANES + FINE_LANES)})
+                sketches.append(sketch)
+            lanes = np.array(packed, dtype=np.int64).reshape(len(texts), len(LANES + ODD_LANES))
+            columns = {"n_shingles": sizes, "words_key": keys} | {c: lanes[:, j] for j, c in enumerate(LANES + ODD_LANES)}
+            yield pd.DataFrame(columns | {"sketch": pd.Series(sketches, dtype=object)})
 
     return docs.select(F.col(id_col).alias("id"), sign(F.col(text_col)).alias("s")).select("id", "s.*")
 
@@ -146,22 +156,19 @@ def chunk_distances(a: str, b: str) -> list[Column]:
 
 
 def near(a: str, b: str, percent: int) -> Column:
-    """Whether both signatures and the sizes of aliases ``a`` and ``b`` allow a link."""
+    """Whether the signatures and the sizes of aliases ``a`` and ``b`` allow a link."""
     coarse = chunk_distances(a, b)
-    apart = [F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")) for c in FINE_LANES]
-    fine = [
-        F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555))) for x in apart
-    ]
-    return can_reach(a, b, percent) & (sum(coarse[1:], coarse[0]) <= DISTANCE) & (sum(fine[1:], fine[0]) <= FINE_DISTANCE)
+    return can_reach(a, b, percent) & (sum(coarse[1:], coarse[0]) <= DISTANCE)
 
 
 def first_shared(a: str, b: str, key: Column) -> Column:
-    """Whether ``key`` (its number) is the first key that aliases ``a`` and ``b`` share."""
-    return F.coalesce(
-        *[
-            F.when(d == 0, key == j * PER_CHUNK).when(d == 1, F.floor(key / PER_CHUNK) == j)
-            for j, d in enumerate(chunk_distances(a, b))
-        ]
+    """Whether ``key`` (its number) is the first key that aliases ``a`` and ``b`` share; on arrays, since few pairs get here."""
+    apart = F.zip_with(
+        f"{a}.chunks", f"{b}.chunks", lambda x, y: F.bit_count((x.bitwiseXOR(y) + F.lit(FULL)).bitwiseAND(F.lit(FREE)))
+    )
+    chunk = F.floor(key / PER_CHUNK)
+    return (F.array_position(F.transform(apart, lambda d: d <= CHUNK_ERRORS), F.lit(True)) == chunk + 1) & (
+        (F.get(apart, chunk.cast("int")) > 0) | (key % PER_CHUNK == 0)
     )
 
 
@@ -171,13 +178,32 @@ def can_reach(a: str, b: str, percent: int) -> Column:
     return F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
 
 
+def parities_allow(a: str, b: str, percent: int) -> Column:
+    """Whether the parities of aliases ``a`` and ``b`` differ in no more places than sets of that similarity can."""
+    apart = [F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in ODD_LANES]
+    return sum(apart[1:], apart[0]) * (100 + percent) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (100 - percent)
+
+
+def sketches_allow(a: str, b: str, percent: int) -> Column:
+    """Whether the sketches of aliases ``a`` and ``b`` allow that similarity.
+
+    A link needs ``percent / (100 + percent)`` of both sizes in common. Different shingles may share their 16
+    bits: that only adds to the intersection, but for those of one sketch, which are counted and added.
+    """
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    hidden = lambda x: F.least(F.col(f"{x}.n"), F.lit(SKETCH)) - F.size(F.col(f"{x}.sketch"))
+    common = F.size(F.array_intersect(F.col(f"{a}.sketch"), F.col(f"{b}.sketch"))) + F.least(hidden(a), hidden(b))
+    most, needed = F.greatest(na, nb), (na + nb) * percent / (100 + percent)
+    share = F.least(needed / most, F.lit(1.0))
+    estimated = SKETCH * share - SKETCH_ERRORS * F.sqrt(SKETCH * share * (1 - share) + 1)
+    return (F.least(na, nb) <= ODD_SIZE) | (common >= F.when(most <= SKETCH, needed - 1e-6).otherwise(estimated))
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` of ids whose full shingle sets reach ``percent`` Jaccard similarity."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    texts = texts.join(ids, "id", "left_semi")
+    ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "minhash-ids")
+    texts = texts.join(broadcast_if_small(ids), "id", "left_semi")
     with_texts = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(
         texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b"
     )
@@ -197,6 +223,20 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k:
     return with_texts.select("a", "b", "ta", "tb").mapInPandas(run, f"a {kind}, b {kind}").distinct()
 
 
+def more_joined(joined: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``joined(id, component_id)`` after further ``links(a, b)``; only components are linked anew, not ids."""
+    if joined is None:
+        return components(links)
+    comp = lambda c: joined.select(F.col("id").alias(c), F.col("component_id").alias(f"c{c}"))
+    met = links.join(comp("a"), "a", "left").join(comp("b"), "b", "left").select(
+        F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")
+    )
+    higher = stored(components(met), "minhash-higher")
+    above = higher.select(F.col("id").alias("component_id"), F.col("component_id").alias("top"))
+    moved = joined.join(above, "component_id", "left").select("id", F.coalesce("top", "component_id").alias("component_id"))
+    return stored(moved.unionByName(higher.join(joined, "id", "left_anti")), "minhash-joined")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -207,47 +247,74 @@ def near_duplicates(
     classes = stored(
         rows.where("n_shingles > 0 and id is not null")
         .groupBy("words_key")
-        .agg(F.min("id").alias("cls"), F.min("n_shingles").alias("n"), *[F.min(c).alias(c) for c in LANES + FINE_LANES]),
+        .agg(F.min("id").alias("cls"), F.min("n_shingles").alias("n"), *[F.min(c).alias(c) for c in LANES + ODD_LANES]),
         "minhash-classes",
     )
     keys = classes.select("cls", F.posexplode(F.array(*chunk_keys())).alias("nth", "key"))
-    shared = keys.groupBy("key").agg(F.min("cls").alias("hub"), F.max("cls").alias("top")).where("hub < top")
-    filed = stored(keys.join(shared.select("key", "hub"), "key"), "minhash-filed")
-
-    a, b = classes.alias("a"), classes.alias("b")
-    first = stored(
-        filed.where("cls <> hub").select(F.col("hub").alias("x"), F.col("cls").alias("y")).distinct()
-        .join(a, F.col("x") == F.col("a.cls"))
-        .join(b, (F.col("y") == F.col("b.cls")) & near("a", "b", percent))
-        .select(F.col("x").alias("a"), F.col("y").alias("b"))
-        .distinct(),
-        "minhash-first",
+    shared = keys.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("key")
+    filed = stored(keys.join(shared, "key"), "minhash-filed")
+    # all that is compared of the classes that share a key with another one
+    drawn = rows.select(F.col("id").alias("cls"), "words_key", "sketch")
+    compared = stored(
+        classes.join(filed.select("cls").distinct(), "cls", "left_semi").join(drawn, ["cls", "words_key"])
+        .drop("words_key").dropDuplicates(["cls"]).withColumn("chunks", F.array(*LANES)),
+        "minhash-compared",
     )
-    with small_batches(spark, BATCH_PAIRS):
-        links = stored(confirmed(first, docs, id_col, text_col, shingle, percent), "minhash-links")
-    joined = components(links)
 
-    placed = filed.join(joined.select(F.col("id").alias("cls"), "component_id"), "cls", "left").select(
-        "key", "nth", "cls", F.coalesce("component_id", "cls").alias("comp")
-    )
-    placed = stored(placed, "minhash-placed")
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    rest = placed.join(open_keys.select("key"), "key").join(classes, "cls")
+    def unconfirmed(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
+        return stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "minhash-pairs")
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        with small_batches(spark, BATCH_PAIRS):
+            return stored(confirmed(pairs, docs, id_col, text_col, shingle, percent), "minhash-links")
+
+    def still_open(joined: DataFrame | None) -> DataFrame:
+        """The filed classes with their components, without the keys whose classes lie in one component."""
+        if joined is None:
+            return filed.withColumn("comp", F.col("cls"))
+        placed = stored(
+            filed.join(joined.select(F.col("id").alias("cls"), "component_id"), "cls", "left").select(
+                "key", "nth", "cls", F.coalesce("component_id", "cls").alias("comp")
+            ),
+            "minhash-placed",
+        )
+        several = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+        return placed.join(several.select("key"), "key")
+
+    a, b = compared.alias("a"), compared.alias("b")
+    alike = near("a", "b", percent) & parities_allow("a", "b", percent)
+    exact = sketches_allow("a", "b", percent)
+    tested = joined = None
+    for turn in range(HUBS):
+        placed = still_open(joined)
+        order = F.struct(F.xxhash64(F.lit(turn), "cls") if turn else F.lit(0), "cls", "comp")
+        hubs = placed.groupBy("key").agg(F.min(order).alias("h")).select("key", F.col("h.cls").alias("hub"), F.col("h.comp").alias("hub_comp"))
+        around = placed.join(hubs, "key").where("comp <> hub_comp").select(F.least("hub", "cls").alias("x"), F.greatest("hub", "cls").alias("y"))
+        pairs = unconfirmed(
+            around.distinct()
+            .join(a, F.col("x") == F.col("a.cls"))
+            .join(b, (F.col("y") == F.col("b.cls")) & alike & exact)
+            .select(F.col("x").alias("a"), F.col("y").alias("b")),
+            tested,
+        )
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        if not pairs.isEmpty():
+            joined = more_joined(joined, links_of(pairs))
+
+    rest = still_open(joined).join(compared, "cls")
     left, right = rest.alias("a"), rest.alias("b")
     meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.cls") < F.col("b.cls")) & (F.col("a.comp") != F.col("b.comp"))
-    second = stored(
-        left.join(right, meet & near("a", "b", percent) & first_shared("a", "b", F.col("a.nth")))
-        .select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b"))
-        .join(first, ["a", "b"], "left_anti"),
-        "minhash-second",
+    pairs = unconfirmed(
+        left.join(right, meet & alike & first_shared("a", "b", F.col("a.nth")) & exact)
+        .select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")),
+        tested,
     )
-    if not second.isEmpty():
-        with small_batches(spark, BATCH_PAIRS):
-            more = stored(confirmed(second, docs, id_col, text_col, shingle, percent), "minhash-links")
-        if not more.isEmpty():
-            joined = components(links.unionByName(more))
+    if not pairs.isEmpty():
+        joined = more_joined(joined, links_of(pairs))
 
-    member = rows.join(classes.select("words_key", "cls"), "words_key", "left")
+    if joined is None:
+        joined = classes.select(F.col("cls").alias("id"), F.col("cls").alias("component_id"))
+    member = rows.drop("sketch").join(classes.select("words_key", "cls"), "words_key", "left")
     return member.join(joined.select(F.col("id").alias("cls"), "component_id"), "cls", "left").select(
         F.col("id").alias(id_col),
         "n_shingles",

@@ -9,6 +9,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Small tables up to this size (their values as text, and 16 bytes a row) are sent to all executors.
+BROADCAST_BYTES = 8_000_000
 #: Where working tables go in a local session that names no shared folder (tests, single machine).
 LOCAL_FOLDER = "/tmp/checkpoints/tiltmeter"
 
@@ -39,6 +41,12 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` (a stored table) with a broadcast hint if its rows are proven to be small; both ways give the same join."""
+    row = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns), F.lit(16))
+    return F.broadcast(df) if (df.agg(F.sum(row.cast("long"))).first()[0] or 0) <= most else df
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """Rows that a Python worker gets at once, while a table of whole texts is written."""
@@ -55,9 +63,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges(a, b)`` as ``(id, component_id)``.
 
     ``component_id`` is the smallest id of the component. Only ids that have an edge to another
-    id appear. Each round contracts every node into its least neighbour under an order that is
-    drawn anew from a hash, so the number of nodes shrinks by a constant factor whatever the shape
-    of the graph; hubs are aggregated with partial sums and joined with plain equi-joins. The
+    id appear. Each round contracts every node into its least neighbour: in the first round by id, which
+    ends stars around their least id, then under an order that is drawn anew from a hash, so the number
+    of nodes shrinks by a constant factor whatever the shape of the graph; hubs are aggregated with partial sums and joined with plain equi-joins. The
     parent maps of the rounds are stored tables; they are composed backwards at the end.
     """
     left = stored(
@@ -69,7 +77,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if left.isEmpty():
             break
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        key = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("id"))  # noqa: E731, B023
+        key = lambda c: F.struct((F.xxhash64(F.lit(turn), F.col(c)) if turn else F.lit(0)).alias("h"), F.col(c).alias("id"))  # noqa: E731, B023
         parent = stored(
             both.groupBy("a")
             .agg(F.min(key("b")).alias("n"))
