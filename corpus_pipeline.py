@@ -9,21 +9,13 @@ from pyspark.sql import functions as F
 
 from tiltmeter.llm import minhash_hamming, nbsvm_quality, prefix_bpe, temperature_mix, toxic_segments
 from tiltmeter.llm.queries import piece_model
-from tiltmeter.llm.shared import stored
-
-#: Ids up to this many are sent to all executors; beyond it the documents are shuffled by id.
-BROADCAST_IDS = 300_000
+from tiltmeter.llm.shared import broadcast_if_small, stored
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def _bounded(ids: DataFrame) -> DataFrame:
-    """A broadcast hint where the number of ids is small."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-
-
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     judged = nbsvm_quality.classify(docs, _labels(spark, sf_dir))
     return judged.where("predicted = 1").select(docs.columns)
@@ -38,7 +30,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies; of rows that repeat an id, the one with the least text."""
     found = stored(minhash_hamming.near_duplicates(docs), "pipeline-classes")
     dropped = stored(found.where("not kept").select("doc_id").distinct(), "pipeline-dropped")
-    kept = docs.join(_bounded(dropped), "doc_id", "left_anti")
+    kept = docs.join(broadcast_if_small(dropped), "doc_id", "left_anti")
     again = stored(
         found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"),
         "pipeline-repeated",
