@@ -6,12 +6,14 @@ protocol guards the files; where payloads must move between executors, they move
 
 The reader checks version line, head, length, record end and block digest of each record, and each
 gzip member. After a failed check it searches for the next member or version line that passes, goes
-on there, and logs the bytes between as a quarantined gap. Files are read whole by one task each;
-the writer keeps them near ``FILE_BYTES``.
+on there, and logs the bytes between as a quarantined gap. Members are inflated piece by piece, and
+what is read is handed on in batches of about ``OUT_BYTES``. A file is read whole by one task, so it must
+be under 2 GB; the writer keeps files near ``FILE_BYTES``: records are written by sizes, so that no file
+gets more than about ``SIZE_STEP`` times that, or one record.
 
 Defined results: a null payload counts as empty; an empty table gives an empty archive; rows that
 repeat the least page id of a payload are all responses; a null page id sorts after all others and
-is read back as null; other columns are ignored.
+is read back as null; heads and URLs of any length are read back; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,24 +22,26 @@ import base64
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiltmeter.llm.shared import stored
+from tiltmeter.llm.shared import broadcast_if_small, stored
 
 END = b"\r\n\r\n"
-FILE_BYTES = 16_000_000
-#: Revisits up to this many are sent to all executors, so that payloads stay where they are read; beyond it both
-#: sides are shuffled.
-BROADCAST_REVISITS = 2_000_000
+FILE_BYTES, SIZE_STEP = 16_000_000, 16
+#: Revisits up to this size (as text) are sent to all executors, so that payloads stay where they are read; beyond
+#: it both sides are shuffled.
+REVISIT_BYTES = 48_000_000
+#: Input that is inflated at once, what a member's records may hold in memory, and what is handed on at once.
+PIECE_BYTES, HELD_BYTES, OUT_BYTES = 1 << 16, 1 << 25, 1 << 23
 #: Date of all records, so that equal tables give equal archives.
 RECORD_DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_START = re.compile(rb"WARC/\d\.\d\r?\n|\x1f\x8b\x08")
-_LONGEST_HEAD = 1 << 16
+_VERSION = re.compile(rb"WARC/\d\.\d\r?\n")
+_START = re.compile(_VERSION.pattern + rb"|\x1f\x8b\x08")
 RECORDS = (
     "file string, start long, length long, kind string, note string, warc_type string, record_id string, "
     "target_uri string, refers_to string, payload_digest string, http_length long, payload binary"
@@ -61,14 +65,15 @@ def inflate(payload: pd.Series) -> pd.Series:
 
 def write_archives(
     pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
-    min_revisit_bytes: int = 0,
+    min_revisit_bytes: int = 0, revisit_bytes: int = REVISIT_BYTES,
 ) -> None:
     """Write a WARC record for each row of ``pages`` under ``path``; payloads below the size are never revisited."""
     full = pages.select(
         F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(payload_col, F.lit("")).alias("payload")
     ).withColumn("sha", F.sha1(F.col("payload").cast("binary")))
     light = stored(full.select("id", "sha", F.octet_length("payload").cast("long").alias("size")), "warc-light")
-    rows, total = light.agg(F.count(F.lit(1)), F.sum(F.col("size") + 700)).first()
+    step_of = lambda size: F.ceil(F.log(float(SIZE_STEP), size + 700)).cast("int")
+    steps = [tuple(r) for r in light.groupBy(step_of(F.col("size"))).agg(F.count(F.lit(1)), F.sum(F.col("size") + 700)).collect()]  # a few sizes
     # a null id sorts last: only payloads without any other id are first met there
     first = light.groupBy("sha").agg(F.min("id").alias("first_id"))
     again = ~F.col("id").eqNullSafe(F.col("first_id")) & (F.col("size") >= min_revisit_bytes)
@@ -81,10 +86,10 @@ def write_archives(
     keyed = full.withColumn("rk", F.xxhash64("id", "sha"))
     same = (F.col("rk") == F.col("r_rk")) & F.col("id").eqNullSafe(F.col("i2")) & (F.col("sha") == F.col("s2"))
     revisits_by = revisits.withColumnRenamed("rk", "r_rk")
-    if revisits.count() <= BROADCAST_REVISITS:
-        both = keyed.join(F.broadcast(revisits_by), same, "left")
+    if (sent := broadcast_if_small(revisits_by, revisit_bytes)) is not revisits_by:
+        both = keyed.join(sent, same, "left")
     else:
-        files = -(-total // FILE_BYTES)
+        files = -(-sum(total for *_, total in steps) // FILE_BYTES)
         moved = keyed.withColumn("payload", F.pandas_udf(deflate, "binary")(F.col("payload").cast("binary")))
         both = moved.repartition(files, "rk").join(
             revisits_by.repartition(files, "r_rk"), same, "left"
@@ -116,9 +121,13 @@ def write_archives(
         F.concat(F.lit("Content-Length: "), F.octet_length("block").cast("string")),
     )
     record = F.concat(head, F.lit(crlf + crlf), "block")
-    made.select(record.alias("value")).write.option("lineSep", END.decode()).option(
-        "maxRecordsPerFile", max(1, FILE_BYTES * rows // total) if rows else 0
-    ).text(path)
+    made = made.select(record.alias("value"), step_of(F.octet_length("payload")).alias("step"))
+    if not steps:
+        made.select("value").write.option("lineSep", END.decode()).text(path)
+    for nth, rows, total in steps:  # one pass for each order of size
+        made.where(F.col("step") == nth).select("value").write.mode("append").option("lineSep", END.decode()).option(
+            "maxRecordsPerFile", max(1, FILE_BYTES * rows // total)
+        ).text(path)
 
 
 def _head(lines: bytes) -> dict[str, str]:
@@ -130,11 +139,10 @@ def _head(lines: bytes) -> dict[str, str]:
     return fields
 
 
-def _record(data: bytes, at: int) -> tuple[dict | None, int, str]:
-    """The record at an offset, where it ends, and what check failed."""
-    if not re.compile(rb"WARC/\d\.\d\r?\n").match(data, at):
+def _record(data: bytes, at: int, head_end: int) -> tuple[dict | None, int, str]:
+    """The record at an offset whose head ends there (below 0: nowhere), where it ends, and what check failed."""
+    if not _VERSION.match(data, at):
         return None, at, "no version line"
-    head_end = data.find(END, at, at + _LONGEST_HEAD)
     if head_end < 0:
         return None, at, "head without end"
     fields = _head(data[at:head_end])
@@ -164,32 +172,86 @@ def _record(data: bytes, at: int) -> tuple[dict | None, int, str]:
     }, stop + len(END), ""
 
 
-def _at(data: bytes, at: int) -> tuple[list[dict], int, str]:
-    """What stands at an offset: a plain record, or a gzip member of whole records."""
-    if data[at : at + 2] != b"\x1f\x8b":
-        record, end, why = _record(data, at)
-        return ([record] if record else []), end, why
-    unzip = zlib.decompressobj(wbits=31)
-    try:
-        inner = unzip.decompress(data[at:] if at else data) + unzip.flush()
-    except zlib.error as error:
-        return [], at, f"gzip: {error}"
-    if not unzip.eof:
-        return [], at, "gzip: member without end"
-    found, here = [], 0
-    while here < len(inner):
-        record, here, why = _record(inner, here)
-        if not record:
-            return [], at, why
-        found.append(record)
-    return found, len(data) - len(unzip.unused_data), ""
+class _Broken(Exception):
+    """A member that holds something else than whole records."""
+
+
+class _Member:
+    """The records of the gzip member at an offset, inflated piece by piece; ``end`` is known after the last one."""
+
+    def __init__(self, data: memoryview, at: int):
+        self.data, self.at, self.end = data, at, at
+
+    def pieces(self) -> Iterator[bytes]:
+        unzip, here = zlib.decompressobj(wbits=31), self.at
+        while not unzip.eof:
+            piece = self.data[here : here + PIECE_BYTES]
+            if not piece:
+                raise _Broken("gzip: member without end")
+            here += len(piece)
+            yield unzip.decompress(piece)
+        self.end = here - len(unzip.unused_data)
+
+    def __iter__(self) -> Iterator[dict]:
+        buffer, head_end, searched, needed = bytearray(), -1, 0, 0
+        for piece in self.pieces():
+            buffer += piece
+            while buffer:
+                if len(buffer) >= 10 and not _VERSION.match(buffer):
+                    raise _Broken("no version line")
+                if head_end < 0:
+                    head_end = buffer.find(END, searched)
+                    if head_end < 0:
+                        searched = max(0, len(buffer) - len(END))
+                        break
+                    length = _head(bytes(buffer[:head_end])).get("content-length", "")
+                    needed = head_end + 2 * len(END) + (int(length) if re.fullmatch(r"\d{1,18}", length) else 0)
+                if len(buffer) < needed:
+                    break
+                record, used, why = _record(bytes(buffer[:needed]), 0, head_end)
+                if not record:
+                    raise _Broken(why)
+                yield record
+                del buffer[:used]
+                head_end, searched, needed = -1, 0, 0
+        if buffer:
+            raise _Broken(_record(bytes(buffer), 0, head_end)[2])
+
+
+class _Archive:
+    """An archive's bytes, and where the next head ends."""
+
+    def __init__(self, data: bytes):
+        self.data, self.view, self.low, self.high = data, memoryview(data), 0, -1
+
+    def head_end(self, at: int) -> int:
+        if not self.low <= at <= self.high:
+            found = self.data.find(END, at)
+            self.low, self.high = at, found if found >= 0 else len(self.data)
+        return self.high if self.high < len(self.data) else -1
+
+    def records_at(self, at: int) -> tuple[Iterable[dict], int, str]:
+        """What stands at an offset: a plain record, or a gzip member of whole records."""
+        if self.data[at : at + 2] != b"\x1f\x8b":
+            record, end, why = _record(self.data, at, self.head_end(at))
+            return ([record] if record else []), end, why
+        member, held, size = _Member(self.view, at), [], 0
+        try:
+            for record in member:  # a member counts only if all of it is sound
+                size += len(record["payload"])
+                held.append(record)
+                if size > HELD_BYTES:  # it is inflated again instead
+                    held.clear()
+        except (zlib.error, _Broken) as error:
+            return [], at, str(error) if isinstance(error, _Broken) else f"gzip: {error}"
+        return (held if size <= HELD_BYTES else _Member(self.view, at)), member.end, ""
 
 
 def salvage(data: bytes) -> Iterator[dict]:
     """Records of an archive in order, and between them the gaps that no record could be read from."""
-    at = 0
+    archive, at = _Archive(data), 0
     while at < len(data):
-        found, end, why = _at(data, at)
+        found, end, why = archive.records_at(at)
         if not why:
             for record in found:
                 yield record | {"start": at, "length": end - at, "kind": "record", "note": None}
@@ -197,8 +259,7 @@ def salvage(data: bytes) -> Iterator[dict]:
             continue
         search = at + 1
         while next_ := _START.search(data, search):
-            found, end, bad = _at(data, next_.start())
-            if not bad:
+            if not archive.records_at(next_.start())[2]:
                 break
             search = next_.start() + 1
         resume = next_.start() if next_ else len(data)
@@ -210,12 +271,21 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """All records and gaps of the archives under ``path`` (columns as in ``RECORDS``)."""
     names = [c.split()[0] for c in RECORDS.split(", ")]
 
+    def table(rows: list[dict]) -> pd.DataFrame:
+        out = pd.DataFrame(rows).reindex(columns=names)
+        return out.assign(http_length=out["http_length"].astype("Int64"))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, size = [], 0
         for batch in batches:
             for file, content in zip(batch["path"], batch["content"], strict=True):
-                rows = [r | {"file": file} for r in salvage(bytes(content))]
-                if rows:
-                    out = pd.DataFrame(rows).reindex(columns=names)
-                    yield out.assign(http_length=out["http_length"].astype("Int64"))
+                for row in salvage(bytes(content)):
+                    rows.append(row | {"file": file})
+                    size += 500 + len(row.get("payload") or b"")
+                    if size > OUT_BYTES:
+                        yield table(rows)
+                        rows, size = [], 0
+        if rows:
+            yield table(rows)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, RECORDS)
