@@ -156,6 +156,18 @@ def test_pipeline_equals_its_stages_done_plainly(spark, sf_dir):
     assert temperature_mix.mix(single).select(columns).columns == columns
 
 
+def test_pipeline_stages_take_odd_tables(spark, documents, sf_dir):
+    odd = documents.withColumns({c: F.lit(7) for c in ("mix_order", "score", "predicted", "held_out", "worst", "__judged", "k", "t", "id")})
+    for name, stage in corpus_pipeline.STAGES:
+        for df in (odd, odd.limit(0)):
+            got = stage(spark, df, sf_dir)
+            rows = got.collect()
+            if name != "sentencepiece":
+                assert got.columns == df.columns and all(r.score == 7 and r.mix_order == 7 for r in rows)
+            if name in ("quality", "toxicity", "sentencepiece"):
+                assert len(rows) <= df.count()
+
+
 def test_repeated_rows_leave_one(spark, documents):
     got = corpus_pipeline.one_of_each(spark, documents, "").collect()
     ids = [r.doc_id for r in got]

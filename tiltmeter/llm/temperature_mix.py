@@ -12,7 +12,8 @@ quota. Where it ends is found from sums over blocks and then inside one block, s
 gathered in one task; the choice is then a plain filter on each document.
 
 Defined results: a null text has no tokens; null is a source of its own; sources without tokens get
-weight 0 and none of their rows; rows that repeat are drawn each; an empty table gives no rows. Other
+weight 0 and none of their rows; rows with equal id and text (null ids too) have one place in a
+permutation and are drawn together; an empty table gives no rows. Other
 columns are kept whatever their names, but those that start with ``mix_``.
 """
 
@@ -112,7 +113,7 @@ def mix(
     entropy_share: float | None = 0.95, max_repeats: float | None = 4.0, budget: int | None = None, seed: int = 11,
 ) -> DataFrame:
     """The drawn rows: all columns of ``docs`` with ``mix_tokens``, ``mix_pass``, ``mix_block``, ``mix_order``, ``mix_weight``."""
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string")))
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string"), F.xxhash64(text_col).cast("string")))
     named = docs.select(  # the row is carried as one struct, so that no name of its own can clash
         F.struct(*docs.columns).alias("__row"), tokens(F.col(text_col)).alias("t"), key.alias("k"),
         F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("-")).alias("__src"),
