@@ -16,18 +16,40 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+#: Columns that the stages read; all others are carried under neutral names, so that none can clash.
+READ = ("doc_id", "text", "source")
+
+
+def _carried(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``stage`` applied to ``docs``, with exactly the columns of ``docs`` afterwards."""
+    name = {c: c if c in READ else f"__c{i}" for i, c in enumerate(docs.columns)}
+    return stage(docs.withColumnsRenamed(name)).select(*[F.col(n).alias(c) for c, n in name.items()])
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = nbsvm_quality.classify(docs, _labels(spark, sf_dir))
-    return judged.where("predicted = 1").select(docs.columns)
+    """Documents whose quality score reaches the threshold.
+
+    Null and empty texts are scored as texts without features, repeated rows are judged each (equal texts alike),
+    an empty table gives no rows, null ids are never learned from, and all other columns come through unchanged.
+    """
+    return _carried(docs, lambda d: nbsvm_quality.classify(d, _labels(spark, sf_dir)).where("predicted = 1"))
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = toxic_segments.classify(docs, _labels(spark, sf_dir))
-    return judged.where("predicted = 0").select(docs.columns)
+    """Documents whose toxicity score stays below the threshold.
+
+    Null and empty texts have no toxic passage and get the score of the offset alone; repeated rows, empty tables,
+    null ids and other columns are treated as in ``good_quality``.
+    """
+    return _carried(docs, lambda d: toxic_segments.classify(d, _labels(spark, sf_dir)).where("predicted = 0"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies; of rows that repeat an id, the one with the least text."""
+    """One document of each group of near copies; of rows that repeat an id, the one with the least text.
+
+    An id names one document: texts that share an id are linked through it. Rows with a null id, and null, empty
+    and white-space texts, are linked with nothing and stay; an empty table gives no rows.
+    """
     found = stored(minhash_hamming.near_duplicates(docs), "pipeline-classes")
     dropped = stored(found.where("not kept").select("doc_id").distinct(), "pipeline-dropped")
     kept = docs.join(broadcast_if_small(dropped), "doc_id", "left_anti")
@@ -43,10 +65,16 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return temperature_mix.mix(docs).select(docs.columns)
+    """Rows drawn to the target weights of the sources, as often as they are drawn.
+
+    Null is a source of its own, sources without words lose their rows, repeated rows are drawn each, an empty
+    table gives no rows, and all columns come through whatever their names.
+    """
+    return _carried(docs, temperature_mix.mix)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids and digests of every row; a null or empty text has no ids; columns but ``doc_id`` and ``source`` end here."""
     coded = prefix_bpe.encode_documents(docs.select("doc_id", "source", "text"), piece_model())
     return coded.select(
         "doc_id", "source", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
