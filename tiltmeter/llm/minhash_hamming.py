@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiltmeter.llm.shared import broadcast_if_small, components, small_batches, stored
+from tiltmeter.llm.shared import broadcast_if_small, components, hand_back_memory, small_batches, stored
 
 VALUES, BITS, PER_CHUNK, CHUNK_ERRORS = 40, 14, 4, 1
 CHUNKS = VALUES // PER_CHUNK
@@ -133,6 +133,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame
             lanes = np.array(packed, dtype=np.int64).reshape(len(texts), len(LANES + ODD_LANES))
             columns = {"n_shingles": sizes, "words_key": keys} | {c: lanes[:, j] for j, c in enumerate(LANES + ODD_LANES)}
             yield pd.DataFrame(columns | {"sketch": pd.Series(sketches, dtype=object)})
+        hand_back_memory()
 
     return docs.select(F.col(id_col).alias("id"), sign(F.col(text_col)).alias("s")).select("id", "s.*")
 
@@ -218,6 +219,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k:
                 both = len(other & last_set)
                 good.append(100 * both >= percent * (len(other) + len(last_set) - both))
             yield batch.loc[good, ["a", "b"]]
+        hand_back_memory()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return with_texts.select("a", "b", "ta", "tb").mapInPandas(run, f"a {kind}, b {kind}").distinct()

@@ -29,11 +29,13 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tiltmeter.llm.shared import hand_back_memory
+
 SPACE = "▁"
 NO_RANK = float("inf")
 #: Encoded chunks and rows of prefix tables that a Python worker remembers (twice as many chunks, of the last two
 #: generations), and the length of the longest such chunk.
-CACHE_CHUNKS, CACHE_ROWS, CACHE_CHARS = 30_000, 200_000, 60
+CACHE_CHUNKS, CACHE_ROWS, CACHE_CHARS = 30_000, 120_000, 60
 #: Encoded rows that a Python worker hands on at once.
 OUT_ROWS = 250
 
@@ -360,6 +362,7 @@ def coded_column(spark: SparkSession, model_path: str, text: Column) -> Column:
             for at in range(0, len(texts), OUT_ROWS):  # ids and text are several times the input: hand them on in parts
                 done = [coder.encode_decode(t) for t in texts.iloc[at : at + OUT_ROWS]]
                 yield pd.DataFrame(done, columns=["ids", "n_tokens", "decoded"])
+        hand_back_memory()
 
     return code(text)
 

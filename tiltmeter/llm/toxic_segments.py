@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiltmeter.llm.labelled import calibrated, class_weights, fold, labelled_sample, sigmoid
-from tiltmeter.llm.shared import stored
+from tiltmeter.llm.shared import hand_back_memory, stored
 
 TOKEN = re.compile(r"[^\W\d_]+")
 SHORTEST, LONGEST = 3, 8
@@ -266,6 +266,7 @@ def judged_column(spark: SparkSession, model: Model, text: Column) -> Column:
                 top = min(found, key=lambda f: f[3], default=None)
                 worst.append(" ".join(words[top[0] : top[1]]) if top else None)
             yield pd.DataFrame({"score": score, "n_passages": count, "worst": worst})
+        hand_back_memory()
 
     return judge(text)
 
