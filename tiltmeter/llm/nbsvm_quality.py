@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiltmeter.llm.labelled import calibrated, class_weights, fold, labelled_sample, sigmoid
+from tiltmeter.llm.shared import hand_back_memory
 
 SPACE = 1 << 18
 LONGEST = 6
@@ -177,6 +178,7 @@ def score_column(spark: SparkSession, model: Model, text: Column) -> Column:
         known, model = _Words(), held.value
         for texts in batches:
             yield pd.Series([model.score(features(t or "", known)) for t in texts], dtype=float)
+        hand_back_memory()
 
     return score(text)
 
