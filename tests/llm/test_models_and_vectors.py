@@ -118,18 +118,33 @@ def test_vectors_equal_brute_force(spark):
     assert itq_dedup.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
-def test_codes_are_balanced_and_recall_is_high():
+def test_codes_are_balanced():
     rng = np.random.default_rng(5)
     x = itq_dedup.unit(rng.normal(size=(4000, 64)))
-    model = itq_dedup.fit_rotation(x)
-    code = itq_dedup.codes(x, model)
+    mean, rate = itq_dedup.centre(x, 0.93)
+    assert rate == pytest.approx(np.arccos(0.93) / np.pi, abs=0.005)
+    code = itq_dedup.codes(x, mean, [itq_dedup.fit_rotation(x, mean, 1)])[:, 0]
     shares = [((code >> b) & 1).mean() for b in range(itq_dedup.CODE_BITS)]
     assert 0.4 < min(shares) and max(shares) < 0.6
+
+
+@pytest.mark.parametrize("common", [0.0, 1.0])
+def test_recall_at_the_threshold(spark, common):
+    """Ids divisible by 50 against all rows by brute force; vectors share a common direction more or less."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(600, 64)) / 8 + common * np.eye(64)[0]
+    x = itq_dedup.unit(base)
     turned = rng.normal(size=x.shape)
     turned -= (turned * x).sum(axis=1, keepdims=True) * x
-    pair = 0.93 * x + np.sqrt(1 - 0.93**2) * itq_dedup.unit(turned)
-    apart = np.array([bin(int(a) ^ int(b)).count("1") for a, b in zip(code, itq_dedup.codes(pair, model), strict=True)])
-    assert (apart <= itq_dedup.RADIUS).mean() >= 0.97
+    cosine = rng.uniform(0.93, 0.95, len(x))[:, None]
+    rows = np.concatenate([x, cosine * x + np.sqrt(1 - cosine**2) * itq_dedup.unit(turned)])
+    df = spark.createDataFrame([(i, [float(v) for v in r], 1) for i, r in enumerate(rows)], "id long, vector array<double>, grp int")
+    got = {(r.a, r.b) for r in itq_dedup.near_pairs(df, 0.93).collect()}
+    unit = itq_dedup.unit(rows)
+    near = unit @ unit.T >= 0.93
+    wanted = {(min(i, j), max(i, j)) for i in range(0, len(rows), 20) for j in np.flatnonzero(near[i]).tolist() if i != j}
+    assert len(wanted) >= 30 and len(wanted & got) >= 0.97 * len(wanted)
+    assert all(near[i, j] for i, j in got)
 
 
 def test_pipeline_equals_its_stages_done_plainly(spark, sf_dir):

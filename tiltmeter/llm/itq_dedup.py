@@ -1,15 +1,17 @@
 """Near-duplicate embeddings by iterative quantisation and multi-index Hamming tables.
 
-A rotation is learned so that the signs of the rotated, centred vectors make balanced binary codes
-that stay close to the vectors (ITQ). It is fitted on at most ``SAMPLE`` vectors, the ones with the
-least hash of their id; every vector is coded and filed. The code of ``CODE_BITS`` bits is cut into
-``CHUNKS`` chunks. Codes that differ in at most ``RADIUS`` bits have a chunk that differs in at most
-one bit, so each vector is filed under its chunks and looked up under its chunks with no or one bit
-flipped. A pair is taken in the first such chunk only, so it appears once. Pairs within ``RADIUS``
-bits are reranked with the original vectors in double precision.
-
-Equal vectors of one label form a class and are counted, not paired. A pair at the threshold (cosine
-0.93) lies within the radius with a probability of about 0.99, closer pairs with more.
+Rotations are learned so that the signs of the rotated, centred vectors make balanced binary codes
+that stay close to the vectors (ITQ). They are fitted on at most ``SAMPLE`` vectors, the ones with the
+least hash of their id; every vector is coded and filed. The code is cut into chunks, and each chunk is
+the index of a Hamming table: codes that differ in fewer bits than there are chunks share one. Chunks have
+about as many bits as the largest group has bits in its row count, so a bucket holds a few unrelated rows
+whatever the size; there are as many chunks (and rotations) as a pair at the threshold needs to share
+one with probability ``RECALL``, by the angle that it has after centring. A pair is taken in the first
+chunk that it shares, if the whole codes are within a radius that pairs at the threshold hardly ever leave,
+and reranked with the original vectors in double precision. Only codes are filed and joined; vectors are
+fetched for the pairs that are left.
+
+Equal vectors of one label form a class and are counted, not paired.
 
 Defined results: a vector that is null, empty, zero, or holds a null or non-finite component, or has
 a null label or id, is linked with nothing; vectors of different lengths are never linked; repeated
@@ -18,6 +20,7 @@ rows count as further vectors; an empty table gives no rows; other columns are i
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,11 +31,16 @@ from pyspark.sql import functions as F
 
 from tiltmeter.llm.shared import components, stored
 
-CODE_BITS, CHUNKS = 63, 7
-PER_CHUNK = CODE_BITS // CHUNKS
-RADIUS = 2 * CHUNKS - 1
-#: Vectors that the rotation is fitted on, and the rounds of fitting.
-SAMPLE, ROUNDS = 20_000, 40
+#: Bits of a rotation's code.
+CODE_BITS = 63
+#: Probability that a pair at the threshold shares a chunk, and standard errors of the radius around its mean distance.
+RECALL, RADIUS_ERRORS = 0.995, 6.0
+#: Unrelated rows that a bucket of the largest group holds on average, and the bits of a chunk at least and at most.
+BUCKET_ROWS, LEAST_BITS, MOST_BITS = 4, 6, 31
+#: Most of the mean's square length that is taken off: beyond it near pairs would no longer be near.
+MOST_CENTRED = 0.7
+#: Vectors that rotations are fitted on, and the rounds of fitting.
+SAMPLE, ROUNDS = 10_000, 20
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -40,10 +48,31 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def fit_rotation(x: np.ndarray, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and projection (dimensions x bits) learned from unit vectors."""
+class Tables:
+    """Sizes of the Hamming tables for groups of up to ``rows`` vectors whose bits differ with ``rate`` at the threshold."""
+
+    def __init__(self, rows: int, rate: float):
+        self.bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, rows) / BUCKET_ROWS))))
+        shared = (1 - rate) ** self.bits
+        self.chunks = math.ceil(math.log(1 - RECALL) / math.log(1 - shared))
+        self.per_word = CODE_BITS // self.bits
+        self.words = -(-self.chunks // self.per_word)
+        total = self.words * CODE_BITS
+        self.radius = math.ceil(total * rate + RADIUS_ERRORS * math.sqrt(total * rate * (1 - rate)))
+
+
+def centre(x: np.ndarray, min_cosine: float) -> tuple[np.ndarray, float]:
+    """What is taken off unit vectors, and the rate at which bits of a pair at ``min_cosine`` then differ."""
+    mean = x.mean(axis=0) if len(x) else np.zeros(x.shape[1])
+    square = float(mean @ mean)
+    part = 1.0 if square <= MOST_CENTRED else 1 - math.sqrt(1 - MOST_CENTRED / square)
+    off = (2 * part - part * part) * square
+    return part * mean, math.acos(max(-1.0, min(1.0, (min_cosine - off) / (1 - off)))) / math.pi
+
+
+def fit_rotation(x: np.ndarray, mean: np.ndarray, seed: int) -> np.ndarray:
+    """A projection (dimensions x bits) learned from unit vectors."""
     dim, rng = x.shape[1], np.random.default_rng(seed)
-    mean = x.mean(axis=0) if len(x) else np.zeros(dim)
     centred = x - mean
     basis = np.eye(dim)
     if len(x) > 1:
@@ -56,12 +85,13 @@ def fit_rotation(x: np.ndarray, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     for _ in range(ROUNDS if len(x) > CODE_BITS else 0):
         u, _, w = np.linalg.svd(np.where(v @ rotation >= 0, 1.0, -1.0).T @ v)
         rotation = (u @ w).T
-    return mean, basis @ rotation
+    return basis @ rotation
 
 
-def codes(x: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    bits = ((unit(x) - model[0]) @ model[1] >= 0).astype(np.int64)
-    return (bits << np.arange(CODE_BITS, dtype=np.int64)).sum(axis=1)
+def codes(x: np.ndarray, mean: np.ndarray, rotations: list[np.ndarray]) -> np.ndarray:
+    """A word of bits for each vector and rotation."""
+    centred, places = unit(x) - mean, np.arange(CODE_BITS, dtype=np.int64)
+    return np.stack([((centred @ r >= 0).astype(np.int64) << places).sum(axis=1) for r in rotations], axis=1)
 
 
 def usable(vector: str, label: str, id_: str) -> Column:
@@ -74,47 +104,56 @@ def usable(vector: str, label: str, id_: str) -> Column:
 
 def near_pairs(classes: DataFrame, min_cosine: float) -> DataFrame:
     """Pairs ``(a, b)``, a < b, of ids in ``classes(id, grp, vector)`` with that cosine within a group."""
-    element = classes.schema["vector"].dataType.elementType.simpleString()
     id_type = classes.schema["id"].dataType.simpleString()
     sample = classes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").collect()
     by_dim: dict[int, list] = {}
     for (vector,) in sample:
         by_dim.setdefault(len(vector), []).append(vector)
-    models = {dim: fit_rotation(unit(np.array(rows, dtype=float))) for dim, rows in by_dim.items()}
+    samples = {dim: unit(np.array(rows, dtype=float)) for dim, rows in by_dim.items()}
+    centres = {dim: centre(x, min_cosine) for dim, x in samples.items()}
+    largest = classes.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
+    rate = max([r for _, r in centres.values()], default=0.5)
+    t = Tables(largest, rate)
+    models = {
+        dim: (centres[dim][0], [fit_rotation(x, centres[dim][0], seed) for seed in range(t.words)]) for dim, x in samples.items()
+    }
+    words = [f"c{w}" for w in range(t.words)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = np.zeros(len(batch), dtype=np.int64)
+            out = np.zeros((len(batch), t.words), dtype=np.int64)
             lengths = batch["vector"].map(len).to_numpy()
             for dim in np.unique(lengths):
-                if dim not in models:
-                    models[dim] = fit_rotation(np.zeros((0, dim)))
-                out[lengths == dim] = codes(np.stack(batch["vector"][lengths == dim]).astype(float), models[dim])
-            yield batch.assign(code=out)
+                if dim not in models:  # a length that the sample lacks
+                    models[dim] = (np.zeros(dim), [fit_rotation(np.zeros((0, dim)), np.zeros(dim), seed) for seed in range(t.words)])
+                out[lengths == dim] = codes(np.stack(batch["vector"][lengths == dim]).astype(float), *models[dim])
+            yield batch[["id", "grp"]].assign(**{c: out[:, w] for w, c in enumerate(words)})
 
-    kinds = f"id {id_type}, grp {classes.schema['grp'].dataType.simpleString()}, vector array<{element}>, code long"
+    kinds = f"id {id_type}, grp {classes.schema['grp'].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in words)
     coded = stored(classes.select("id", "grp", "vector").mapInPandas(run, kinds), "itq-codes")
 
-    low = 2**PER_CHUNK - 1
-    chunk = lambda j: F.shiftright("code", j * PER_CHUNK).bitwiseAND(F.lit(low))
-    filed = coded.select(
-        "id", "grp", "code", "vector", F.posexplode(F.array(*[chunk(j) for j in range(CHUNKS)])).alias("j", "key")
-    ).alias("b")
-    flips = [0] + [1 << i for i in range(PER_CHUNK)]
-    looked = (
-        coded.select("id", "grp", "code", F.posexplode(F.array(*[chunk(j) for j in range(CHUNKS)])).alias("j", "at"))
-        .select("id", "grp", "code", "j", F.explode(F.array(*[F.col("at").bitwiseXOR(F.lit(f)) for f in flips])).alias("key"))
-        .alias("a")
+    low = 2**t.bits - 1
+    keys = [
+        F.shiftright(words[j // t.per_word], j % t.per_word * t.bits).bitwiseAND(F.lit(low)) for j in range(t.chunks)
+    ]
+    filed = coded.select("id", "grp", *words, F.posexplode(F.array(*keys)).alias("j", "key"))
+    apart = [F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}")) for c in words]
+    distance = [F.bit_count(x) for x in apart]
+    shift = F.array(*[F.lit(j % t.per_word * t.bits) for j in range(t.chunks)])
+    word = F.array(*[F.lit(j // t.per_word) for j in range(t.chunks)])
+    # on arrays, since few pairs get here
+    differ = F.zip_with(word, shift, lambda w, n: F.call_function("shiftright", F.get(F.array(*apart), w), n).bitwiseAND(F.lit(low)))
+    first = F.array_position(differ, F.lit(0).cast("long")) - 1
+    pairs = stored(
+        filed.alias("a").join(
+            filed.alias("b"),
+            (F.col("a.grp") == F.col("b.grp")) & (F.col("a.j") == F.col("b.j")) & (F.col("a.key") == F.col("b.key"))
+            & (F.col("a.id") < F.col("b.id")) & (sum(distance[1:], distance[0]) <= t.radius) & (first == F.col("a.j")),
+        ).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")),
+        "itq-pairs",
     )
-    apart = F.col("a.code").bitwiseXOR(F.col("b.code"))
-    errors = [F.bit_count(F.shiftright(apart, j * PER_CHUNK).bitwiseAND(F.lit(low))) for j in range(CHUNKS)]
-    first = F.coalesce(*[F.when(e <= 1, F.lit(j)) for j, e in enumerate(errors)])
-    pairs = looked.join(
-        filed,
-        (F.col("a.grp") == F.col("b.grp")) & (F.col("a.j") == F.col("b.j")) & (F.col("a.key") == F.col("b.key"))
-        & (F.col("a.id") < F.col("b.id")) & (F.bit_count(apart) <= RADIUS) & (first == F.col("a.j")),
-    ).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("b.vector").alias("vb"))
-    both = pairs.join(coded.select(F.col("id").alias("a"), F.col("vector").alias("va")), "a").select("a", "b", "va", "vb")
+    vector = lambda c: classes.select(F.col("id").alias(c), F.col("vector").alias(f"v{c}"))
+    both = pairs.join(vector("b"), "b").join(vector("a"), "a").select("a", "b", "va", "vb")
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
