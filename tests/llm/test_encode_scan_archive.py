@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import random
+from collections import Counter
 
 import public_tokenizers
 import pytest
@@ -46,19 +47,34 @@ def test_encode_documents(spark, documents, library):
     assert prefix_bpe.encode_documents(documents.limit(0), MODEL).count() == 0
 
 
+def brute_places(words, template, k=license_scan.SHINGLE, least=license_scan.CONTAINMENT):
+    """Copies of a template from left to right, on tuples of words of the whole text."""
+    runs = lambda w: [tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))] if w else []
+    text, wanted = runs(words), Counter(runs(template))
+    out, i, span = [], 0, sum(wanted.values()) * 5 // 4 + 1
+    while i < len(text):
+        seen, last, j = Counter(), i, i
+        while text[i] in wanted and j < min(len(text), i + span):
+            if text[j] in wanted:
+                if seen[text[j]] == wanted[text[j]]:
+                    break
+                seen[text[j]] += 1
+                last = j
+            j += 1
+        if len(seen) >= least * len(wanted):
+            out.append((round(len(seen) / len(wanted), 9), i))
+            i = last
+        i += 1
+    return out
+
+
 def brute_hits(text):
-    """Every template whose shingles occur to the wanted share in some stretch of the text."""
     words = license_scan.words_of(text)
-    shingles = [tuple(words[i : i + 5]) for i in range(max(0, len(words) - 4))]
-    out = set()
-    for name, template in license_scan.TEMPLATES.items():
-        t = license_scan.words_of(template)
-        wanted = {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
-        for at in range(len(shingles)):
-            if len(wanted & set(shingles[at : at + 2 * len(wanted)])) >= 0.8 * len(wanted):
-                out.add(name)
-                break
-    return out
+    return sorted(
+        (name, share, at)
+        for name, template in license_scan.TEMPLATES.items()
+        for share, at in brute_places(words, license_scan.words_of(template))
+    )
 
 
 def test_license_scan_equals_brute_force(spark, documents, prose, sf_dir):
@@ -66,16 +82,20 @@ def test_license_scan_equals_brute_force(spark, documents, prose, sf_dir):
     planted = [(100 + i, f"{prose(40, i)} {t} {prose(40, i + 50)}") for i, t in enumerate(texts.values())]
     part = " ".join(texts["mit-grant"].split()[:-2])
     half = " ".join(texts["mit-grant"].split()[:12])
+    copies = [" ".join([texts[t], *gap] * 3) for t in ("mit-grant", "gpl-later", "bsd-redistribution", "bsd-3-full") for gap in ([], ["x"], ["x", "y", "z"])]
+    planted += [(300 + i, f"{prose(i, i)} {t} {prose(20, i)}") for i, t in enumerate(copies)]
     planted += [(200, f"{prose(700, 9)} {part} {prose(700, 8)}"), (201, half), (202, texts["mit"] + " " + prose(30, 7) + " " + texts["mit"])]
     df = documents.select("doc_id", "text").unionByName(spark.createDataFrame(planted, "doc_id long, text string"))
     df = df.unionByName(spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id + 1000 as doc_id", "text"))
     got = {}
     for r in license_scan.scan_licenses(df.withColumn("license", F.lit("x"))).collect():
-        got.setdefault(r.doc_id, set()).add(r.license)
+        got.setdefault(r.doc_id, []).append((r.license, r.containment, r.first_word))
     wanted = {r.doc_id: h for r in df.collect() if (h := brute_hits(r.text))}
-    assert got == wanted
+    assert {i: sorted(hits) for i, hits in got.items()} == wanted
     assert 200 in got and 201 not in got
     assert license_scan.scan_licenses(df.where("doc_id = 202")).count() == 2
+    table = spark.createDataFrame([("one", texts["mit"]), ("none", None)], "license string, text string")
+    assert {r.license for r in license_scan.scan_licenses(df.where("doc_id = 202"), table).collect()} == {"one"}
     assert license_scan.scan_licenses(df.limit(0)).count() == 0
 
 

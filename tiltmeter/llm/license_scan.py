@@ -5,15 +5,16 @@ size that occurs, a text is read in windows of that many shingles that overlap b
 some window holds at least half of what a whole copy of the template shares with it. A window and a
 template whose signatures agree in any band of one MinHash value are a candidate; with ``HASHES``
 bands, a window with Jaccard similarity 1/3 to a template is missed with a probability of
-``(2/3) ** HASHES``, 6 in 100,000. For a candidate, the share of the template's shingles that the
-window and as many words around it hold is counted exactly.
+``(2/3) ** HASHES``, 6 in 100,000. Around candidates, copies are found from left to right: a copy goes on
+until a shingle occurs more often than in the template, so the next copy may follow at once; the share of
+the template's shingles that it holds is counted exactly.
 
 Templates are given; they are broadcast and their number and size are those of the parameter. Texts
 are scanned where they lie.
 
 Defined results: a null or empty text has no hits; a template of fewer words than a shingle is one
-shingle; each template is reported once for each place, places that overlap count as the best of them;
-repeated rows are reported each; other columns are ignored.
+shingle; each template is reported once for each place (``places``); copies of different templates may
+overlap; repeated rows are reported each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,25 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Notices of public licences that the query looks for.
-TEMPLATES = {
-    "gpl-3": "This work is licensed under the GNU General Public License, version 3.",
-    "cc-by-nc-4": "Licensed under CC BY-NC 4.0",
-    "mit": "Released under the MIT License",
-    "apache-2": "Licensed under the Apache License, Version 2.0",
-    "mit-grant": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
-        "associated documentation files, to deal in the Software without restriction"
-    ),
-    "bsd-redistribution": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted "
-        "provided that the following conditions are met"
-    ),
-    "gpl-later": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
-        "General Public License as published by the Free Software Foundation"
-    ),
-}
+from tiltmeter.llm.license_texts import TEMPLATES
+
 SHINGLE, HASHES, CONTAINMENT, WORD_CACHE = 5, 24, 0.8, 400_000
 WORD = re.compile(r"\w+")
 _RNG = np.random.default_rng(20240301)
@@ -93,11 +77,14 @@ class Templates:
     def __init__(self, templates: dict[str, str]):
         self.names = sorted(t for t in templates if words_of(templates[t]))
         known = _Words()
-        self.sets, self.by_size = {}, {}
+        self.by_size = {}
+        self.counts: dict[str, dict[int, int]] = {}  # how often a template holds each of its shingles
+        self.lengths: dict[str, int] = {}
         anchors: set[int] = set()
         for name in self.names:
-            found = np.unique(shingle_hashes(words_of(templates[name]), known))
-            self.sets[name] = found
+            every = shingle_hashes(words_of(templates[name]), known)
+            found, times = np.unique(every, return_counts=True)
+            self.counts[name], self.lengths[name] = dict(zip(found.tolist(), times.tolist(), strict=True)), len(every)
             size = 1 << int(np.ceil(np.log2(len(found))))
             under = minima(found)
             signature = under.min(axis=1)
@@ -147,28 +134,64 @@ class Templates:
     def hits(self, text: str | None, known: dict[str, int], least: float = CONTAINMENT) -> list[tuple[str, float, int]]:
         """(template, containment, first word) of each confirmed place."""
         shingles = shingle_hashes(words_of(text), known)
-        best: list[tuple[str, float, int, int]] = []
+        regions: dict[str, list[list[int]]] = {}
         for name, first, end in sorted(self.candidates(shingles)):
-            wanted = self.sets[name]
-            low, high = max(0, first - len(wanted)), min(len(shingles), end + len(wanted))
-            inside = np.isin(shingles[low:high], wanted)
-            share = len(np.unique(shingles[low:high][inside])) / len(wanted)
-            if share < least:
-                continue
-            start = low + int(np.flatnonzero(inside)[0])
-            if best and best[-1][0] == name and start < best[-1][3]:
-                if share > best[-1][1]:
-                    best[-1] = (name, share, start, high)
-                continue
-            best.append((name, share, start, start + len(wanted)))
-        return [(name, share, start) for name, share, start, _ in best]
+            around = reach(self.lengths[name])
+            low, high = max(0, first - around), min(len(shingles), end + around)
+            found = regions.setdefault(name, [])
+            if found and low <= found[-1][1]:
+                found[-1][1] = max(found[-1][1], high)
+            else:
+                found.append([low, high])
+        out = []
+        for name, found in regions.items():
+            for low, high in found:
+                out += [(name, share, low + at) for share, at in places(shingles[low:high], self.counts[name], self.lengths[name], least)]
+        return sorted(out, key=lambda hit: (hit[0], hit[2]))
+
+
+def reach(length: int) -> int:
+    """How many shingles a copy of a template of ``length`` shingles may extend over."""
+    return length + length // 4 + 1
+
+
+def places(shingles: np.ndarray, counts: dict[int, int], length: int, least: float) -> list[tuple[float, int]]:
+    """(containment, start) of the copies of a template, given how often it holds each shingle, left to right.
+
+    A copy starts at a shingle of the template and goes on, over at most ``reach(length)`` shingles, until one
+    occurs more often than in the template. What holds less than ``least`` of the distinct shingles is no copy, and
+    the next one is tried; after a copy, the search goes on behind its last shingle.
+    """
+    at = np.flatnonzero(np.isin(shingles, np.fromiter(counts, dtype=np.uint64, count=len(counts))))
+    values = shingles[at].tolist()
+    out, i = [], 0
+    while i < len(at):
+        seen: dict[int, int] = {}
+        j = i
+        while j < len(at) and at[j] < at[i] + reach(length):
+            now = seen.get(values[j], 0) + 1
+            if now > counts[values[j]]:
+                break
+            seen[values[j]] = now
+            j += 1
+        if len(seen) >= least * len(counts):
+            out.append((len(seen) / len(counts), int(at[i])))
+            i = j
+        else:
+            i += 1
+    return out
 
 
 def scan_licenses(
-    docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, templates: dict[str, str] | DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text",
     least: float = CONTAINMENT,
 ) -> DataFrame:
-    """One row for each place of a template in a text: id, ``license``, ``containment``, ``first_word``."""
+    """One row for each place of a template in a text: id, ``license``, ``containment``, ``first_word``.
+
+    ``templates`` are texts by name, or a small table ``(license, text)``.
+    """
+    if isinstance(templates, DataFrame):
+        templates = {r["license"]: r["text"] for r in templates.select("license", "text").collect()}
     held = docs.sparkSession.sparkContext.broadcast(TEMPLATES if templates is None else templates)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
