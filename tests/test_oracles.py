@@ -34,3 +34,15 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_query_without_sql_has_rows(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
+
+
+def test_all_resamples_find_the_planted_bias(spark, sf_dir):
+    """At the operators' own number of resamples the sampled p is the exact one, and Holm's first step can be passed."""
+    exact = {(r.judge_id, r.axis): r for r in QUERIES["permutation_p_exact"](spark, sf_dir).collect()}
+    sampled = {(r.judge_id, r.axis): r for r in QUERIES["permutation_p"](spark, sf_dir).collect()}
+    assert exact.keys() == sampled.keys()
+    for key, r in sampled.items():
+        assert r.observed_d == exact[key].observed_d and abs(r.p - exact[key].p) < 0.03
+    rows = {(r.judge_id, r.axis): r for r in QUERIES["holm_verdicts"](spark, sf_dir).collect()}
+    assert rows["hash-biased", "verbose_cot"].rejected and rows["hash-biased", "verbose_cot"].p < 0.001
+    assert sum(r.rejected for (judge, _), r in rows.items() if judge == "hash-neutral") <= 1

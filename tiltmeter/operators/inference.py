@@ -218,10 +218,11 @@ def noise_gate(cell_table: DataFrame, by: list[str] = BY, n: int = RESAMPLES, se
     ).withColumn("one", F.lit(1))
     sums = _resampled(shared, by, ["diff", "one"], n, seed, "gate")
     draws = sums.select(*by, F.round(F.col("diff") / F.col("one"), 12).alias("diff"))
-    return _gated(cell_table, _order_statistics(draws, by, "diff", n, alpha), by)
+    return gated(cell_table, _order_statistics(draws, by, "diff", n, alpha), by)
 
 
-def _gated(cell_table: DataFrame, ends: DataFrame, by: list[str]) -> DataFrame:
+def gated(cell_table: DataFrame, ends: DataFrame, by: list[str] = BY) -> DataFrame:
+    """The noise gate from the ``ends`` of its interval (``ci_lo``, ``ci_hi``)."""
     floors = noise_floor(cell_table, by).join(totals(cell_table, by).select(*by, "p_wrong"), by)
     return floors.join(ends, by, "left").select(
         *by, "noise_floor", "noise_self_disagreement",
@@ -311,7 +312,7 @@ def axis_results(judgments: DataFrame, axes: DataFrame, by: list[str] = BY, n: i
         totals(table, by)
         .join(drawn.select(*by, "observed_d", "p", "h_lo", "h_hi"), by)
         .join(dersimonian_laird(effects(table, by), by), by, "left")
-        .join(_gated(table, drawn.select(*by, "ci_lo", "ci_hi"), by), by, "left")
+        .join(gated(table, drawn.select(*by, "ci_lo", "ci_hi"), by), by, "left")
         .join(F.broadcast(axes), "axis")
     )
     if "prompt_template" not in by:  # rows by template carry no accuracies

@@ -23,7 +23,10 @@ from tiltmeter.sources import bridge as B
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
-DRAWS, SIGNS, SIMS = 40, 192, 60
+#: Resamples of the queries named ``..._by_item``, whose operators draw item by item from hashes, as their SQL does. The
+#: queries without that suffix draw all 10,000 resamples of the operators.
+DRAWS, SIGNS = 40, 192
+SIMS = 4000
 
 
 def query(sql: str | None = None):
@@ -59,8 +62,10 @@ def values(name: str, cols: str, rows) -> str:
 WS = r"[ \t\n\r\f\x0B]"
 STRIP = lambda x: f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
 SQUEEZE = lambda x: STRIP(f"regexp_replace({x}, '{WS}+', ' ', 'g')")
-POOL = """pool as (select 'd'||doc_id as id, lang as domain, substr(text,1,120) as question, substr(text,1,400) as correct,
- substr(text, greatest(1, length(text)-399), 400) as wrong, doc_id as pos from documents where doc_id is not null and text is not null)"""
+CUT = lambda rows: f"""(select *, substr(text, 1, head) as question, substr(text, head+1, first_) as correct, substr(text, head+first_+1) as wrong from
+ (select *, floor((n-head) * (0.4::DOUBLE + 0.2::DOUBLE * {uni("'cut'", 'id')}))::BIGINT as first_ from (select *, length(text) as n, length(text)//5 as head from ({rows}))))"""
+POOL = f"""pool as (select id, domain, question, correct, wrong, pos from
+ {CUT("select 'd'||doc_id as id, lang as domain, text, doc_id as pos from documents where doc_id is not null and text is not null")})"""
 ITEMS = POOL + ", items as (select id, domain, question, correct, wrong from pool where correct <> wrong)"
 BIAS = "case axis " + " ".join(f"when '{a}' then {b}::DOUBLE" for a, b in B.BIAS.items()) + " end"
 JUDGED = (
@@ -365,7 +370,7 @@ def quality_metrics(spark, sf_dir):
 
 
 @query(BASE + PERM + " select judge_id, axis, observed_d, round(p,9) as p from perms")
-def permutation_p(spark, sf_dir):
+def permutation_p_by_item(spark, sf_dir):
     return rounded(I.permutation_p(cell_table(spark, sf_dir), n=SIGNS))
 
 
@@ -376,7 +381,7 @@ def permutation_p_exact(spark, sf_dir):
 
 
 @query(BASE + BOOT + " select judge_id, axis, round(lo,9) as ci_lo, round(hi,9) as ci_hi from boot_ends")
-def bootstrap_h_ci(spark, sf_dir):
+def bootstrap_h_ci_by_item(spark, sf_dir):
     return rounded(I.bootstrap_h(cell_table(spark, sf_dir), n=DRAWS))
 
 
@@ -384,10 +389,29 @@ def bootstrap_h_ci(spark, sf_dir):
     BASE + TOTALS("judge_id, axis") + GATE
     + " select judge_id, axis, round(noise_floor,9) as noise_floor, round(noise_self_disagreement,9) as noise_self_disagreement, round(noise_lo,9) as noise_lo, round(noise_hi,9) as noise_hi, above_noise from gates"
 )
-def noise_gate(spark, sf_dir):
+def noise_gate_by_item(spark, sf_dir):
     return rounded(I.noise_gate(cell_table(spark, sf_dir), n=DRAWS))
 
 
+@query()
+def permutation_p(spark, sf_dir):
+    """All resamples, drawn from counts of equal cells; tests hold it against the exact p."""
+    return rounded(I.counted_resamples(cell_table(spark, sf_dir)).select(*K.BY, "observed_d", "p"))
+
+
+@query()
+def bootstrap_h_ci(spark, sf_dir):
+    """All resamples, drawn from counts of equal cells."""
+    return rounded(I.counted_resamples(cell_table(spark, sf_dir)).select(*K.BY, F.col("h_lo").alias("ci_lo"), F.col("h_hi").alias("ci_hi")))
+
+
+@query()
+def noise_gate(spark, sf_dir):
+    """All resamples, drawn from counts of equal cells."""
+    table = cell_table(spark, sf_dir)
+    return rounded(I.gated(table, I.counted_resamples(table).select(*K.BY, "ci_lo", "ci_hi")))
+
+
 META = f""", eff as (select judge_id, axis, {H('b/n::DOUBLE', 'c/n::DOUBLE')} as e, 1.0::DOUBLE/n as v from cells where n > 0),
  one as (select judge_id, axis, count(*) as k, sum(1/v) as sw, sum(e/v)/sum(1/v) as fe, sum(1/v/v) as sww from eff group by all),
  qs as (select judge_id, axis, k, sw, sww, sum((e-fe)*(e-fe)/v) as q from eff join one using (judge_id, axis) group by all),
@@ -414,16 +438,37 @@ def _tested(spark, sf_dir) -> DataFrame:
 
 
 @query(ALL + " select judge_id, axis, hypothesis, round(p,9) as p, round(p_adjusted,9) as p_adjusted, rejected, above_noise, verdict from verdicts")
-def holm_verdicts(spark, sf_dir):
+def holm_verdicts_by_item(spark, sf_dir):
     return rounded(_tested(spark, sf_dir).select("judge_id", "axis", "hypothesis", "p", "p_adjusted", "rejected", "above_noise", "verdict"))
 
 
 @query()
 def axis_results(spark, sf_dir):
-    """All of it in one table; its parts have SQL twins of their own."""
+    """All of it in one table, with all resamples."""
     return rounded(_results(spark, sf_dir))
 
 
+@query()
+def holm_verdicts(spark, sf_dir):
+    """Verdicts from all resamples."""
+    return rounded(_results(spark, sf_dir).select("judge_id", "axis", "hypothesis", "p", "p_adjusted", "rejected", "above_noise", "verdict"))
+
+
+@query()
+def results_table_text(spark, sf_dir):
+    """Lines of the report from all resamples."""
+    found = _results(spark, sf_dir)
+    return found.select("judge_id", "axis", O.results_line(found).alias("line"))
+
+
+@query()
+def axes_left_outer_results(spark, sf_dir):
+    """Axes without results, two of them, get a row; verdicts from all resamples."""
+    found = _results(spark, sf_dir).where("axis not in ('format', 'position')")
+    full = O.with_missing_axes(found, X.taxonomy(spark), T.judges_table(spark, list(B.JUDGES)))
+    return full.select("judge_id", "axis", "n_items", "n", "verdict")
+
+
 PCT = lambda x: f"printf('%.1f%%', ({x})*100)"
 
 
@@ -433,7 +478,7 @@ PCT = lambda x: f"printf('%.1f%%', ({x})*100)"
  ||case when noise_floor = 0 then '—' else {PCT('noise_floor')} end||' | '||verdict||' |' as line from verdicts join rates using (judge_id, axis) join boot_ends using (judge_id, axis)
  join (select judge_id, axis, noise_floor from gates) using (judge_id, axis)"""
 )
-def results_table_text(spark, sf_dir):
+def results_table_text_by_item(spark, sf_dir):
     table = cell_table(spark, sf_dir)
     ends = I.bootstrap_h(table, n=DRAWS).withColumnsRenamed({"ci_lo": "h_lo", "ci_hi": "h_hi"})
     both = _tested(spark, sf_dir).join(K.totals(table), K.BY).join(ends, K.BY)
@@ -444,7 +489,7 @@ def results_table_text(spark, sf_dir):
     ALL + f""" select j.judge_id, a.axis, coalesce(n_items,0) as n_items, coalesce(n,0) as n, verdict from {values('j', 'judge_id', [(j,) for j, _ in B.JUDGES])},
  {AXES.replace(' ax(', ' a(')} left join (select * from verdicts join rates using (judge_id, axis) where axis not in ('format','position')) v on v.judge_id = j.judge_id and v.axis = a.axis"""
 )
-def axes_left_outer_results(spark, sf_dir):
+def axes_left_outer_results_by_item(spark, sf_dir):
     found = _tested(spark, sf_dir).join(K.totals(cell_table(spark, sf_dir)), K.BY).where("axis not in ('format', 'position')")
     full = O.with_missing_axes(found, X.taxonomy(spark), T.judges_table(spark, list(B.JUDGES)))
     return full.select("judge_id", "axis", "n_items", "n", "verdict")
@@ -587,30 +632,29 @@ def pool_gate(spark, sf_dir):
 
 BARE = lambda x: f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
 FP = lambda x: f"substr(sha256({BARE(x)}),1,16)"
-AUDIT = f"""with c0 as (select doc_id as seq, substr(text,1,60) as question, substr(text,1,200) as correct, substr(text,201,200) as wrong from documents
- union all select 1000000000 + item_id, substr(text,1,60), substr(text,1,80), substr(text,61,80) from benchmark),
+CANDIDATES = lambda table, seq: CUT(f"select 'c'||({seq}) as id, {seq} as seq, text from {table} where text is not null")
+AUDIT = f"""with c0 as (select seq, question, correct, wrong from {CANDIDATES('documents', 'doc_id')}
+ union all select seq, question, correct, wrong from {CANDIDATES('benchmark', '1000000000 + item_id')}),
  c1 as (select seq, {STRIP('question')} as q, {STRIP('correct')} as c, {STRIP('wrong')} as w from c0), c2 as (select *, {FP('q')} as fp,
  case when q='' or c='' or w='' then 'empty field' end as first_reason, case when {BARE('c')} = {BARE('w')} then 'answers identical'
  when length(c)/greatest(length(w),1)::DOUBLE < 0.5 or length(c)/greatest(length(w),1)::DOUBLE > 2.0 then 'answer length ratio '||printf('%.2f', length(c)/greatest(length(w),1)::DOUBLE)
  when length(q) < 15 or length(c) < 25 or length(w) < 25 then 'too short'
  else case {' '.join(f"when contains(lower(c),{text(m)}) or contains(lower(w),{text(m)}) then {text(f'contains {chr(39)}{m}{chr(39)}')}" for m in P.MARKERS)} end end as later from c1),
- old as (select distinct {FP(STRIP('substr(text,1,60)'))} as fp from benchmark where item_id % 2 = 0),
+ old as (select distinct {FP(STRIP('question'))} as fp from {CANDIDATES('benchmark', '1000000000 + item_id')}),
  win as (select fp, min(seq) as winner from c2 where first_reason is null and later is null group by fp)
  select seq, coalesce(first_reason, case when old.fp is not null or winner < seq then 'duplicate' end, later) as reason from c2 left join old using (fp) left join win using (fp)"""
 
 
 @query(AUDIT)
 def candidate_audit(spark, sf_dir):
-    piece = lambda t, a, n: F.substring(t, a, n)
-    docs = B.documents(spark, sf_dir).select(
-        F.col("doc_id").alias("seq"), piece("text", 1, 60).alias("question"), piece("text", 1, 200).alias("correct"), piece("text", 201, 200).alias("wrong")
-    )
-    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    extra = bench.select(
-        (F.col("item_id") + 1000000000).alias("seq"), piece("text", 1, 60).alias("question"), piece("text", 1, 80).alias("correct"), piece("text", 61, 80).alias("wrong")
-    )
-    known = bench.where("item_id % 2 = 0").select(C.fingerprint(C.strip(piece("text", 1, 60))).alias("fp"))
-    return P.audit(docs.unionByName(extra), known).select("seq", "reason")
+    def candidates(rows: DataFrame, seq: Column) -> DataFrame:
+        cut = B.parts(F.col("text"), F.concat(F.lit("c"), seq.cast("string")))
+        return rows.where("text is not null").select(seq.alias("seq"), *[c.alias(name) for name, c in cut.items()])
+
+    docs = candidates(B.documents(spark, sf_dir), F.col("doc_id"))
+    bench = candidates(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), F.col("item_id") + 1000000000)
+    known = bench.select(C.fingerprint(C.strip("question")).alias("fp"))
+    return P.audit(docs.unionByName(bench), known).select("seq", "reason")
 
 
 LANGS = ("en", "fr", "de", "es")

@@ -1,7 +1,7 @@
 """Items and judgments made from plain tables, for trials without a judge at hand.
 
-Each document gives an item: its start is the correct candidate, its end the wrong one. A judge drawn
-from hashes answers with known biases. All of it is projections, so it scales with the documents.
+Each document gives an item: its whole text is cut into a question, a correct and a wrong candidate. A judge
+drawn from hashes answers with known biases. All of it is projections, so it scales with the documents.
 """
 
 from __future__ import annotations
@@ -29,13 +29,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def parts(text: Column, id_: Column) -> dict[str, Column]:
+    """A whole text in three: a fifth is the question, of the rest between two and three fifths are the correct candidate."""
+    n = F.char_length(text).cast("long")
+    head = F.floor(n / 5)
+    first = F.floor((n - head) * (F.lit(0.4) + F.lit(0.2) * uniform("cut", id_)))
+    piece = lambda at, size: F.substr(text, at.cast("int"), size.cast("int"))
+    return {"question": piece(F.lit(1), head), "correct": piece(head + 1, first), "wrong": piece(head + first + 1, n)}
+
+
 def pool_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as items, degenerate ones too."""
-    text = F.col("text")
+    named = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
+    cut = parts(F.col("text"), named)
     return documents(spark, sf_dir).where("doc_id is not null and text is not null").select(
-        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.col("lang").alias("domain"),
-        F.substring(text, 1, 120).alias("question"), F.substring(text, 1, 400).alias("correct"),
-        F.expr("substring(text, greatest(1, length(text) - 399), 400)").alias("wrong"), F.col("doc_id").alias("pos"),
+        named.alias("id"), F.col("lang").alias("domain"), *[c.alias(name) for name, c in cut.items()], F.col("doc_id").alias("pos")
     )
 
 
@@ -46,10 +54,7 @@ def trial_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hash_judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A judgment for every item, axis, condition, template and repeat of both judges, without texts."""
-    text = F.col("text")
-    ids = documents(spark, sf_dir).where(
-        (F.col("doc_id").isNotNull()) & (F.substring(text, 1, 400) != F.expr("substring(text, greatest(1, length(text) - 399), 400)"))
-    ).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("item_id"))
+    ids = trial_items(spark, sf_dir).select(F.col("id").alias("item_id"))
     each = lambda values: F.explode(F.array(*[F.lit(v) for v in values]))
     grid = (
         ids.withColumn("judge_id", each([j for j, _ in JUDGES])).withColumn("axis", each(list(AXES)))
