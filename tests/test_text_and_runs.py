@@ -12,8 +12,9 @@ from tiltmeter.operators import prompts as R
 from tiltmeter.operators import report as O
 from tiltmeter.operators import trials as T
 from tiltmeter.plans.experiment import ConfigConflict, Experiment, RunConfig
+from tiltmeter.sources import bridge as B
 from tiltmeter.sources import records as S
-from tiltmeter.streaming.ingest import ingest
+from tiltmeter.streaming.ingest import ingest, running_counts
 
 ITEMS = [
     (f"x{i:02}", "fact", f"What is the answer to question number {i}, and why?", f"It is this one. It follows from the second rule. Case {i}.", f"It is that one. It does not follow at all. Case {i}.")
@@ -74,14 +75,15 @@ def test_grid_size_and_pending(spark, items):
     assert grid.select("rival_family").distinct().first()[0] == "GPT-5.2"
 
 
-def test_simulated_judge_finds_its_biases(spark, items):
-    judges = T.judges_table(spark, [("biased", "Simulated"), ("fair", "Simulated")])
-    grid = T.trials(items, judges, ["verbose_cot", "length"], ["v1_standard"], 8)
-    judged = J.simulate(grid, {"biased": J.BIASED.scaled(2.0), "fair": J.UNBIASED})
-    bias = {(r.judge_id, r.axis): r.net_bias for r in K.totals(K.cells(judged)).collect()}
-    assert bias["biased", "verbose_cot"] > 0.2 and abs(bias["fair", "verbose_cot"]) < 0.15
-    again = J.simulate(grid.repartition(3), {"biased": J.BIASED.scaled(2.0), "fair": J.UNBIASED})
-    assert sorted(r.verdict + r.key for r in judged.select("key", "verdict").collect()) == sorted(r.verdict + r.key for r in again.select("key", "verdict").collect())
+def test_surface_score_and_competence(spark):
+    text = "Clearly, this is so.\\n\\n- I am not confident. " + "x" * 600
+    row = spark.createDataFrame([(text.replace("\\n", "\n"), "why?")], "t string, q string")
+    score = lambda label, **w: row.select(J.surface_score(F.col("t"), F.lit(label), F.lit("Own"), w)).first()[0]
+    assert score("A") == 0.0 and score("A", position=0.5) == 0.5 and score("B", position=0.5) == 0.0
+    assert score("B", length=0.2, authority=0.3, format=0.1, abstention=0.4) == pytest.approx(0.2)
+    assert score("B", verbose_cot=1.0, self_preference=1.0) == 0.0
+    assert row.select(J.item_competence(F.lit(""), 0.6, 0.2)).first()[0] == 0.6
+    assert 0.4 <= row.select(J.item_competence(F.col("q"), 0.6, 0.2)).first()[0] <= 0.8
 
 
 def test_transport_retries_and_redacts():
@@ -165,7 +167,7 @@ def experiment(spark, items, tmp_path):
 
     def make(**changes):
         config = RunConfig(**({"items_path": str(path), "axes": ("length", "verbose_cot"), "reps": 2, "folder": str(tmp_path), "name": "run"} | changes))
-        return Experiment(spark, config, items, [("biased", "Simulated")], lambda g: J.simulate(g, {"biased": J.BIASED}), commit="c1")
+        return Experiment(spark, config, items, [("hash-biased", "alpha")], B.judged_by_hash, commit="c1")
 
     return make
 
@@ -201,3 +203,62 @@ def test_log_with_faults_and_stream(spark, experiment, tmp_path):
     ingest(spark, str(folder), target, state, files_per_batch=1)
     table = spark.read.parquet(target)
     assert table.count() == len(lines) == table.select("key").distinct().count()
+    (folder / "c.jsonl").write_text("\n".join(json.dumps({**json.loads(x), "key": ""}) for x in lines[:3]) + "\n")
+    ingest(spark, str(folder), target, state)
+    assert spark.read.parquet(target).where("key = ''").count() == 3
+    stream = running_counts(spark, target).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
+    stream.awaitTermination()
+    assert spark.table("counts").groupBy().sum("n").first()[0] == len(lines) + 3
+
+
+def test_first_append_wins_whatever_the_files_are_called(spark, tmp_path):
+    import os
+
+    line = lambda verdict: json.dumps({"item_id": "i", "judge_id": "j", "verdict": verdict, "preferred": "A", "key": "k"})
+    for name, verdict, at in (("z.json", "A", 1_000), ("a.json", "B", 2_000)):
+        (tmp_path / name).write_text(line(verdict) + "\n" + line("TIE") + "\n")
+        os.utime(tmp_path / name, (at, at))
+    log = S.load_log(spark, str(tmp_path))
+    assert [r.verdict for r in K.first_by_key(log, S.LOG_ORDER).collect()] == ["A"]
+    assert [r.verdict for r in log.orderBy(*S.LOG_ORDER).collect()] == ["A", "TIE", "B", "TIE"]
+
+
+def test_ranks_do_not_depend_on_buckets(spark):
+    rows = spark.range(200).selectExpr("if(id % 7 = 0, null, string(id % 3)) as domain", "id * 31 % 200 as pos")
+    rank = lambda bucket: {tuple(r) for r in P.ranked(rows, "domain", F.col("pos"), bucket, "rank").collect()}
+    assert len(rank(F.lit(0))) == 200 and rank(F.lit(0)) == rank(F.floor(F.col("pos") / 16))
+
+
+def test_report_rows_are_held_against_results(spark):
+    results = spark.createDataFrame(
+        [("length", 9, 0.5, 0.25, 0.52, 0.1, 0.9), ("format", 4, 0.5, 0.5, 0.0, None, None), ("none", 0, 0.0, 0.0, 0.0, None, None)],
+        "axis string, n long, p_wrong double, p_right double, h double, h_lo double, h_hi double",
+    )
+    row = lambda axis, n, ci: [f"`{axis}`", "H", n, "", "", "", "50.0%", "25.0%" if axis == "length" else "50.0%", "", "", "+0.520" if axis == "length" else "+0.000", ci, *[""] * 4]
+    table = lambda *rows: spark.createDataFrame([(r,) for r in rows], "cells array<string>")
+    good = row("length", "9", "[+0.100, +0.900]"), row("format", "4", "n/a")
+    assert O.report_conflicts(results, table(*good, row("other", "1", "n/a"))).count() == 0
+    got = O.report_conflicts(results, table(row("length", "8", "n/a"), good[1][:-1])).collect()
+    assert {(r.axis, r.column, r.found) for r in got} == {("length", "n", "8"), ("length", "ci", "n/a"), *(("format", c, None) for c in O.CHECKED)}
+    flags = spark.createDataFrame([(True, None), (True, False), (False, True), (None, None)], "rejected boolean, above_noise boolean")
+    assert [r.bias for r in O.bias_flag(flags).collect()] == [True, False, False, False]
+    numbers = spark.range(5)
+    assert O.first_lines(numbers, F.col("id"), ["id"], 2) == ["0", "1", "... and 3 more"] and O.first_lines(numbers, F.col("id"), ["id"], 5) == list("01234")
+
+
+def test_candidates_are_appended_and_accepted_ones_replaced(spark, tmp_path):
+    long = "A sentence that is long enough to be taken."
+    rows = spark.createDataFrame([(0, "What is the first question?", long, long + " No."), (1, "Which?", long, long)], "seq long, question string, correct string, wrong string")
+    raw, kept = str(tmp_path / "raw"), str(tmp_path / "kept")
+    O.append_candidates(rows, raw)
+    O.append_candidates(rows, raw)
+    assert spark.read.json(raw).count() == 4
+    for _ in range(2):
+        O.write_accepted(P.audit(rows), kept)
+    assert [r.question for r in spark.read.json(kept).collect()] == ["What is the first question?"]
+
+
+def test_records_of_an_empty_pool_fail(spark, items):
+    assert S.pool_records(items).count() == len(ITEMS)
+    with pytest.raises(Exception, match="item pool is empty"):
+        S.pool_records(items.where("false")).collect()

@@ -65,12 +65,19 @@ def test_exact_permutation_is_fast_for_millions_of_items():
     assert p == pytest.approx(2 * (1 - 0.5 * (1 + math.erf(5_999 / sd / 2**0.5))), rel=1e-3)
 
 
-def test_quiet_hubs_do_not_end_propagation(spark):
-    from tiltmeter.llm import label_sharding as S
-
-    shards, seed = 4, 5
-    drawn = spark.range(400).select("id", (S.draw(seed, F.col("id")) % shards).cast("int").alias("s")).collect()
-    ids = [i for t in range(shards) for i in [r.id for r in drawn if r.s == t][: 12 if t == 0 else 5]]
-    nodes = spark.createDataFrame([(i, 1) for i in ids], "id long, rows long")
-    links = spark.createDataFrame([(ids[0], i) for i in ids[1:]], "a long, b long")  # the hub lies where most copies lie
-    assert {r.shard for r in S.propagate(nodes, links, shards, len(ids), seed).collect()} == {0}
+def test_any_statistic_by_bags(spark):
+    rng = np.random.default_rng(3)
+    values = rng.exponential(1.0, 3_000)
+    rows = spark.createDataFrame([("all", f"i{i}", float(v)) for i, v in enumerate(values)] + [("one", "x", 2.0), ("one", "y", None), (None, "z", 1.0)], "g string, item string, v double")
+
+    def mean(x, w):
+        return float((x * w).sum() / w.sum())
+
+    plain = {r.g: r for r in I.bootstrap_any(rows, ["g"], "item", "v", mean, n=400, bag=5_000).collect()}
+    bags = {r.g: r for r in I.bootstrap_any(rows.repartition(5), ["g"], "item", "v", mean, n=400, bag=500).collect()}
+    error = values.std() / len(values) ** 0.5
+    for got in (plain, bags):
+        assert tuple(got["one"]) == ("one", 1, 2.0, 2.0, 2.0) and tuple(got[None])[1:] == (1, 1.0, 1.0, 1.0)
+        a = got["all"]
+        assert a.n_items == 3_000 and a.estimate == pytest.approx(values.mean(), abs=1e-9)
+        assert (a.lo, a.hi) == pytest.approx((values.mean() - 1.96 * error, values.mean() + 1.96 * error), abs=0.4 * error)

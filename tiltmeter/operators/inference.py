@@ -11,6 +11,8 @@ the same distribution, and its work grows with distinct cells, not with items.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -207,6 +209,41 @@ def poisson_bootstrap_h(cell_table: DataFrame, by: list[str] = BY, n: int = RESA
     return _order_statistics(draws, by, "h", n, alpha)
 
 
+def bootstrap_any(
+    rows: DataFrame, by: list[str], item: str, value: str, stat: Callable[[np.ndarray, np.ndarray], float],
+    n: int = RESAMPLES, bag: int = 2_000, seed: int = SEED, alpha: float = ALPHA,
+) -> DataFrame:
+    """``estimate, lo, hi`` of any statistic ``stat(values, weights)`` for each group.
+
+    Hashes of ``item`` deal a group to bags of about ``bag`` rows. Each bag draws resamples of the whole
+    group's size over its own rows, and the bags' ends are averaged (a bag of little bootstraps), so no
+    task holds more than a bag. A group that fits one bag gets the plain bootstrap. Null values are left
+    out; a group without values has no row. ``item`` names a row within its group: equal names share a bag.
+    """
+    found = rows.where(F.col(value).isNotNull()).select(*by, F.col(item).cast("string").alias("item"), F.col(value).cast("double").alias("value"))
+    sizes = found.groupBy(*by).agg(F.count(F.lit(1)).alias("size"))
+    same = reduce(lambda a, b: a & b, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by])
+    dealt = found.alias("l").join(sizes.alias("r"), same).select("l.*", "size").withColumn(
+        "bag", F.pmod(F.xxhash64(F.lit(seed), "item"), F.ceil(F.col("size") / bag))
+    )
+    kinds = dict(found.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "rows long, estimate double, lo double, hi double"])
+    lo_at, hi_at = _ends(n, alpha)
+
+    def resample(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["item", "value"], kind="stable")
+        values, size = group["value"].to_numpy(), int(group["size"].iloc[0])
+        rng = _generator(seed, "any", "|".join(map(str, key)))
+        share = np.full(len(values), 1.0 / len(values))
+        drawn = np.sort([stat(values, rng.multinomial(size, share)) for _ in range(n)])
+        whole = stat(values, np.ones(len(values), dtype=np.int64))
+        return pd.DataFrame([[*key[:-1], len(values), whole, drawn[lo_at], drawn[hi_at]]], columns=[*by, "rows", "estimate", "lo", "hi"])
+
+    bags = dealt.groupBy(*by, "bag").applyInPandas(resample, schema)
+    part = lambda c: (F.sum(F.col(c) * F.col("rows")) / F.sum("rows")).alias(c)
+    return bags.groupBy(*by).agg(F.sum("rows").alias("n_items"), *map(part, ("estimate", "lo", "hi")))
+
+
 def noise_gate(cell_table: DataFrame, by: list[str] = BY, n: int = RESAMPLES, seed: int = GATE_SEED, alpha: float = ALPHA) -> DataFrame:
     """Interval of the item-wise difference in wrong flips between perturbation and noise; above if it lies over 0.
 

@@ -15,11 +15,30 @@ ADMISSIONS = r"(?i)\b(I'?m not sure|I don'?t know|unclear|cannot determine)\b"
 MARKERS = ("as an ai", "i cannot", "it depends on your perspective")
 
 
-def interleaved(items: DataFrame, domains: tuple[str, ...] = DOMAINS, order: str = "pos") -> DataFrame:
-    """Round robin over the domains in their order: ``turn`` within the domain, then the domain."""
+def ranked(rows: DataFrame, by: str, order: Column, bucket: Column, name: str) -> DataFrame:
+    """A gapless rank from 0 within each value of ``by``, without sorting such a value in one task.
+
+    ``bucket`` must not fall where ``order`` rises: rows are numbered within their bucket, and only counts
+    of buckets are summed up along the order.
+    """
+    made = rows.withColumn("__bucket", bucket)
+    counts = made.groupBy(by, "__bucket").agg(F.count(F.lit(1)).alias("__count"))
+    before = counts.withColumn("__before", F.sum("__count").over(Window.partitionBy(by).orderBy("__bucket")) - F.col("__count"))
+    inside = made.withColumn("__n", F.row_number().over(Window.partitionBy(by, "__bucket").orderBy(order)))
+    same = F.col("l.__bucket").eqNullSafe(F.col("r.__bucket")) & F.col(f"l.{by}").eqNullSafe(F.col(f"r.{by}"))
+    joined = inside.alias("l").join(before.select(by, "__bucket", "__before").alias("r"), same)
+    return joined.select("l.*", (F.col("r.__before") + F.col("l.__n") - 1).alias(name)).drop("__bucket", "__n")
+
+
+def interleaved(items: DataFrame, domains: tuple[str, ...] = DOMAINS, order: str = "pos", bucket: Column | None = None) -> DataFrame:
+    """Round robin over the domains in their order: ``turn`` within the domain, then the domain.
+
+    Large pools need a ``bucket`` (see ``ranked``), such as a range of ``order`` or its file and block;
+    without one, each domain is one bucket.
+    """
     rank = F.create_map(*[x for i, d in enumerate(domains) for x in (F.lit(d), F.lit(i))])
-    turn = F.row_number().over(Window.partitionBy("domain").orderBy(order)) - 1
-    return items.withColumn("turn", turn).withColumn("domain_rank", F.element_at(rank, F.col("domain")))
+    turns = ranked(items, "domain", F.col(order), F.lit(0) if bucket is None else bucket, "turn")
+    return turns.withColumn("domain_rank", F.element_at(rank, F.col("domain")))
 
 
 def shuffled(items: DataFrame, seed: int) -> DataFrame:
@@ -156,9 +175,11 @@ def domain_counts(items: DataFrame) -> DataFrame:
 
 def mark_offsets(items: DataFrame, width: float = 0.65) -> DataFrame:
     """Horizontal offsets of marks: rank of the id's hash within its domain, spread over a width."""
-    rank = F.row_number().over(Window.partitionBy("domain").orderBy(F.sha2("id", 256))) - 1
-    n = F.count(F.lit(1)).over(Window.partitionBy("domain"))
-    return items.withColumn("offset", (rank / F.greatest(n - 1, F.lit(1)) - 0.5) * width)
+    hashed = F.sha2("id", 256)
+    ranks = ranked(items, "domain", hashed, F.substring(hashed, 1, 3), "__rank").alias("l")
+    sizes = domain_counts(items).withColumnRenamed("n", "__size").alias("r")
+    both = ranks.join(sizes, F.col("l.domain").eqNullSafe(F.col("r.domain"))).select("l.*", "__size")
+    return both.withColumn("offset", (F.col("__rank") / F.greatest(F.col("__size") - 1, F.lit(1)) - 0.5) * width).drop("__rank", "__size")
 
 
 def candidates_of(answer: Column) -> Column:

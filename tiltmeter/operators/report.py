@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tiltmeter.functions.columns import finite, interval, percent, signed
 
+# The table's head; readers of reports look for its columns by place.
 HEAD = (
     "| Axis | Hyp | pairs | items | acc base | acc pert | P(→wrong) | P(→right) | flips | net bias | Cohen h | 95% CI "
     "| p | p_adj | noise ▸wrong | verdict |\n|---|---|---:|---:|---:|---:|---:|---:|---:|---:|---:|---|---:|---:|---:|---|"
@@ -38,6 +39,39 @@ def results_line(results: DataFrame) -> Column:
     return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
 
 
+#: Columns of a table row that must agree with the results they stand for, by their place.
+CHECKED = {"n": 2, "p_wrong": 6, "p_right": 7, "h": 10, "ci": 11}
+
+
+def report_conflicts(results: DataFrame, table: DataFrame) -> DataFrame:
+    """``(axis, column, wanted, found)`` where a report's table (``cells``, one array for each row) differs from one judge's results.
+
+    Axes without pairs aren't checked; an axis that the table lacks, or a row of another width, conflicts
+    in every column with ``found`` null. Rows of axes without results are of no account.
+    """
+    wanted = {
+        "n": F.col("n").cast("string"), "p_wrong": percent(F.col("p_wrong")), "p_right": percent(F.col("p_right")),
+        "h": signed(F.col("h")), "ci": interval(F.col("h_lo"), F.col("h_hi")),
+    }
+    sound = table.where(F.size("cells") == HEAD.split("\n")[0].count("|") - 1)
+    shown = sound.select(F.regexp_extract(F.get("cells", F.lit(0)), "^`(.*)`$", 1).alias("axis"), "cells")
+    pair = lambda name: F.struct(F.lit(name).alias("column"), wanted[name].alias("wanted"), F.get("cells", F.lit(CHECKED[name])).alias("found"))
+    each = results.where("n > 0").join(shown, "axis", "left").select("axis", F.inline(F.array(*map(pair, CHECKED))))
+    return each.where(~F.col("wanted").eqNullSafe(F.col("found")))
+
+
+def bias_flag(results: DataFrame) -> DataFrame:
+    """With ``bias``: the corrected test rejects, and the noise gate, where there is one, is passed."""
+    return results.withColumn("bias", F.coalesce("rejected", F.lit(False)) & F.coalesce("above_noise", F.lit(True)))
+
+
+def first_lines(rows: DataFrame, line: Column, order: list[str], k: int) -> list[str]:
+    """The first ``k`` lines in an order, and how many more there are."""
+    total = rows.count()
+    shown = [r[0] for r in rows.orderBy(*order).limit(k).select(line.cast("string")).collect()]
+    return shown + ([f"... and {total - k} more"] if total > k else [])
+
+
 def with_missing_axes(results: DataFrame, axes: DataFrame, judges: DataFrame) -> DataFrame:
     """A row for every judge and configured axis, with zero counts where there is no result."""
     wanted = judges.select("judge_id").join(F.broadcast(axes.select("axis", "axis_order", "hypothesis")))
@@ -69,6 +103,19 @@ def write_items(items: DataFrame, path: str) -> None:
     ordered.coalesce(1).write.mode("overwrite").text(path)
 
 
+_CANDIDATE = ("question", "correct", "wrong", "domain", "notes")
+
+
+def append_candidates(candidates: DataFrame, path: str) -> None:
+    """Raw candidates added to a folder of JSON lines; what lies there stays."""
+    candidates.select(*[c for c in _CANDIDATE if c in candidates.columns]).write.mode("append").json(path)
+
+
+def write_accepted(audited: DataFrame, path: str) -> None:
+    """The accepted rows of an audit in place of the folder's earlier ones."""
+    audited.where("accepted").select(*[c for c in _CANDIDATE if c in audited.columns]).write.mode("overwrite").json(path)
+
+
 def run_paths(folder: str, run_id: str) -> dict[str, str]:
     return {k: f"{folder}/{run_id}_{k}{e}" for k, e in (("raw", ".jsonl"), ("summary", ".json"), ("manifest", ".json"), ("report", ".md"))}
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tiltmeter.operators import axes as axis_table
 from tiltmeter.operators import cells, inference, report, trials
-from tiltmeter.sources.records import JUDGMENT, load_log, load_manifest
+from tiltmeter.sources.records import JUDGMENT, LOG_ORDER, load_log, load_manifest
 
 SCHEMA = 3
 
@@ -130,7 +130,7 @@ class Experiment:
         report.write_log(judged.select(*JUDGMENT.names), self.paths["raw"], append=known)
 
     def judgments(self) -> DataFrame:
-        return cells.first_by_key(load_log(self.spark, self.paths["raw"]), ["file", "pos"])
+        return cells.first_by_key(load_log(self.spark, self.paths["raw"]), LOG_ORDER)
 
     def analyse(self, n: int = inference.RESAMPLES, by_template: bool = False) -> DataFrame:
         axes = axis_table.taxonomy(self.spark).where(F.col("axis").isin(*self.config.axes))

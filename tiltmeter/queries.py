@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +20,8 @@ from tiltmeter.operators import prompts as R
 from tiltmeter.operators import report as O
 from tiltmeter.operators import trials as T
 from tiltmeter.sources import bridge as B
+from tiltmeter.sources import records as S
+from tiltmeter.streaming.ingest import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,6 +42,16 @@ def query(sql: str | None = None):
     return add
 
 
+def working_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one that the cluster names; a local one only for a local session."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = "/tmp/checkpoints/tiltmeter"
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
     """Doubles at nine places, so that the last bits of functions don't count."""
     return df.select(*[(F.round(c, digits).alias(c) if t == "double" else F.col(c)) for c, t in df.dtypes])
@@ -276,24 +289,16 @@ def _has(x: str, markers) -> str:
 )
 def surface_score(spark, sf_dir):
     t = X.Texts(*[F.col(c) for c in ("id", "question", "correct", "wrong")], F.lit("Model X"), F.lit("Model Y"))
-    made = B.trial_items(spark, sf_dir).withColumn("t", X.AXES["verbose_cot"](t)[1]).withColumn("p", J.BIASED.struct())
+    made = B.trial_items(spark, sf_dir).withColumn("t", X.AXES["verbose_cot"](t)[1])
+    weights = {"position": 0.30, "length": 0.30, "authority": 0.30, "format": 0.30, "verbose_cot": 0.15, "abstention": 0.45, "self_preference": 0.42}
     return rounded(
         made.select(
-            "id", J.surface_score(F.col("t"), F.lit("A"), F.col("p"), F.lit("Model X")).alias("score"),
-            J.item_competence(F.col("question"), F.col("p")).alias("competence"),
+            "id", J.surface_score(F.col("t"), F.lit("A"), F.lit("Model X"), weights).alias("score"),
+            J.item_competence(F.col("question"), 0.65, 0.22).alias("competence"),
         )
     )
 
 
-@query()
-def simulated_judgments(spark, sf_dir):
-    """Verdicts of the simulated judges (their noise has no SQL twin; tests hold it against expectations)."""
-    judges = T.judges_table(spark, [("sim-biased", "Simulated"), ("sim-unbiased", "Simulated")])
-    grid = T.trials(B.trial_items(spark, sf_dir), judges, list(X.AXES), ["v1_standard"], 1)
-    judged = J.simulate(grid, {"sim-biased": J.BIASED, "sim-unbiased": J.UNBIASED})
-    return judged.groupBy("judge_id", "axis", "condition", "verdict").agg(F.count(F.lit(1)).alias("n"))
-
-
 # ---- log, cells, rates -----------------------------------------------------------------------------------------------
 
 
@@ -503,6 +508,27 @@ def h5_ablation_delta(spark, sf_dir):
     return rounded(found.withColumn("delta", F.col("cot") - F.col("control")))
 
 
+@query(ALL + " select judge_id, axis, coalesce(rejected, false) and coalesce(above_noise, true) as bias from verdicts")
+def bias_flags_by_item(spark, sf_dir):
+    return O.bias_flag(_tested(spark, sf_dir)).select("judge_id", "axis", "bias")
+
+
+@query(
+    BASE + TOTALS("judge_id, axis") + f""", one as (select *, unnest(['n', 'p_wrong', 'p_right', 'h', 'ci']) as "column",
+ unnest([n::VARCHAR, {PCT('p_wrong')}, {PCT('p_right')}, format('{{:+.3f}}', h), '['||format('{{:+.3f}}', h - 0.1)||', '||format('{{:+.3f}}', h + 0.1)||']']) as wanted from rates
+ where judge_id = 'hash-biased') select axis, "column", wanted, case when axis = 'length' then '1'||wanted end as found from one where axis = 'format' or (axis = 'length' and "column" = 'n')"""
+)
+def report_conflicts(spark, sf_dir):
+    """A report's table in which one count is altered and one axis is missing, against the results."""
+    found = K.totals(cell_table(spark, sf_dir)).where("judge_id = 'hash-biased'").join(F.broadcast(X.taxonomy(spark)), "axis")
+    found = found.withColumns({"h_lo": F.col("h") - 0.1, "h_hi": F.col("h") + 0.1, "p": F.lit(0.5), "p_adjusted": F.lit(0.5), "noise_floor": F.lit(0.0), "verdict": F.lit("-")})
+    altered = F.when(F.col("axis") == "length", F.concat(F.lit("1"), F.col("n").cast("string")).cast("long")).otherwise(F.col("n"))
+    shown = found.where("axis <> 'format'").withColumn("n", altered)
+    lines = shown.select(O.results_line(shown).alias("line"))
+    cells = lines.select(F.transform(F.split(F.expr("substring(line, 2, length(line) - 2)"), "[|]"), C.strip).alias("cells"))
+    return O.report_conflicts(found, cells)
+
+
 # ---- exact tests, power ----------------------------------------------------------------------------------------------
 
 MC = f"""with g as (select b, c, b+c as n, least(b,c) as k from range(0,31,3) x(b), range(0,31,5) y(c) union all select 400, 300, 700, 300 union all select 300, 300, 600, 300)
@@ -621,6 +647,26 @@ def pool_leakage_hints(spark, sf_dir):
     return rounded(P.leakage_rates(B.pool_items(spark, sf_dir)))
 
 
+@query(
+    f"""with {POOL}, r as (select {', '.join(f"avg(({HED.format(c)})::INT) as h_{c}, avg(({DIG.format(c)} > {DIG.format(o)})::INT) as d_{c}, avg(({LIN.format(c)} > {LIN.format(o)})::INT) as l_{c}" for c, o in (('correct', 'wrong'), ('wrong', 'correct')))},
+ avg(({ADM})::INT) as a from pool where correct like 'A%' or length(correct) > length(wrong)) select warning from (select unnest([case when abs(h_correct - h_wrong) > 0.25 then 'hedging-language imbalance' end,
+ case when abs(d_correct - d_wrong) > 0.3 then 'numeric-density asymmetry' end, case when abs(l_correct - l_wrong) > 0.3 then 'line-count asymmetry' end,
+ case when a > 0.05 then 'correct answers express uncertainty' end]) as warning from r) where warning is not null"""
+)
+def pool_leakage_warnings(spark, sf_dir):
+    """Warnings about the items whose correct side is the longer one or begins with A."""
+    return P.leakage_hints(B.pool_items(spark, sf_dir).where("correct like 'A%' or char_length(correct) > char_length(wrong)"))
+
+
+@query(f"with {POOL} select id as item_id, coalesce(domain, 'none') as domain, round({GAP},9) as signed_length_gap from pool")
+def pool_records(spark, sf_dir):
+    """The pool goes through JSON lines, is read back and exported with its gaps."""
+    at = working_folder(spark, "pool")
+    items = B.pool_items(spark, sf_dir).withColumn("domain", F.coalesce("domain", F.lit("none")))
+    items.select("id", "domain", "question", "correct", "wrong").write.json(at)
+    return rounded(S.pool_records(S.load_items(spark, at, comments=False, check_domains=False)))
+
+
 @query(
     f"""with {POOL}, {FAULTS}, {TRIVIAL}, g as (select {GAP} as gap from faulty), e as (select (select count(*) from trivial) + (select count(*) - count(distinct id) from faulty) as errors)
  select count(*) as n, any_value(errors)::BIGINT as errors, round(avg(gap),9) as mean_gap, round(avg((abs(gap) > 0.15)::INT),9) as over_share,
@@ -664,7 +710,7 @@ LANGS = ("en", "fr", "de", "es")
     f"""with {POOL} select id, row_number() over (partition by domain order by pos) - 1 as turn, case domain {' '.join(f"when '{d}' then {i}" for i, d in enumerate(LANGS))} end as domain_rank from pool"""
 )
 def pool_interleave(spark, sf_dir):
-    return P.interleaved(B.pool_items(spark, sf_dir), LANGS).select("id", F.col("turn").cast("long").alias("turn"), "domain_rank")
+    return P.interleaved(B.pool_items(spark, sf_dir), LANGS, bucket=F.floor(F.col("pos") / 65536)).select("id", F.col("turn").cast("long").alias("turn"), "domain_rank")
 
 
 @query(f"with {POOL} select domain, count(*) as n from pool group by domain")
@@ -690,18 +736,35 @@ def extract_json_array(spark, sf_dir):
     return found.select("id", F.size("a").alias("n"), F.md5(F.get(F.col("a"), F.lit(1))["question"]).alias("q"))
 
 
-@query(f"with {JUDGED} select judge_id, axis, verdict, count(*) as n from judged group by all")
-def ingest_stream_dedup(spark, sf_dir):
-    """The log goes through JSON files and a stream with state; what comes out is counted."""
-    import uuid
+def log_lines(rows: DataFrame) -> DataFrame:
+    return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name)) for f in S.JUDGMENT])
+
 
-    from tiltmeter.sources.records import JUDGMENT
-    from tiltmeter.streaming.ingest import ingest
+def appended_log(spark: SparkSession, sf_dir: str, at: str) -> None:
+    """All judgments as a log; then a second append that repeats some with another verdict, then torn lines."""
+    log = log_lines(judgments(spark, sf_dir).withColumn("is_correct", F.col("verdict") == F.col("preferred")))
+    again = log.where(C.uniform("again", F.col("key")) < 0.03)
+    O.write_log(log, at, append=False)
+    O.write_log(again.withColumn("verdict", F.lit("TIE")), at, append=True)
+    again.select(F.substring(F.to_json(F.struct("*")), 1, 60).alias("value")).write.mode("append").text(at)
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/tiltmeter"
-    at = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    log = judgments(spark, sf_dir)
-    lines = log.select(*[(F.col(f.name) if f.name in log.columns else F.lit(None).cast(f.dataType).alias(f.name)) for f in JUDGMENT])
-    lines.unionByName(lines.where(C.uniform("again", F.col("key")) < 0.03)).write.json(f"{at}/log")
+
+LOGGED = f"with {JUDGED} select judge_id, axis, verdict, count(*) as n from judged group by all"
+
+
+@query(LOGGED)
+def ingest_stream_dedup(spark, sf_dir):
+    """The log goes through JSON files, with repeats and torn lines, and a stream; what comes out is counted."""
+    at = working_folder(spark, "stream")
+    appended_log(spark, sf_dir, f"{at}/log")
     ingest(spark, f"{at}/log", f"{at}/table", f"{at}/state")
     return spark.read.parquet(f"{at}/table").groupBy("judge_id", "axis", "verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(LOGGED)
+def log_first_append_wins(spark, sf_dir):
+    """The same log read at once: the first row of each key in the order of appends."""
+    at = working_folder(spark, "log")
+    appended_log(spark, sf_dir, at)
+    first = K.first_by_key(S.load_log(spark, at), S.LOG_ORDER)
+    return first.groupBy("judge_id", "axis", "verdict").agg(F.count(F.lit(1)).alias("n"))

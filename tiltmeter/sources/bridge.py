@@ -65,7 +65,10 @@ def hash_judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def judged_by_hash(grid: DataFrame) -> DataFrame:
-    """Answers drawn from hashes of the key, with the biased judge's bias on perturbed trials."""
+    """Answers drawn from hashes of the key, with the biased judge's bias on perturbed trials.
+
+    A grid without ``preferred`` gets a slot for the correct text by the item's hash.
+    """
     tilt: Column = F.lit(0.0)
     for axis, bias in BIAS.items():
         tilt = F.when(F.col("axis") == axis, F.lit(bias)).otherwise(tilt)
@@ -82,9 +85,8 @@ def judged_by_hash(grid: DataFrame) -> DataFrame:
     for i, f in enumerate(FORMS):
         head, _, tail = f.partition("{}")
         raw = raw.when(F.col("form") == i, F.concat(F.lit(head), F.col("named"), F.lit(tail)))
-    made = fixed(
-        grid.withColumn("key", trial_key()), p_ok=p_ok, preferred=slot, u=uniform("pf", key), form=form, v=uniform("v", key)
-    )
+    slots = {} if "preferred" in grid.columns else {"preferred": slot}
+    made = fixed(grid.withColumn("key", trial_key()), p_ok=p_ok, u=uniform("pf", key), form=form, v=uniform("v", key), **slots)
     made = fixed(fixed(made, named=named), raw=raw)
     return made.withColumn("verdict", parse_verdict(F.col("raw"))).withColumn(
         "latency_ms", F.floor(uniform("lat", key) * 50).cast("double")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tiltmeter.functions.columns import strip
+from tiltmeter.functions.columns import signed_gap, strip
 from tiltmeter.operators.pool import DOMAINS
 
 ITEM_FIELDS = ("id", "domain", "question", "correct", "wrong", "notes")
@@ -32,10 +32,22 @@ class BadInput(ValueError):
     """A source that does not hold what it should."""
 
 
+#: The order of a log: files by the time of their append, then by name, then lines by their place.
+LOG_ORDER = ["written", "pos"]
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their place in the file, for an order that survives partitions."""
-    read = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("pos"))
-    return read.where(strip(F.col("value")) != "")
+    """Lines with ``file``, its time ``written``, and their place ``pos``, an order that survives partitions.
+
+    Ids grow within a block of a file, and blocks have their offset, so a file's lines keep their order
+    however it is split. Copying a folder must preserve the files' times, or appends lose their order.
+    """
+    meta = lambda c: F.col(f"_metadata.{c}")
+    read = spark.read.text(path).select(
+        "value", meta("file_path").alias("file"), meta("file_modification_time").alias("written"),
+        meta("file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"),
+    )
+    return read.where(strip(F.col("value")) != "").withColumn("pos", F.struct("file", "block", "line")).drop("block", "line")
 
 
 def load_items(spark: SparkSession, path: str, comments: bool = True, check_domains: bool = True) -> DataFrame:
@@ -66,11 +78,20 @@ def load_domain_files(spark: SparkSession, folder: str) -> DataFrame:
     return made.select(*[(named if c == "domain" else F.col(f"r.{c}")).alias(c) for c in ITEM_FIELDS], "pos")
 
 
+def pool_records(items: DataFrame) -> DataFrame:
+    """``(item_id, domain, signed_length_gap)`` of each item; a pool without items fails the query."""
+    none = items.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(
+        F.raise_error(F.lit("item pool is empty")).cast("string").alias("item_id"), F.lit("").alias("domain"), F.lit(0.0).alias("signed_length_gap")
+    )
+    rows = items.select(F.col("id").alias("item_id"), "domain", signed_gap(F.col("correct"), F.col("wrong")).alias("signed_length_gap"))
+    return rows.unionByName(none)
+
+
 def load_log(spark: SparkSession, path: str) -> DataFrame:
     """All whole lines of a judgment log in order; a truncated line is left out. Correctness is derived anew."""
     made = _lines(spark, path).withColumn("r", F.from_json("value", JUDGMENT, {"mode": "PERMISSIVE"}))
     sound = made.where("r is not null and r.verdict is not null and r.item_id is not null")
-    kept = sound.select(*[F.col(f"r.{f.name}").alias(f.name) for f in JUDGMENT if f.name != "is_correct"], "file", "pos")
+    kept = sound.select(*[F.col(f"r.{f.name}").alias(f.name) for f in JUDGMENT if f.name != "is_correct"], "file", *LOG_ORDER)
     for c in ("extra_instruction", "model_version", "error", "key"):
         kept = kept.withColumn(c, F.coalesce(c, F.lit("")))
     return kept.withColumn("is_correct", F.col("verdict") == F.col("preferred"))
