@@ -206,6 +206,40 @@ def test_mix_fills_quotas_with_whole_passes(spark, documents, prose):
     assert temperature_mix.mix(documents).count() > 0 and temperature_mix.mix(documents.limit(0)).count() == 0
 
 
+def test_mix_draws_the_rows_of_a_plain_version(spark, prose, monkeypatch):
+    """Every drawn row and pass, with its block and order, from a budget over several blocks of a source."""
+    monkeypatch.setattr(temperature_mix, "BLOCK", 25)
+    rows = [(i, prose(20 + i % 7, i), "big") for i in range(200)] + [(1000 + i, prose(10, i), "small") for i in range(60)] + [(None, prose(8, 2), None), (2000, None, "void")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    seed, share, repeats, budget = 5, 0.95, 3.0, 6_000
+    md5 = lambda *parts: hashlib.md5("|".join(str(x) for x in parts if x is not None).encode()).hexdigest()
+    by: dict = {}
+    for i, text, source in rows:
+        key = md5(seed, i, chained([] if text is None else [text]))
+        by.setdefault("-" if source is None else f"={source}", []).append((key, len((text or "").split()), i))
+    tokens = {s: sum(t for _, t, _ in found) for s, found in by.items()}
+    total = sum(tokens.values())
+    sources = spark.createDataFrame([(s, t, len(by[s])) for s, t in tokens.items()], "source string, n_tokens long, n_docs long")
+    x = temperature_mix.exponent(sources, share, repeats, budget)
+    norm = sum((t / total) ** x for t in tokens.values() if t)
+    wanted = []
+    for s, found in by.items():
+        if not tokens[s]:
+            continue
+        passes, rest = divmod(math.floor((tokens[s] / total) ** x / norm * budget + 0.5), tokens[s])
+        block = lambda k, n=max(1, len(found) // 25): int(k[:8], 16) % n
+        place = lambda k, n: (md5(seed, n, s, block(k)), md5(n, k))  # noqa: E731, B023
+        for n in range(passes):
+            wanted += [(i, n, *place(k, n)) for k, _, i in found]
+        for k, t, i in sorted(found, key=lambda r: place(r[0], passes)):
+            if rest <= 0:
+                break
+            wanted.append((i, passes, *place(k, passes)))
+            rest -= t
+    got = [(r.doc_id, r.mix_pass, r.mix_block, r.mix_order) for r in temperature_mix.mix(df, entropy_share=share, max_repeats=repeats, budget=budget, seed=seed).collect()]
+    assert sorted(got, key=repr) == sorted(wanted, key=repr)
+
+
 def test_quiet_hubs_do_not_end_propagation(spark):
     from tiltmeter.llm import label_sharding as S
 
