@@ -48,6 +48,12 @@ def min_detectable_h(spark: SparkSession, n_items: int, target: float = 0.8, n_s
     return (low + high) / 2
 
 
+def items_needed(spark: SparkSession, effects: list[float], sizes: list[int], target: float = 0.8, n_sims: int = 4000) -> DataFrame:
+    """``(effect_h, n_items)``: the least of the sizes that reaches the power for each effect; null where none does."""
+    reached = F.when(F.col("power") >= target, F.col("n_items"))
+    return power_grid(spark, effects, sizes, n_sims).groupBy("effect_h").agg(F.min(reached).alias("n_items"))
+
+
 def false_positives(results: DataFrame, confidence: float = 0.95, alpha: float = ALPHA) -> DataFrame:
     """Rejections over all tests, and how many chance allows."""
     return results.agg(F.count(F.lit(1)).alias("tests"), F.sum(F.col("rejected").cast("long")).alias("rejections")).withColumn(

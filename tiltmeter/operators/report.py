@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiltmeter.functions.columns import finite, interval, percent, signed
+from tiltmeter.functions.columns import finite, interval, percent, signed, strip
 
 # The table's head; readers of reports look for its columns by place.
 HEAD = (
@@ -97,9 +97,9 @@ def write_log(judgments: DataFrame, path: str, append: bool) -> None:
     judgments.withColumn("latency_ms", F.bround("latency_ms", 2)).write.mode("append" if append else "overwrite").json(path)
 
 
-def write_items(items: DataFrame, path: str) -> None:
-    """A pool in its interleaved order as one file of JSON lines."""
-    ordered = items.orderBy("turn", "domain_rank").select(F.to_json(F.struct("id", "domain", "question", "correct", "wrong", "notes")).alias("value"))
+def write_items(items: DataFrame, path: str, order: tuple[str, ...] = ("turn", "domain_rank")) -> None:
+    """A pool in its order (interleaved, if not told otherwise) as one file of JSON lines."""
+    ordered = items.orderBy(*order).select(F.to_json(F.struct("id", "domain", "question", "correct", "wrong", "notes")).alias("value"))
     ordered.coalesce(1).write.mode("overwrite").text(path)
 
 
@@ -112,8 +112,11 @@ def append_candidates(candidates: DataFrame, path: str) -> None:
 
 
 def write_accepted(audited: DataFrame, path: str) -> None:
-    """The accepted rows of an audit in place of the folder's earlier ones."""
-    audited.where("accepted").select(*[c for c in _CANDIDATE if c in audited.columns]).write.mode("overwrite").json(path)
+    """The accepted rows of an audit as items of a pool, in place of the folder's earlier ones."""
+    given = {c: F.col(c) if c in audited.columns else F.lit(None).cast("string") for c in _CANDIDATE}
+    item = [F.concat(F.lit("gen-"), "fp").alias("id"), F.coalesce(given["domain"], F.lit("fact")).alias("domain")]
+    item += [strip(given[c]).alias(c) for c in ("question", "correct", "wrong")] + [F.coalesce(given["notes"], F.lit("")).alias("notes")]
+    audited.where("accepted").select(*item).write.mode("overwrite").json(path)
 
 
 def run_paths(folder: str, run_id: str) -> dict[str, str]:

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from tiltmeter.operators import axes as axis_table
 from tiltmeter.operators import cells, inference, report, trials
+from tiltmeter.operators.judges import PAID, HttpJudge, ask_all
+from tiltmeter.operators.prompts import TEMPLATES, prompt
 from tiltmeter.sources.records import JUDGMENT, LOG_ORDER, load_log, load_manifest
 
 SCHEMA = 3
@@ -72,6 +74,24 @@ def manifest_differences(old: dict, new: dict) -> list[str]:
     return found + (["code_commit"] if len(commits) > 1 and "unknown" not in commits else [])
 
 
+def consented(service: str, calls: int, yes: bool = False, ask: Callable[[str], str] = input) -> bool:
+    """Whether calls may be made: a service that bills them needs a yes, given beforehand or when asked."""
+    if service not in PAID or yes:
+        return True
+    return ask(f"{service} bills each of up to {calls:,} calls. Go on? [y/N] ").strip().lower() in ("y", "yes")
+
+
+def answered_by(judge: HttpJudge) -> Callable[[DataFrame], DataFrame]:
+    """Trials answered by an opaque judge, as ``Experiment`` takes it."""
+
+    def answer(grid: DataFrame) -> DataFrame:
+        said = F.element_at(F.create_map(*[F.lit(x) for pair in TEMPLATES.items() for x in pair]), F.col("prompt_template"))
+        shown = prompt(F.col("question"), F.col("blocks"), said, F.col("extra_instruction"))
+        return ask_all(grid.withColumn("prompt", shown), judge)
+
+    return answer
+
+
 @dataclass
 class Experiment:
     """Items and judges under a configuration. ``answer`` turns pending trials into judgments."""
@@ -118,13 +138,26 @@ class Experiment:
             raise ConfigConflict("the data there differ in " + ", ".join(found))
         return {**new, "created_utc": old["created_utc"]}
 
+    def resumes(self) -> bool:
+        return self.config.resume and Path(self.paths["raw"]).exists()
+
+    def pending(self) -> DataFrame:
+        """Trials that a run would judge: all, or those that the log lacks."""
+        return trials.pending(self.grid(), load_log(self.spark, self.paths["raw"])) if self.resumes() else self.grid()
+
+    def preview(self) -> list[str]:
+        """What a run would do, and how many calls it takes at most; nothing is judged or written."""
+        c = self.config
+        return [
+            f"judges: {', '.join(j for j, _ in self.judges)}", f"axes: {', '.join(c.axes)}", f"templates: {', '.join(c.templates)}",
+            f"repeats: {c.reps}, conditions: {4 if c.noise else 2}", f"calls in all: {self.expected_calls():,}",
+            f"calls still to be made: {self.pending().count():,}" if self.resumes() else "nothing is judged yet",
+        ]
+
     def run(self) -> None:
         """Judge what the log lacks and append it. The manifest is written before any data."""
         manifest = self.check_resumable()
-        known = self.config.resume and Path(self.paths["raw"]).exists()
-        grid = self.grid()
-        if known:
-            grid = trials.pending(grid, load_log(self.spark, self.paths["raw"]))
+        known, grid = self.resumes(), self.pending()
         report.write_json(self.paths["manifest"], manifest)
         judged = self.answer(grid).withColumn("is_correct", F.col("verdict") == F.col("preferred"))
         report.write_log(judged.select(*JUDGMENT.names), self.paths["raw"], append=known)

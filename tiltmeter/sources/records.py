@@ -70,6 +70,12 @@ def load_items(spark: SparkSession, path: str, comments: bool = True, check_doma
     return checked.select(*[F.col(f"r.{c}").alias(c) for c in ITEM_FIELDS[:-1]], F.coalesce("r.notes", F.lit("")).alias("notes"), "file", "pos")
 
 
+def load_drafts(spark: SparkSession, path: str) -> DataFrame:
+    """Items that may lack fields, and their place ``pos``; a line that is no JSON object lacks all of them."""
+    made = _lines(spark, path).withColumn("r", F.from_json("value", ITEM))
+    return made.select("r.*", F.struct(*LOG_ORDER).alias("pos"))
+
+
 def load_domain_files(spark: SparkSession, folder: str) -> DataFrame:
     """Items of one file for each domain; a missing domain is the file's name."""
     lines = _lines(spark, f"{folder.rstrip('/')}/*.jsonl")
