@@ -20,7 +20,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import accumulate
 from operator import getitem
 
@@ -29,7 +28,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiltmeter.llm.shared import hand_back_memory
+from tiltmeter.llm.shared import hand_back_memory, remembered
 
 SPACE = "▁"
 NO_RANK = float("inf")
@@ -327,42 +326,20 @@ class _Row(dict):
         return found
 
 
-@lru_cache(maxsize=2)
-def _coder_of(key: str, holder) -> PrefixCoder:
-    return PrefixCoder(holder.value)
-
-
-class _Held:
-    """A broadcast that compares equal by name, so that a worker builds the coder once."""
-
-    def __init__(self, name: str, broadcast):
-        self.name, self.broadcast = name, broadcast
-
-    @property
-    def value(self):
-        return self.broadcast.value
-
-    def __hash__(self):
-        return hash(self.name)
-
-    def __eq__(self, other):
-        return self.name == other.name
-
-
 def coded_column(spark: SparkSession, model_path: str, text: Column) -> Column:
     """A struct for each text: ``ids`` (decimal, joined by commas), ``n_tokens``, ``decoded``."""
     vocabulary = read_vocabulary(model_path)
     name = hashlib.sha256(repr(sorted(vocabulary["rank"].items())).encode()).hexdigest()
-    held = _Held(name, spark.sparkContext.broadcast(vocabulary))
+    held = spark.sparkContext.broadcast(vocabulary)
 
     @F.pandas_udf("ids string, n_tokens long, decoded string")
     def code(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        coder = _coder_of(name, held)
+        coder = remembered(name, lambda: PrefixCoder(held.value))
         for texts in batches:
             for at in range(0, len(texts), OUT_ROWS):  # ids and text are several times the input: hand them on in parts
                 done = [coder.encode_decode(t) for t in texts.iloc[at : at + OUT_ROWS]]
                 yield pd.DataFrame(done, columns=["ids", "n_tokens", "decoded"])
-        hand_back_memory()
+        hand_back_memory(keep=name)
 
     return code(text)
 

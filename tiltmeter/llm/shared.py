@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -49,8 +50,27 @@ def broadcast_if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if (df.agg(F.sum(row.cast("long"))).first()[0] or 0) <= most else df
 
 
-def hand_back_memory() -> None:
-    """Return what a Python worker has freed to the system at the end of a task, since workers are kept for later tasks."""
+#: What this Python worker remembers between tasks of one operator.
+_remembered: dict[str, object] = {}
+
+
+def remembered(name: str, build: Callable[[], object]) -> object:
+    """What ``build`` makes, made once in a worker, until a task of another operator ends there."""
+    if name not in _remembered:
+        _remembered[name] = build()
+    return _remembered[name]
+
+
+def hand_back_memory(keep: str | None = None) -> None:
+    """Forget what is remembered under other names and return freed memory to the system, at the end of a task.
+
+    Workers are kept for later tasks, and those may be of other operators.
+    """
+    others = [name for name in _remembered if name != keep]
+    for name in others:
+        del _remembered[name]
+    if others:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
         trim(0)
