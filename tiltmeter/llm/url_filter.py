@@ -36,9 +36,13 @@ def path(url: Column) -> Column:
 def _ngrams(text: Column, kind: str) -> list[Column]:
     """Buckets of the n-grams of a text between marks, for each n."""
     marked = F.concat(F.lit("^"), text, F.lit("$"))
-    bucket = lambda at, n: F.pmod(F.xxhash64(F.lit(kind), F.substr(marked, at, F.lit(n))), F.lit(BUCKETS)).cast("int")
-    places = lambda n: F.when(F.char_length(marked) >= n, F.sequence(F.lit(1), F.char_length(marked) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return [F.transform(places(n), lambda at, n=n: bucket(at, n)) for n in NGRAMS]
+
+    def of(n: int) -> Column:
+        last = F.char_length(marked) - n + 1
+        places = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda at: F.pmod(F.xxhash64(F.lit(kind), F.substr(marked, at, F.lit(n))), F.lit(BUCKETS)).cast("int"))
+
+    return [of(n) for n in NGRAMS]
 
 
 def features(host_: Column, path_: Column) -> Column:
