@@ -193,7 +193,7 @@ def test_log_with_faults_and_stream(spark, experiment, tmp_path):
     run = experiment(name="faulty")
     run.run()
     folder = tmp_path / "log"
-    lines = [r.value for r in spark.read.text(run.paths["raw"]).collect()]
+    lines = [r.value for r in spark.read.option("recursiveFileLookup", True).text(run.paths["raw"]).collect()]
     folder.mkdir()
     (folder / "a.jsonl").write_text("\n".join(lines[:50] + lines[:5]) + "\n" + lines[50][:40])
     assert S.load_log(spark, str(folder)).count() == 55

@@ -6,7 +6,6 @@ import argparse
 import os
 import sys
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from tiltmeter.functions.columns import fingerprint
 from tiltmeter.operators import axes, inference, judges, pool, power, prompts, report
 from tiltmeter.plans.experiment import Experiment, RunConfig, answered_by, consented
-from tiltmeter.sources import records
+from tiltmeter.sources import files, records
 
 SHOWN_ERRORS, SHOWN_REJECTIONS = 40, 20
 Say = Callable[[str], None]
@@ -64,7 +63,7 @@ def generate(spark: SparkSession, args: argparse.Namespace, say: Say) -> int:
     if not consented(args.service, args.rounds, args.yes):
         say("nothing was asked")
         return 1
-    brief = Path(args.brief).read_text(encoding="utf-8")
+    brief = files.read_text(args.brief)
     asked = spark.range(args.rounds).select(
         F.concat(F.lit(f"{brief}\n\nReply with a JSON array of {args.n} objects with question, correct and wrong. Round "), F.col("id") + 1).alias("prompt"),
         F.lit(args.temperature).alias("temperature"),

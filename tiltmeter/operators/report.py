@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 import re
 from datetime import UTC, datetime
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tiltmeter.functions.columns import finite, interval, percent, signed, strip
+from tiltmeter.sources import appends, files
 
 # The table's head; readers of reports look for its columns by place.
 HEAD = (
@@ -92,15 +91,20 @@ def write_csv(results: DataFrame, path: str) -> None:
     public_rows(results).write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_log(judgments: DataFrame, path: str, append: bool) -> None:
-    """The judgment log as JSON lines, split by judge and axis. A task's rows appear together when it commits."""
-    judgments.withColumn("latency_ms", F.bround("latency_ms", 2)).write.mode("append" if append else "overwrite").json(path)
+def write_log(judgments: DataFrame, path: str, append: bool, tag: str = "") -> int:
+    """One more append of the judgment log, or a new log; what lay there is then set aside. A ``tag`` is appended once."""
+    if not append and files.exists(path):
+        files.set_aside(path)
+    return appends.append(judgments.withColumn("latency_ms", F.bround("latency_ms", 2)), path, tag)
 
 
 def write_items(items: DataFrame, path: str, order: tuple[str, ...] = ("turn", "domain_rank")) -> None:
-    """A pool in its order (interleaved, if not told otherwise) as one file of JSON lines."""
-    ordered = items.orderBy(*order).select(F.to_json(F.struct("id", "domain", "question", "correct", "wrong", "notes")).alias("value"))
-    ordered.coalesce(1).write.mode("overwrite").text(path)
+    """A pool in its order (interleaved, if not told otherwise) as JSON lines.
+
+    The order is dealt to tasks by range: files by name, and lines by place, are the pool in order, however many files there are.
+    """
+    dealt = items.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt.select(F.to_json(F.struct("id", "domain", "question", "correct", "wrong", "notes")).alias("value")).write.mode("overwrite").text(path)
 
 
 _CANDIDATE = ("question", "correct", "wrong", "domain", "notes")
@@ -167,13 +171,9 @@ def embed_section(text: str, name: str, body: str) -> str:
 
 
 def file_sha256(path: str) -> str:
-    """Hash of a file's bytes; empty where it can't be read."""
-    try:
-        return hashlib.sha256(Path(path).read_bytes()).hexdigest()
-    except OSError:
-        return ""
+    """Hash of a pool's bytes; empty where it can't be read."""
+    return files.sha256(path)
 
 
 def write_json(path: str, value: dict) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(value, indent=2, ensure_ascii=False, default=str), encoding="utf-8")
+    files.write_text(path, json.dumps(value, indent=2, ensure_ascii=False, default=str))

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import signal
 import subprocess
-from collections.abc import Callable
+import threading
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
 from pathlib import Path
@@ -17,6 +21,7 @@ from tiltmeter.operators import axes as axis_table
 from tiltmeter.operators import cells, inference, report, trials
 from tiltmeter.operators.judges import PAID, HttpJudge, ask_all
 from tiltmeter.operators.prompts import TEMPLATES, prompt
+from tiltmeter.sources import files
 from tiltmeter.sources.records import JUDGMENT, LOG_ORDER, load_log, load_manifest
 
 SCHEMA = 3
@@ -81,6 +86,25 @@ def consented(service: str, calls: int, yes: bool = False, ask: Callable[[str],
     return ask(f"{service} bills each of up to {calls:,} calls. Go on? [y/N] ").strip().lower() in ("y", "yes")
 
 
+@contextmanager
+def interrupt_drains(stop: threading.Event) -> Iterator[None]:
+    """Within it, the first interrupt asks to stop after what is under way; a second one interrupts as usual."""
+    if threading.current_thread() is not threading.main_thread():
+        yield
+        return
+    before = signal.getsignal(signal.SIGINT)
+
+    def asked(*_) -> None:
+        stop.set()
+        signal.signal(signal.SIGINT, before)
+
+    signal.signal(signal.SIGINT, asked)
+    try:
+        yield
+    finally:
+        signal.signal(signal.SIGINT, before)
+
+
 def answered_by(judge: HttpJudge) -> Callable[[DataFrame], DataFrame]:
     """Trials answered by an opaque judge, as ``Experiment`` takes it."""
 
@@ -103,6 +127,8 @@ class Experiment:
     answer: Callable[[DataFrame], DataFrame]
     identities: list[dict] = field(default_factory=list)
     commit: str | None = None
+    #: Trials that are judged and appended together: what a killed run may lose.
+    batch: int = 2_000
 
     def __post_init__(self) -> None:
         self.items_sha256 = report.file_sha256(self.config.items_path)
@@ -129,7 +155,7 @@ class Experiment:
     def check_resumable(self) -> dict:
         """The manifest to go on with; refuses data of another experiment."""
         new = self.manifest()
-        if not Path(self.paths["raw"]).exists() or not self.config.resume:
+        if not self.config.resume or not files.exists(self.paths["raw"]):
             return new
         old = load_manifest(self.paths["manifest"])
         if old is None:
@@ -139,7 +165,7 @@ class Experiment:
         return {**new, "created_utc": old["created_utc"]}
 
     def resumes(self) -> bool:
-        return self.config.resume and Path(self.paths["raw"]).exists()
+        return self.config.resume and files.exists(self.paths["raw"])
 
     def pending(self) -> DataFrame:
         """Trials that a run would judge: all, or those that the log lacks."""
@@ -154,13 +180,43 @@ class Experiment:
             f"calls still to be made: {self.pending().count():,}" if self.resumes() else "nothing is judged yet",
         ]
 
-    def run(self) -> None:
-        """Judge what the log lacks and append it. The manifest is written before any data."""
+    def run(self, stop: threading.Event | None = None) -> bool:
+        """Judge what the log lacks, a batch at a time; whether all was judged. The manifest is written before any data.
+
+        Pending trials are written as files of a batch each and come back as a stream. Each micro-batch is one append of the
+        log, tagged with the run and the batch, so that a batch that is done over after a failure of the driver's appends
+        nothing twice. A run that is killed loses the batch under way; the next run takes up what the log lacks. An interrupt,
+        or ``stop``, lets the batch under way finish and be appended, and ends the run there.
+        """
+        stop = stop or threading.Event()
         manifest = self.check_resumable()
-        known, grid = self.resumes(), self.pending()
+        pending = self.pending()
+        work = f"{self.config.folder.rstrip('/')}/_work/{self.id}-{uuid.uuid4().hex}"
+        pending.repartition(max(1, -(-self.expected_calls() // self.batch))).write.parquet(f"{work}/pending")
+        if files.exists(self.paths["raw"]) and not self.config.resume:
+            files.set_aside(self.paths["raw"])
         report.write_json(self.paths["manifest"], manifest)
-        judged = self.answer(grid).withColumn("is_correct", F.col("verdict") == F.col("preferred"))
-        report.write_log(judged.select(*JUDGMENT.names), self.paths["raw"], append=known)
+        busy = threading.Event()
+
+        def judge(rows: DataFrame, number: int) -> None:
+            if stop.is_set():
+                return
+            busy.set()
+            try:
+                judged = self.answer(rows).withColumn("is_correct", F.col("verdict") == F.col("preferred"))
+                report.write_log(judged.select(*JUDGMENT.names), self.paths["raw"], append=True, tag=f"{work}#{number}")
+            finally:
+                busy.clear()
+
+        stream = self.spark.readStream.schema(pending.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/pending")
+        with interrupt_drains(stop):
+            query = stream.writeStream.foreachBatch(judge).option("checkpointLocation", f"{work}/state").trigger(availableNow=True).start()
+            while not query.awaitTermination(0.5):
+                if stop.is_set() and not busy.is_set():  # batches that begin now are passed over
+                    query.stop()
+        done = not stop.is_set()
+        files.remove(work)
+        return done
 
     def judgments(self) -> DataFrame:
         return cells.first_by_key(load_log(self.spark, self.paths["raw"]), LOG_ORDER)
@@ -187,7 +243,7 @@ class Experiment:
         config = {**asdict(self.config)}
         card = report.harness_card(config, self.id, self.items.count(), [j for j, _ in self.judges], versions, self.items_sha256)
         text = report.report_text(card, {j: report.quality_text(r) for j, r in per_judge.items()}, tables, split)
-        Path(self.paths["report"]).write_text(text, encoding="utf-8")
+        files.write_text(self.paths["report"], text)
         rows = [json.loads(x) for x in report.public_rows(found).toJSON().collect()]
         report.write_json(self.paths["summary"], {"manifest": self.manifest(), "results": rows})
         return text

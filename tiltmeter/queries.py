@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +19,9 @@ from tiltmeter.operators import prompts as R
 from tiltmeter.operators import report as O
 from tiltmeter.operators import trials as T
 from tiltmeter.sources import bridge as B
+from tiltmeter.sources import files
 from tiltmeter.sources import records as S
+from tiltmeter.sources.files import working_folder
 from tiltmeter.streaming.ingest import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,16 +43,6 @@ def query(sql: str | None = None):
     return add
 
 
-def working_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one that the cluster names; a local one only for a local session."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        shared = "/tmp/checkpoints/tiltmeter"
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
     """Doubles at nine places, so that the last bits of functions don't count."""
     return df.select(*[(F.round(c, digits).alias(c) if t == "double" else F.col(c)) for c, t in df.dtypes])
@@ -285,7 +276,7 @@ def _has(x: str, markers) -> str:
 @query(
     f"""with {ITEMS}, made as (select id, question, {PERTURBED['verbose_cot'][1]} as t from items) select id, round(0.3*least(length(t)/600.0,1) + 0.3*{_has('t', J.AUTHORITY_MARKERS)}
  + 0.3*{_has('t', J.MARKDOWN_MARKERS)} + 0.15*{_has('t', J.COT_MARKERS)} - 0.45*{_has('t', J.ABSTENTION_MARKERS)} + 0.42*{_has('t', ['model x'])} + 0.3, 9)::DOUBLE as score,
- round(least(1, greatest(0, 0.65 + (('0x'||substr(sha256(question),1,8))::BIGINT/4294967295.0 - 0.5)*2*0.22)), 9)::DOUBLE as competence from made"""
+ case when question = '' then 0.65::DOUBLE else round(least(1, greatest(0, 0.65 + (('0x'||substr(sha256(question),1,8))::BIGINT/4294967295.0 - 0.5)*2*0.22)), 9)::DOUBLE end as competence from made"""
 )
 def surface_score(spark, sf_dir):
     t = X.Texts(*[F.col(c) for c in ("id", "question", "correct", "wrong")], F.lit("Model X"), F.lit("Model Y"))
@@ -763,8 +754,9 @@ def ingest_stream_dedup(spark, sf_dir):
 
 @query(LOGGED)
 def log_first_append_wins(spark, sf_dir):
-    """The same log read at once: the first row of each key in the order of appends."""
+    """The same log read at once: the first row of each key in the order of appends, though all files have one time."""
     at = working_folder(spark, "log")
     appended_log(spark, sf_dir, at)
+    files.set_times(at, 0)
     first = K.first_by_key(S.load_log(spark, at), S.LOG_ORDER)
     return first.groupBy("judge_id", "axis", "verdict").agg(F.count(F.lit(1)).alias("n"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +10,8 @@ from pyspark.sql import types as T
 
 from tiltmeter.functions.columns import signed_gap, strip
 from tiltmeter.operators.pool import DOMAINS
+from tiltmeter.sources import files
+from tiltmeter.sources.appends import LOG_ORDER, numbered
 
 ITEM_FIELDS = ("id", "domain", "question", "correct", "wrong", "notes")
 ITEM = T.StructType([T.StructField(c, T.StringType()) for c in ITEM_FIELDS])
@@ -32,18 +33,14 @@ class BadInput(ValueError):
     """A source that does not hold what it should."""
 
 
-#: The order of a log: files by the time of their append, then by name, then lines by their place.
-LOG_ORDER = ["written", "pos"]
-
-
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines with ``file``, its time ``written``, and their place ``pos``, an order that survives partitions.
 
     Ids grow within a block of a file, and blocks have their offset, so a file's lines keep their order
-    however it is split. Copying a folder must preserve the files' times, or appends lose their order.
+    however it is split. Folders within the folder are read too.
     """
     meta = lambda c: F.col(f"_metadata.{c}")
-    read = spark.read.text(path).select(
+    read = spark.read.option("recursiveFileLookup", True).text(path).select(
         "value", meta("file_path").alias("file"), meta("file_modification_time").alias("written"),
         meta("file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"),
     )
@@ -73,7 +70,7 @@ def load_items(spark: SparkSession, path: str, comments: bool = True, check_doma
 def load_drafts(spark: SparkSession, path: str) -> DataFrame:
     """Items that may lack fields, and their place ``pos``; a line that is no JSON object lacks all of them."""
     made = _lines(spark, path).withColumn("r", F.from_json("value", ITEM))
-    return made.select("r.*", F.struct(*LOG_ORDER).alias("pos"))
+    return made.select("r.*", F.struct("written", "pos").alias("pos"))
 
 
 def load_domain_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -95,7 +92,7 @@ def pool_records(items: DataFrame) -> DataFrame:
 
 def load_log(spark: SparkSession, path: str) -> DataFrame:
     """All whole lines of a judgment log in order; a truncated line is left out. Correctness is derived anew."""
-    made = _lines(spark, path).withColumn("r", F.from_json("value", JUDGMENT, {"mode": "PERMISSIVE"}))
+    made = numbered(_lines(spark, path), path).withColumn("r", F.from_json("value", JUDGMENT, {"mode": "PERMISSIVE"}))
     sound = made.where("r is not null and r.verdict is not null and r.item_id is not null")
     kept = sound.select(*[F.col(f"r.{f.name}").alias(f.name) for f in JUDGMENT if f.name != "is_correct"], "file", *LOG_ORDER)
     for c in ("extra_instruction", "model_version", "error", "key"):
@@ -106,7 +103,7 @@ def load_log(spark: SparkSession, path: str) -> DataFrame:
 def load_manifest(path: str) -> dict | None:
     """A manifest, or None where there is none or it can't be read."""
     try:
-        return json.loads(Path(path).read_text(encoding="utf-8"))
+        return json.loads(files.read_text(path))
     except (OSError, ValueError):
         return None
 

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from tiltmeter.operators.cells import first_by_key
+from tiltmeter.sources.appends import numbered
 from tiltmeter.sources.records import JUDGMENT
 
 TABLE = T.StructType([*JUDGMENT.fields, T.StructField("batch", T.LongType())])
@@ -18,6 +19,7 @@ def log_stream(spark: SparkSession, folder: str, files_per_batch: int | None = N
     reader = spark.readStream.format("text")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    reader = reader.option("recursiveFileLookup", True)
     meta = lambda c: F.col(f"_metadata.{c}")
     lines = reader.load(folder).select("value", meta("file_modification_time").alias("written"), meta("file_path").alias("file"), meta("file_block_start").alias("block"))
     made = lines.withColumn("r", F.from_json("value", JUDGMENT, {"mode": "PERMISSIVE"}))
@@ -43,7 +45,8 @@ def ingest(spark: SparkSession, folder: str, target: str, checkpoint: str, files
 
     def add(rows: DataFrame, batch: int) -> None:
         session = rows.sparkSession
-        fresh = first_by_key(rows.withColumn("line", F.monotonically_increasing_id()), ["written", "file", "block", "line"])
+        lines = numbered(rows.withColumn("line", F.monotonically_increasing_id()), folder)
+        fresh = first_by_key(lines, ["append", "written", "file", "block", "line"])
         if (table := _table(session, target)) is not None:
             asked = rows.where("key <> ''").select("key").distinct()
             known = table.where(F.col("batch") < batch).select("key").join(asked, "key", "left_semi")
