@@ -33,15 +33,24 @@ def first_by_key(log: DataFrame, order: list[str]) -> DataFrame:
 
 
 def outcomes(judgments: DataFrame) -> DataFrame:
-    """One row for each trial with the outcome under each condition (null if it was not judged A or B)."""
+    """One row for each trial with the outcome under each condition (null if it was not judged A or B), and how many
+    judgments under base and perturbed there were (``n_base, n_pert``) and how many of them were correct (``k_base, k_pert``)."""
     ok = lambda c: F.max(F.when(F.col("condition") == c, correct().cast("int"))).alias(c)
     return (
         judgments.where(scorable())
         .groupBy("judge_id", "axis", "item_id", "prompt_template", "rep")
-        .agg(*[ok(c) for c in ("base", "perturbed", "noise_a", "noise_b")])
+        .agg(*[ok(c) for c in ("base", "perturbed", "noise_a", "noise_b")], *_tallies())
     )
 
 
+def _tallies() -> list[Column]:
+    good = correct().cast("long")
+    pick = lambda c: F.col("condition") == c
+    return [F.sum(F.when(pick(c), good).otherwise(0)).alias(f"k_{s}") for c, s in (("base", "base"), ("perturbed", "pert"))] + [
+        F.sum(pick(c).cast("long")).alias(f"n_{s}") for c, s in (("base", "base"), ("perturbed", "pert"))
+    ]
+
+
 def _counted(x: str, y: str, prefix: str) -> list[Column]:
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
     return [
@@ -51,12 +60,36 @@ def _counted(x: str, y: str, prefix: str) -> list[Column]:
     ]
 
 
+TALLIES = ("k_base", "k_pert", "n_base", "n_pert")
+
+
+def counted_cells(judgments: DataFrame, by: list[str] = BY) -> DataFrame:
+    """As ``cells``, with each item's tallies under base and perturbed, and items that have nothing else."""
+    return outcomes(judgments).groupBy(*by, "item_id").agg(
+        *_counted("base", "perturbed", ""), *_counted("noise_a", "noise_b", "n"), *[F.sum(c).alias(c) for c in TALLIES]
+    )
+
+
 def cells(judgments: DataFrame, by: list[str] = BY) -> DataFrame:
     """``n, b, c`` of base against perturbed and ``nn, nb, nc`` of the two noise conditions for each item."""
-    counted = outcomes(judgments).groupBy(*by, "item_id").agg(
-        *_counted("base", "perturbed", ""), *_counted("noise_a", "noise_b", "n")
+    return counted_cells(judgments, by).where("n > 0 or nn > 0").drop(*TALLIES)
+
+
+#: What stands for all templates together in ``cells_by_all``.
+POOLED = "(all)"
+
+
+def cells_by_all(judgments: DataFrame) -> DataFrame:
+    """Cells by judge, template and axis, and those of all templates together under ``POOLED``: judgments are shuffled once.
+
+    Trials are grouped once; their outcomes are expanded to both grouping sets and summed before the second shuffle.
+    """
+    sets = [[*BY_TEMPLATE, "item_id"], [*BY, "item_id"]]
+    keys = [F.col(c) for c in (*BY_TEMPLATE, "item_id")]
+    counted = outcomes(judgments).groupingSets([[F.col(c) for c in s] for s in sets], *keys).agg(
+        F.grouping("prompt_template").alias("pooled"), *_counted("base", "perturbed", ""), *_counted("noise_a", "noise_b", "n"), *[F.sum(c).alias(c) for c in TALLIES]
     )
-    return counted.where("n > 0 or nn > 0")
+    return counted.withColumn("prompt_template", F.when(F.col("pooled") == 1, POOLED).otherwise(F.col("prompt_template"))).drop("pooled")
 
 
 def totals(cell_table: DataFrame, by: list[str] = BY) -> DataFrame:
@@ -84,12 +117,16 @@ def noise_floor(cell_table: DataFrame, by: list[str] = BY) -> DataFrame:
 
 def accuracy(judgments: DataFrame, by: list[str] = BY) -> DataFrame:
     """Accuracy and count of scorable judgments under base and perturbed; (0, 0) for none."""
-    good, pick = correct().cast("long"), lambda c: F.col("condition") == c
-    summed = judgments.where(scorable()).groupBy(*by).agg(
-        *[F.sum(F.when(pick(c), good).otherwise(0)).alias(f"k_{s}") for c, s in (("base", "base"), ("perturbed", "pert"))],
-        *[F.sum(pick(c).cast("long")).alias(f"n_{s}") for c, s in (("base", "base"), ("perturbed", "pert"))],
-    )
-    return summed.select(
+    return rates_of(judgments.where(scorable()).groupBy(*by).agg(*_tallies()), by)
+
+
+def counted_accuracy(cell_table: DataFrame, by: list[str] = BY) -> DataFrame:
+    """The same from ``counted_cells``."""
+    return rates_of(cell_table.groupBy(*by).agg(*[F.sum(c).alias(c) for c in TALLIES]), by)
+
+
+def rates_of(tallied: DataFrame, by: list[str]) -> DataFrame:
+    return tallied.select(
         *by, ratio(F.col("k_base"), F.col("n_base")).alias("acc_base"), "n_base",
         ratio(F.col("k_pert"), F.col("n_pert")).alias("acc_pert"), "n_pert",
     )

@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from tiltmeter.functions.columns import hex_number, ratio, uniform
 from tiltmeter.functions.numeric import cohens_h, normal_cdf
 from tiltmeter.operators.axes import CONFIRMATORY
-from tiltmeter.operators.cells import BY, accuracy, cells, noise_floor, totals
+from tiltmeter.operators.cells import BY, BY_TEMPLATE, POOLED, cells_by_all, counted_accuracy, counted_cells, noise_floor, totals
+from tiltmeter.operators.resampling import resampled
+from tiltmeter.sources.files import stored
 
 SEED, GATE_SEED, RESAMPLES, ALPHA = 20260830, 20260831, 10_000, 0.05
 BITS = 48
@@ -342,9 +344,20 @@ def corrected(results: DataFrame, by: list[str] = BY, order: str = "axis_order",
 
 
 def axis_results(judgments: DataFrame, axes: DataFrame, by: list[str] = BY, n: int = RESAMPLES, alpha: float = ALPHA) -> DataFrame:
-    """Everything known about each judge and axis, with corrected verdicts; ``axes`` is ``axes.taxonomy``."""
-    table = cells(judgments, by)
-    drawn = counted_resamples(table, by, n, alpha)
+    """Everything known about each judge and axis, with corrected verdicts; ``axes`` is ``axes.taxonomy``.
+
+    Judgments are read once: the cells, which all statistics come from, are stored.
+    """
+    return _results(stored(counted_cells(judgments, by), "cells"), axes, by, n, alpha)
+
+
+def all_results(judgments: DataFrame, axes: DataFrame, n: int = RESAMPLES, alpha: float = ALPHA) -> DataFrame:
+    """The results of all templates together (under ``POOLED``) and of each template, from one pass over the judgments."""
+    return _results(stored(cells_by_all(judgments), "cells"), axes, BY_TEMPLATE, n, alpha)
+
+
+def _results(table: DataFrame, axes: DataFrame, by: list[str], n: int, alpha: float) -> DataFrame:
+    drawn = stored(resampled(table, by, n, alpha, SEED, GATE_SEED), "resampled")
     found = (
         totals(table, by)
         .join(drawn.select(*by, "observed_d", "p", "h_lo", "h_hi"), by)
@@ -352,8 +365,10 @@ def axis_results(judgments: DataFrame, axes: DataFrame, by: list[str] = BY, n: i
         .join(gated(table, drawn.select(*by, "ci_lo", "ci_hi"), by), by, "left")
         .join(F.broadcast(axes), "axis")
     )
-    if "prompt_template" not in by:  # rows by template carry no accuracies
-        found = found.join(accuracy(judgments, by), by, "left")
+    shown = counted_accuracy(table, by)
+    if "prompt_template" in by:  # rows by template carry no accuracies
+        shown = shown.where(F.col("prompt_template") == POOLED)
+    found = found.join(shown, by, "left")
     return corrected(found, by, alpha=alpha)
 
 

@@ -17,6 +17,7 @@ from tiltmeter.operators import pool as P
 from tiltmeter.operators import power as W
 from tiltmeter.operators import prompts as R
 from tiltmeter.operators import report as O
+from tiltmeter.operators import resampling as D
 from tiltmeter.operators import trials as T
 from tiltmeter.sources import bridge as B
 from tiltmeter.sources import files
@@ -155,10 +156,45 @@ ERF = "(case when {z} = 0 then 0 else list_sum(list_transform(range(0, 160), lam
 CDF = lambda x: f"(0.5*(1+sign(({x})::DOUBLE)*least(1, {ERF.format(z=f'least(abs({x})/sqrt(2),6)')})))"
 
 
+#: All resamples: classes of equal cells, the distribution of how often each enters a resample, and its inversion by hashes.
+DRAWN = f""", classes as (select judge_id, axis, 'perm' as stream, abs(b-c)::VARCHAR as key, abs(b-c)::DOUBLE as v0, 0::DOUBLE as v1, 0::DOUBLE as v2, count(*) as m from cells where n > 0 and b <> c group by all
+ union all select judge_id, axis, 'boot', concat_ws(',', n, b, c), n::DOUBLE, b::DOUBLE, c::DOUBLE, count(*) from cells where n > 0 group by all
+ union all select judge_id, axis, 'gate', round((b/n::DOUBLE - nb/nn::DOUBLE)*1000000000)::BIGINT::VARCHAR, round(b/n::DOUBLE - nb/nn::DOUBLE, 12), 1, 0, count(*) from cells where n > 0 and nn > 0 and item_id <> '' group by all),
+ spans as (select *, floor(case when fair then m/2.0 else m end) as mid, ceil(case when fair then 4.5*sqrt(m) else 9*sqrt(m) end) + 20 as reach from (select distinct stream = 'perm' as fair, m from classes)),
+ masses as (select fair, m, x, case when fair then exp(lgamma(m+1)-lgamma(x+1)-lgamma(m-x+1)-m*ln(2)) else exp(x*ln(m)-m-lgamma(x+1)) end as mass
+  from (select fair, m, unnest(range(greatest(mid-reach, 0)::BIGINT, (case when fair then least(mid+reach, m) else mid+reach end)::BIGINT + 1)) as x from spans)),
+ below as (select fair, m, x, coalesce(sum(mass) over (partition by fair, m order by x rows between unbounded preceding and 1 preceding), 0)/sum(mass) over (partition by fair, m) as below from masses),
+ hashed as (select *, stream = 'perm' as fair, sha256(concat_ws('|', case when stream = 'gate' then '{I.GATE_SEED}' else '{I.SEED}' end, stream, judge_id, axis, key, place)) as h from classes, range({-(-I.RESAMPLES // D.DRAWS)}) p(place)),
+ numbers as (select judge_id, axis, stream, fair, m, v0, v1, v2, place*{D.DRAWS}+i as r, ('0x'||substr(h, (1+{D.DIGITS}*i)::BIGINT, {D.DIGITS}))::BIGINT/{16**D.DIGITS}::DOUBLE as u from hashed, range({D.DRAWS}) d(i) where place*{D.DRAWS}+i < {I.RESAMPLES}),
+ found as (select numbers.*, (case when numbers.fair then 2*x-numbers.m else x end)::DOUBLE as w from numbers asof join below on numbers.fair = below.fair and numbers.m = below.m and numbers.u >= below.below),
+ sums as (select judge_id, axis, stream, r, sum(v0*w) as s0, sum(v1*w) as s1, sum(v2*w) as s2 from found group by all),
+ valued as (select judge_id, axis, stream, case stream when 'perm' then abs(s0) when 'boot' then {H('s1/s0', 's2/s0')} else round(s0/s1, 12) end as v from sums),
+ placed as (select *, row_number() over (partition by judge_id, axis, stream order by v) - 1 as i from valued),
+ boot_ends as (select judge_id, axis, max(case when i = 250 then v end) as lo, max(case when i = 9749 then v end) as hi from placed where stream = 'boot' group by all),
+ gate_ends as (select judge_id, axis, max(case when i = 250 then v end) as lo, max(case when i = 9749 then v end) as hi from placed where stream = 'gate' group by all),
+ observed as (select judge_id, axis, sum(b-c)::BIGINT as observed_d, max(abs(b-c)) as most from cells where n > 0 group by all),
+ hits as (select judge_id, axis, count(*) as hits from placed join observed using (judge_id, axis) where stream = 'perm' and v >= abs(observed_d) group by all),
+ perms as (select judge_id, axis, observed_d, case when most = 0 then 1.0 else (coalesce(hits, 0)+1)::DOUBLE/{I.RESAMPLES + 1} end as p from observed left join hits using (judge_id, axis))"""
+GATED = GATE[GATE.index(", floors as"):]
+FULL = BASE + TOTALS("judge_id, axis") + DRAWN + GATED + HOLM
+
+
+PCT = lambda x: f"printf('%.1f%%', ({x})*100)"
+RESULT_LINE = lambda base, pert: f"""'| `'||axis||'` | '||hypothesis||' | '||n||' | '||n_items||' | '||{base}||' | '||{pert}||' | '||{PCT('p_wrong')}||' | '||{PCT('p_right')}||' | '||{PCT('flip_rate')}||' | '
+ ||format('{{:+.3f}}', net_bias)||' | '||format('{{:+.3f}}', h)||' | ['||format('{{:+.3f}}', lo)||', '||format('{{:+.3f}}', hi)||'] | '||printf('%.4f', p)||' | '||printf('%.4f', p_adjusted)||' | '
+ ||case when noise_floor = 0 then '—' else {PCT('noise_floor')} end||' | '||verdict||' |' as line"""
+
+
 def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.hash_judgments(spark, sf_dir)
 
 
+def drawn_ends(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Cells, stored, and what all resamples of them give."""
+    table = files.stored(cell_table(spark, sf_dir), "cells")
+    return table, D.resampled(table)
+
+
 def cell_table(spark: SparkSession, sf_dir: str, by: list[str] = K.BY) -> DataFrame:
     return K.cells(judgments(spark, sf_dir), by)
 
@@ -389,23 +425,26 @@ def noise_gate_by_item(spark, sf_dir):
     return rounded(I.noise_gate(cell_table(spark, sf_dir), n=DRAWS))
 
 
-@query()
+@query(BASE + DRAWN + " select judge_id, axis, observed_d, round(p,9) as p from perms")
 def permutation_p(spark, sf_dir):
     """All resamples, drawn from counts of equal cells; tests hold it against the exact p."""
-    return rounded(I.counted_resamples(cell_table(spark, sf_dir)).select(*K.BY, "observed_d", "p"))
+    return rounded(drawn_ends(spark, sf_dir)[1].select(*K.BY, "observed_d", "p"))
 
 
-@query()
+@query(BASE + DRAWN + " select judge_id, axis, round(lo,9) as ci_lo, round(hi,9) as ci_hi from boot_ends")
 def bootstrap_h_ci(spark, sf_dir):
     """All resamples, drawn from counts of equal cells."""
-    return rounded(I.counted_resamples(cell_table(spark, sf_dir)).select(*K.BY, F.col("h_lo").alias("ci_lo"), F.col("h_hi").alias("ci_hi")))
+    return rounded(drawn_ends(spark, sf_dir)[1].select(*K.BY, F.col("h_lo").alias("ci_lo"), F.col("h_hi").alias("ci_hi")))
 
 
-@query()
+@query(
+    BASE + TOTALS("judge_id, axis") + DRAWN + GATED
+    + " select judge_id, axis, round(noise_floor,9) as noise_floor, round(noise_self_disagreement,9) as noise_self_disagreement, round(noise_lo,9) as noise_lo, round(noise_hi,9) as noise_hi, above_noise from gates"
+)
 def noise_gate(spark, sf_dir):
     """All resamples, drawn from counts of equal cells."""
-    table = cell_table(spark, sf_dir)
-    return rounded(I.gated(table, I.counted_resamples(table).select(*K.BY, "ci_lo", "ci_hi")))
+    table, drawn = drawn_ends(spark, sf_dir)
+    return rounded(I.gated(table, drawn.select(*K.BY, "ci_lo", "ci_hi")))
 
 
 META = f""", eff as (select judge_id, axis, {H('b/n::DOUBLE', 'c/n::DOUBLE')} as e, 1.0::DOUBLE/n as v from cells where n > 0),
@@ -438,26 +477,43 @@ def holm_verdicts_by_item(spark, sf_dir):
     return rounded(_tested(spark, sf_dir).select("judge_id", "axis", "hypothesis", "p", "p_adjusted", "rejected", "above_noise", "verdict"))
 
 
-@query()
+@query(
+    FULL + META + f""", meta as (select judge_id, axis, k, pooled, se, pooled/se as z, 2*(1-{CDF('abs(pooled/se)')}) as p_meta, tau_sq, q, case when q > 0 and k > 1 then greatest(0,(q-(k-1))/q*100) else 0 end as i_sq,
+ pooled-1.96*se as meta_lo, pooled+1.96*se as meta_hi from pooled),
+ accs as (select judge_id, axis, avg(case when condition='base' then {RIGHT} end) as acc_base, sum((condition='base')::INT)::BIGINT as n_base, avg(case when condition='perturbed' then {RIGHT} end) as acc_pert,
+  sum((condition='perturbed')::INT)::BIGINT as n_pert from judged where verdict in ('A','B') group by all)
+ select judge_id, axis, n_items, n, b, c, {', '.join(f'round({x},6) as {x}' for x in ('net_bias', 'flip_rate', 'p_wrong', 'p_right', 'h', 'p', 'p_adjusted', 'noise_floor', 'noise_self_disagreement', 'noise_lo', 'noise_hi', 'pooled', 'se', 'z', 'p_meta', 'tau_sq', 'q', 'i_sq', 'meta_lo', 'meta_hi', 'acc_base', 'acc_pert'))},
+ observed_d, round(lo,6) as h_lo, round(hi,6) as h_hi, k, above_noise, axis_order, hypothesis, confirmatory, n_base, n_pert, rejected, verdict, kind
+ from verdicts join rates using (judge_id, axis) join (select judge_id, axis, observed_d from perms) using (judge_id, axis) join boot_ends using (judge_id, axis)
+ join (select judge_id, axis, noise_floor, noise_self_disagreement, noise_lo, noise_hi from gates) using (judge_id, axis) join meta using (judge_id, axis) join accs using (judge_id, axis)
+ join (select axis, confirmatory from {AXES}) using (axis) join {values('kinds', 'axis, kind', [(x, k) for x, (_, k) in X.TAXONOMY.items()])} using (axis)"""
+)
 def axis_results(spark, sf_dir):
     """All of it in one table, with all resamples."""
-    return rounded(_results(spark, sf_dir))
+    return rounded(_results(spark, sf_dir), 6)
 
 
-@query()
+@query(FULL + " select judge_id, axis, hypothesis, round(p,9) as p, round(p_adjusted,9) as p_adjusted, rejected, above_noise, verdict from verdicts")
 def holm_verdicts(spark, sf_dir):
     """Verdicts from all resamples."""
     return rounded(_results(spark, sf_dir).select("judge_id", "axis", "hypothesis", "p", "p_adjusted", "rejected", "above_noise", "verdict"))
 
 
-@query()
+@query(
+    FULL + f""", accs as (select judge_id, axis, avg(case when condition='base' then {RIGHT} end) as acc_base, avg(case when condition='perturbed' then {RIGHT} end) as acc_pert from judged where verdict in ('A','B') group by all)
+ select judge_id, axis, {RESULT_LINE(PCT('acc_base'), PCT('acc_pert'))} from verdicts join rates using (judge_id, axis) join boot_ends using (judge_id, axis)
+ join (select judge_id, axis, noise_floor from gates) using (judge_id, axis) join accs using (judge_id, axis)"""
+)
 def results_table_text(spark, sf_dir):
     """Lines of the report from all resamples."""
     found = _results(spark, sf_dir)
     return found.select("judge_id", "axis", O.results_line(found).alias("line"))
 
 
-@query()
+@query(
+    FULL + f""" select j.judge_id, a.axis, coalesce(n_items,0) as n_items, coalesce(n,0) as n, verdict from {values('j', 'judge_id', [(j,) for j, _ in B.JUDGES])},
+ {AXES.replace(' ax(', ' a(')} left join (select * from verdicts join rates using (judge_id, axis) where axis not in ('format','position')) v on v.judge_id = j.judge_id and v.axis = a.axis"""
+)
 def axes_left_outer_results(spark, sf_dir):
     """Axes without results, two of them, get a row; verdicts from all resamples."""
     found = _results(spark, sf_dir).where("axis not in ('format', 'position')")
@@ -465,13 +521,8 @@ def axes_left_outer_results(spark, sf_dir):
     return full.select("judge_id", "axis", "n_items", "n", "verdict")
 
 
-PCT = lambda x: f"printf('%.1f%%', ({x})*100)"
-
-
 @query(
-    ALL + f""" select judge_id, axis, '| `'||axis||'` | '||hypothesis||' | '||n||' | '||n_items||' | — | — | '||{PCT('p_wrong')}||' | '||{PCT('p_right')}||' | '||{PCT('flip_rate')}||' | '
- ||format('{{:+.3f}}', net_bias)||' | '||format('{{:+.3f}}', h)||' | ['||format('{{:+.3f}}', lo)||', '||format('{{:+.3f}}', hi)||'] | '||printf('%.4f', p)||' | '||printf('%.4f', p_adjusted)||' | '
- ||case when noise_floor = 0 then '—' else {PCT('noise_floor')} end||' | '||verdict||' |' as line from verdicts join rates using (judge_id, axis) join boot_ends using (judge_id, axis)
+    ALL + f""" select judge_id, axis, {RESULT_LINE(text('—'), text('—'))} from verdicts join rates using (judge_id, axis) join boot_ends using (judge_id, axis)
  join (select judge_id, axis, noise_floor from gates) using (judge_id, axis)"""
 )
 def results_table_text_by_item(spark, sf_dir):
@@ -499,6 +550,22 @@ def h5_ablation_delta(spark, sf_dir):
     return rounded(found.withColumn("delta", F.col("cot") - F.col("control")))
 
 
+@query(FULL + " select judge_id, axis, coalesce(rejected, false) and coalesce(above_noise, true) as bias from verdicts")
+def bias_flags(spark, sf_dir):
+    """From all resamples."""
+    return O.bias_flag(_results(spark, sf_dir)).select("judge_id", "axis", "bias")
+
+
+@query(
+    f"with {JUDGED}" + cells_sql("judge_id, prompt_template, axis").replace("cells as (", "parts as (")
+    + f", cells as (select * from parts union all select judge_id, '{K.POOLED}', axis, item_id, sum(n)::BIGINT, sum(b)::BIGINT, sum(c)::BIGINT, sum(nn)::BIGINT, sum(nb)::BIGINT, sum(nc)::BIGINT from parts group by all)"
+    + TOTALS("judge_id, prompt_template, axis") + f" select judge_id, prompt_template, axis, {RATES} from rates"
+)
+def net_bias_by_all(spark, sf_dir):
+    """Each template and all of them together, from one pass over the judgments."""
+    return rounded(K.totals(K.cells_by_all(judgments(spark, sf_dir)), K.BY_TEMPLATE))
+
+
 @query(ALL + " select judge_id, axis, coalesce(rejected, false) and coalesce(above_noise, true) as bias from verdicts")
 def bias_flags_by_item(spark, sf_dir):
     return O.bias_flag(_tested(spark, sf_dir)).select("judge_id", "axis", "bias")
