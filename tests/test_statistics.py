@@ -1,6 +1,8 @@
 import itertools
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from tiltmeter.operators import cells as K
 from tiltmeter.operators import inference as I
 from tiltmeter.operators import power as W
 from tiltmeter.operators.axes import taxonomy
+from tiltmeter.operators import resampling as D
 
 CELL = "judge_id string, axis string, item_id string, n long, b long, c long, nn long, nb long, nc long"
 
@@ -133,3 +136,79 @@ def test_uniform_is_stable_and_spread(spark):
     got = spark.range(2000).select(C.uniform("s", F.col("id")).alias("u")).agg(F.avg("u"), F.min("u"), F.max("u")).first()
     assert abs(got[0] - 0.5) < 0.03 and 0 <= got[1] < 0.01 and 0.99 < got[2] < 1
     assert taxonomy(spark).where("confirmatory").count() == 7
+
+
+def mixed_cells(spark, items=300):
+    rng = random.Random(3)
+    rows = []
+    for axis, tilt in (("length", 0.3), ("format", 0.0)):
+        for _ in range(items):
+            draw = lambda n, p, q: [sum(x) for x in zip(*[(u < p, p <= u < p + q) for u in (rng.random() for _ in range(n))], strict=True)] if n else [0, 0]
+            n, nn = rng.choice([0, 3, 4, 4]), rng.choice([0, 4])
+            rows.append((axis, n, *draw(n, 0.2 + tilt, 0.2), nn, *draw(nn, 0.15, 0.15)))
+    return table(spark, rows)
+
+
+def test_inversion_gives_the_distributions(spark):
+    sizes = spark.createDataFrame([(f, m) for f in (True, False) for m in (1, 2, 7, 400, 30_000)], "binomial boolean, m long")
+    for r in D.distributions(sizes).collect():
+        x = np.concatenate([D.inverted(f"h{r.binomial}", b, r.low, np.array(r.upto)) for b in range(25)])
+        mean, var = (r.m / 2, r.m / 4) if r.binomial else (r.m, r.m)
+        assert r.upto == sorted(r.upto) and r.upto[-1] == pytest.approx(1, abs=1e-12) and len(x) == 30_000
+        assert x.mean() == pytest.approx(mean, abs=5 * (var / len(x)) ** 0.5) and x.var() == pytest.approx(var, rel=0.06)
+        if r.m <= 7:
+            at = 0.5**r.m if r.binomial else math.exp(-r.m)
+            assert r.low == 0 and r.upto[0] == pytest.approx(at, rel=1e-9) and (x == 0).mean() == pytest.approx(at, abs=0.01)
+
+
+def test_resamples_agree_with_exact_draws_and_do_not_depend_on_partitions(spark):
+    cells = mixed_cells(spark)
+    got = {r.axis: r for r in D.resampled(cells).collect()}
+    assert sorted(map(tuple, D.resampled(cells.repartition(7, "item_id")).collect())) == sorted(map(tuple, got.values()))
+    exact = {r.axis: r.p for r in I.permutation_p_exact(cells).collect()}
+    for r in I.counted_resamples(cells).collect():
+        mine = got[r.axis]
+        assert mine.observed_d == r.observed_d and abs(mine.p - exact[r.axis]) < 0.02
+        assert all(abs(mine[c] - r[c]) < 0.02 for c in ("h_lo", "h_hi", "ci_lo", "ci_hi"))
+    few = {r.axis: r for r in D.resampled(table(spark, [("a", 2, 1, 1, 0, 0, 0), ("b", 0, 0, 0, 2, 1, 0), ("c", 4, 4, 0, 4, 0, 0)]), n=100).collect()}
+    assert set(few) == {"a", "c"} and few["a"].p == 1.0 and few["a"].ci_lo is None and few["c"].ci_hi == 1.0
+
+
+def test_power_is_the_sum_over_outcomes(spark):
+    n, p, q = 12, 0.45, 0.05
+    wanted = 0.0
+    for b in range(n + 1):
+        for c in range(n + 1 - b):
+            k = min(b, c)
+            tail = min(1, 2 * sum(math.comb(b + c, i) for i in range(k + 1)) / 2 ** (b + c)) if b + c else 1
+            if tail < 0.05 / 7:
+                wanted += math.comb(n, b) * math.comb(n - b, c) * p**b * q**c * (1 - p - q) ** (n - b - c)
+    rates = spark.createDataFrame([("x", p, q), ("none", 0.0, 0.0), ("all", 1.0, 0.0)], "name string, p_wrong double, p_right double")
+    got = {r.name: r.power for r in W.exact_power(rates, n).collect()}
+    assert got["x"] == pytest.approx(wanted, abs=1e-12) and got["none"] == 0.0 and got["all"] == pytest.approx(1.0)
+    floors = spark.createDataFrame([("j", 0.15), ("k", 0.01)], "name string, floor double")
+    least = {r.name: r.least_h for r in W.detectable(floors, 150).collect()}
+    assert 0.3 < least["j"] < 0.6 and least["k"] is None
+
+
+def test_null_data_are_rejected_as_often_as_chance_allows(spark):
+    found = W.null_rejections(mixed_cells(spark))
+    counts = W.false_positives(found).first()
+    assert counts.tests == 96 and counts.rejections <= counts.accept_up_to
+
+
+def test_grouping_sets_equal_both_passes(spark):
+    rng = random.Random(1)
+    rows = [
+        ("j", "length", f"i{rng.randrange(20)}", rng.choice(["t1", "t2"]), rng.randrange(2), c, rng.choice(["A", "B", "TIE"]), "A")
+        for c in ("base", "perturbed", "noise_a", "noise_b") for _ in range(150)
+    ]
+    log = spark.createDataFrame(rows, "judge_id string, axis string, item_id string, prompt_template string, rep int, condition string, verdict string, preferred string")
+    both = K.cells_by_all(log)
+    pick = lambda df: sorted(map(tuple, df.select(*K.BY, "item_id", "n", "b", "c", "nn", "nb", "nc", *K.TALLIES).collect()))
+    assert pick(both.where(F.col("prompt_template") == K.POOLED)) == pick(K.counted_cells(log))
+    assert pick(both.where("prompt_template = 't1'")) == pick(K.counted_cells(log.where("prompt_template = 't1'"), K.BY_TEMPLATE))
+    accuracy = lambda df: {tuple(r) for r in df.select("judge_id", "axis", "acc_base", "n_base", "acc_pert", "n_pert").collect()}
+    assert accuracy(K.counted_accuracy(K.counted_cells(log))) == accuracy(K.accuracy(log))
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # judgments once, then what is left of them as partial sums

@@ -228,15 +228,21 @@ class Experiment:
     def write_report(self, n: int = inference.RESAMPLES) -> str:
         """Summary and report; only a line for each judge and axis reaches the driver."""
         judgments = self.judgments()
-        found = self.analyse(n)
+        split_up = len(self.config.templates) > 1
+        if split_up:  # all templates together, and each, from one pass
+            axes = axis_table.taxonomy(self.spark).where(F.col("axis").isin(*self.config.axes))
+            both = files.stored(inference.all_results(judgments, axes, n), "results")
+            each = both.where(F.col("prompt_template") != cells.POOLED)
+            found = both.where(F.col("prompt_template") == cells.POOLED).drop("prompt_template")
+        else:
+            found = files.stored(self.analyse(n), "results")
         lines = found.withColumn("line", report.results_line(found)).orderBy("judge_id", "axis_order").select("judge_id", "line").collect()
         tables: dict[str, list[str]] = {}
         for r in lines:
             tables.setdefault(r["judge_id"], []).append(r["line"])
         per_judge = {r["judge_id"]: r.asDict() for r in cells.quality(judgments).collect()}
         split: dict[str, list[str]] = {}
-        if len(self.config.templates) > 1:
-            each = self.analyse(n, by_template=True)
+        if split_up:
             for r in each.withColumn("line", report.results_line(each)).orderBy("prompt_template", "judge_id", "axis_order").collect():
                 split.setdefault(f"{r['judge_id']} / {r['prompt_template']}", []).append(r["line"])
         versions = sorted({v for r in per_judge.values() for v in r["versions"]})

@@ -649,6 +649,49 @@ def fpr_over_seeds(spark, sf_dir):
     ).withColumn("accept_up_to", N.binomial_upper_bound(F.col("tests"), F.lit(0.05), F.lit(0.95)))
 
 
+#: The chance of each outcome of a trinomial, with McNemar's p, summed over those that reject.
+OUTCOMES = lambda n, rates: f"""outcomes2 as (select b, c, lgamma({n}+1)-lgamma(b+1)-lgamma(c+1)-lgamma({n}-b-c+1) as ways from range({n}+1) x(b), range({n}+1) y(c) where b + c <= {n}
+ and case when b+c = 0 then 1 else least(1, 2*list_sum(list_transform(range(0, least(b,c)+1), lambda i: exp(lgamma(b+c+1)-lgamma(i+1)-lgamma(b+c-i+1)-(b+c)*ln(2))))) end < 0.05/7),
+ powers as (select r.*, p.power from {rates} r join (select id, sum(case when (b > 0 and p_wrong <= 0) or (c > 0 and p_right <= 0) or (b + c < {n} and p_wrong + p_right >= 1) then 0 else exp(ways
+  + case when b > 0 then b*ln(p_wrong) else 0 end + case when c > 0 then c*ln(p_right) else 0 end + case when b + c < {n} then ({n}-b-c)*ln(1-p_wrong-p_right) else 0 end) end) as power from {rates}, outcomes2 group by id) p using (id))"""
+POWER_ITEMS = 150
+
+
+@query(
+    BASE + f""", item_rates as (select row_number() over () as id, * from (select judge_id, axis, count(*) as n_items, avg((b > c)::INT) as p_wrong, avg((b < c)::INT) as p_right from cells where n > 0 group by all)),
+ {OUTCOMES(POWER_ITEMS, 'item_rates')} select judge_id, axis, n_items, round(p_wrong,9) as p_wrong, round(p_right,9) as p_right, round(power,6) as power from powers"""
+)
+def power_on_cells(spark, sf_dir):
+    """The power that a pool of 150 items would have for each judge's own rates of flips."""
+    found = W.exact_power(W.item_rates(files.stored(cell_table(spark, sf_dir), "cells")), POWER_ITEMS)
+    return rounded(found.withColumn("power", F.round("power", 6)))
+
+
+@query(
+    BASE + f""", floors as (select judge_id, axis, avg((nb <> nc)::INT) as floor from cells where nn > 0 group by all),
+ steps as (select row_number() over () as id, *, (floor + floor*step/60.0::DOUBLE)/2 as p_wrong, (floor - floor*step/60.0::DOUBLE)/2 as p_right from floors, range(61) s(step)),
+ {OUTCOMES(POWER_ITEMS, 'steps')} select judge_id, axis, round(floor,9) as floor, round(min(case when power >= 0.8 then {H('p_wrong', 'p_right')} end),6) as least_h from powers group by all"""
+)
+def detectable_on_cells(spark, sf_dir):
+    """The least effect that 150 items detect where flips are as frequent as each judge's noise."""
+    found = W.detectable(W.noise_rates(files.stored(cell_table(spark, sf_dir), "cells")), POWER_ITEMS)
+    return rounded(found.withColumn("least_h", F.round("least_h", 6)))
+
+
+@query(
+    BASE + DRAWN + f""", bits as (select *, ('0x'||substr(md5(concat_ws('|','{I.SEED}','null',judge_id,axis,item_id)),1,12))::BIGINT as bits from (select judge_id, axis, item_id, b - c as d from cells where n > 0 and b <> c)),
+ nulls as (select judge_id, axis, seed, abs(sum((1 - 2*((bits >> seed) & 1)) * d)) as observed from bits, range({I.BITS}) s(seed) group by all),
+ limits as (select judge_id, axis, v from (select *, row_number() over (partition by judge_id, axis order by v desc) as nth from placed where stream = 'perm') where nth = {int(-(-I.ALPHA * (I.RESAMPLES + 1) // 1)) - 1}),
+ counted as (select judge_id, count(*) as tests, sum((observed > v)::INT)::BIGINT as rejections from nulls join limits using (judge_id, axis) group by judge_id),
+ spread as (select judge_id, k, sum(exp(lgamma(tests+1)-lgamma(k+1)-lgamma(tests-k+1)+k*ln(0.05)+(tests-k)*ln(0.95))) over (partition by judge_id order by k) as upto from counted, range(0, 2000) r(k) where k <= tests)
+ select judge_id, tests, rejections, (select min(k) from spread s where s.judge_id = counted.judge_id and upto >= 0.95)::INT as accept_up_to from counted"""
+)
+def null_calibration(spark, sf_dir):
+    """How often the test rejects data that keep each judge's cells but have no bias, and how often chance lets it."""
+    found = W.null_rejections(files.stored(cell_table(spark, sf_dir), "cells"))
+    return W.false_positives(found, by=("judge_id",))
+
+
 # ---- the pool --------------------------------------------------------------------------------------------------------
 
 GAP = f"((length({SQUEEZE('correct')}) - length({SQUEEZE('wrong')}))/greatest(length({SQUEEZE('correct')}), length({SQUEEZE('wrong')}), 1)::DOUBLE)"
