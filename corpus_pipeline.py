@@ -16,6 +16,15 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+#: Whole texts that a Python worker gets at once in stages that hand it every text.
+TEXT_ROWS = 500
+
+
+def _few_texts_at_once(spark: SparkSession) -> None:
+    """Bound the texts in flight between Spark and its workers, for this session: a stage's rows are written after it returns."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS)
+
+
 #: Columns that the stages read; all others are carried under neutral names, so that none can clash.
 READ = ("doc_id", "text", "source")
 
@@ -32,6 +41,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Null and empty texts are scored as texts without features, repeated rows are judged each (equal texts alike),
     an empty table gives no rows, null ids are never learned from, and all other columns come through unchanged.
     """
+    _few_texts_at_once(spark)
     return _carried(docs, lambda d: nbsvm_quality.classify(d, _labels(spark, sf_dir)).where("predicted = 1"))
 
 
@@ -41,6 +51,7 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no toxic passage and get the score of the offset alone; repeated rows, empty tables,
     null ids and other columns are treated as in ``good_quality``.
     """
+    _few_texts_at_once(spark)
     return _carried(docs, lambda d: toxic_segments.classify(d, _labels(spark, sf_dir)).where("predicted = 0"))
 
 
@@ -75,6 +86,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids and digests of every row; a null or empty text has no ids; columns but ``doc_id`` and ``source`` end here."""
+    _few_texts_at_once(spark)
     coded = prefix_bpe.encode_documents(docs.select("doc_id", "source", "text"), piece_model())
     return coded.select(
         "doc_id", "source", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
@@ -90,7 +102,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("sentencepiece", encoded),
 ]
 
-#: Trained models and iterations are beyond SQL; tests hold run() against a version by brute force.
+#: Trained models and iterations are beyond SQL. Tests do each stage over with the operators' own functions, and redo the
+#: near-copy classes and the encoding by other code; quality and toxicity models are not trained anew by brute force.
 ORACLE_SQL: str | None = None
 
 
