@@ -28,12 +28,6 @@ def fixed(df: DataFrame, **columns: Column) -> DataFrame:
     return with_all.select(*df.columns, *[F.col(f"__fixed.{n}").alias(n) for n in columns])
 
 
-def gauss(*parts: Column | str | int | float) -> Column:
-    """A standard normal number from two uniform ones (Box-Muller)."""
-    u, v = uniform(*parts, "g1"), uniform(*parts, "g2")
-    return F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - u)) * F.cos(F.lit(6.283185307179586) * v)
-
-
 def strip(text: Column) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")

@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from tiltmeter.functions.columns import hex_number, ratio, uniform
 from tiltmeter.functions.numeric import cohens_h, normal_cdf
-from tiltmeter.operators.axes import CONFIRMATORY
 from tiltmeter.operators.cells import BY, BY_TEMPLATE, POOLED, cells_by_all, counted_accuracy, counted_cells, noise_floor, totals
 from tiltmeter.operators.resampling import resampled
 from tiltmeter.sources.files import stored
@@ -370,7 +369,3 @@ def _results(table: DataFrame, axes: DataFrame, by: list[str], n: int, alpha: fl
         shown = shown.where(F.col("prompt_template") == POOLED)
     found = found.join(shown, by, "left")
     return corrected(found, by, alpha=alpha)
-
-
-def is_confirmatory(axis: Column) -> Column:
-    return axis.isin(*CONFIRMATORY)

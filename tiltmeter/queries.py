@@ -156,6 +156,8 @@ ERF = "(case when {z} = 0 then 0 else list_sum(list_transform(range(0, 160), lam
 CDF = lambda x: f"(0.5*(1+sign(({x})::DOUBLE)*least(1, {ERF.format(z=f'least(abs({x})/sqrt(2),6)')})))"
 
 
+#: Columns of the random-effects pooling, which are compared at six places.
+POOLED_EFFECTS = ("pooled", "se", "z", "p_meta", "tau_sq", "q", "i_sq", "meta_lo", "meta_hi")
 #: All resamples: classes of equal cells, the distribution of how often each enters a resample, and its inversion by hashes.
 DRAWN = f""", classes as (select judge_id, axis, 'perm' as stream, abs(b-c)::VARCHAR as key, abs(b-c)::DOUBLE as v0, 0::DOUBLE as v1, 0::DOUBLE as v2, count(*) as m from cells where n > 0 and b <> c group by all
  union all select judge_id, axis, 'boot', concat_ws(',', n, b, c), n::DOUBLE, b::DOUBLE, c::DOUBLE, count(*) from cells where n > 0 group by all
@@ -482,15 +484,16 @@ def holm_verdicts_by_item(spark, sf_dir):
  pooled-1.96*se as meta_lo, pooled+1.96*se as meta_hi from pooled),
  accs as (select judge_id, axis, avg(case when condition='base' then {RIGHT} end) as acc_base, sum((condition='base')::INT)::BIGINT as n_base, avg(case when condition='perturbed' then {RIGHT} end) as acc_pert,
   sum((condition='perturbed')::INT)::BIGINT as n_pert from judged where verdict in ('A','B') group by all)
- select judge_id, axis, n_items, n, b, c, {', '.join(f'round({x},6) as {x}' for x in ('net_bias', 'flip_rate', 'p_wrong', 'p_right', 'h', 'p', 'p_adjusted', 'noise_floor', 'noise_self_disagreement', 'noise_lo', 'noise_hi', 'pooled', 'se', 'z', 'p_meta', 'tau_sq', 'q', 'i_sq', 'meta_lo', 'meta_hi', 'acc_base', 'acc_pert'))},
- observed_d, round(lo,6) as h_lo, round(hi,6) as h_hi, k, above_noise, axis_order, hypothesis, confirmatory, n_base, n_pert, rejected, verdict, kind
+ select judge_id, axis, n_items, n, b, c, {', '.join(f'round({x},9) as {x}' for x in ('net_bias', 'flip_rate', 'p_wrong', 'p_right', 'h', 'p', 'p_adjusted', 'noise_floor', 'noise_self_disagreement', 'noise_lo', 'noise_hi', 'acc_base', 'acc_pert'))},
+ {', '.join(f'round({x},6) as {x}' for x in POOLED_EFFECTS)}, observed_d, round(lo,9) as h_lo, round(hi,9) as h_hi, k, above_noise, axis_order, hypothesis, confirmatory, n_base, n_pert, rejected, verdict, kind
  from verdicts join rates using (judge_id, axis) join (select judge_id, axis, observed_d from perms) using (judge_id, axis) join boot_ends using (judge_id, axis)
  join (select judge_id, axis, noise_floor, noise_self_disagreement, noise_lo, noise_hi from gates) using (judge_id, axis) join meta using (judge_id, axis) join accs using (judge_id, axis)
  join (select axis, confirmatory from {AXES}) using (axis) join {values('kinds', 'axis, kind', [(x, k) for x, (_, k) in X.TAXONOMY.items()])} using (axis)"""
 )
 def axis_results(spark, sf_dir):
     """All of it in one table, with all resamples."""
-    return rounded(_results(spark, sf_dir), 6)
+    found = _results(spark, sf_dir)
+    return rounded(found.withColumns({c: F.round(c, 6) for c in POOLED_EFFECTS}))
 
 
 @query(FULL + " select judge_id, axis, hypothesis, round(p,9) as p, round(p_adjusted,9) as p_adjusted, rejected, above_noise, verdict from verdicts")
