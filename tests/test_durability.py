@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tiltmeter.operators import cells as K
 from tiltmeter.operators import report as O
 from tiltmeter.plans.experiment import ConfigConflict, Experiment, RunConfig
-from tiltmeter.sources import appends, bridge, files
+from tiltmeter.sources import appends, bridge, files, manifests
 from tiltmeter.sources import records as S
 
 GOOD = "A statement that is right, number {}."
@@ -150,3 +150,18 @@ def test_a_pool_in_many_files_keeps_its_order(spark, tmp_path):
     assert got == [r.id for r in pool.orderBy("turn").collect()]
     assert [r.id for r in S.load_items(spark, f"{tmp_path}/pool").orderBy("pos").collect()] == got
     assert max(r["n"] for r in spark.read.text(f"{tmp_path}/pool").groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()) < 400
+
+
+def test_manifests_of_a_folder(spark, make):
+    run = make()
+    run.run()
+    for name, changes in (("same", {}), ("reps", {"reps": 3}), ("axes", {"axes": ("length",)})):
+        other = make(name=name, **changes)
+        O.write_json(other.paths["manifest"], other.manifest() | ({"code_commit": "unknown"} if name == "same" else {"code_commit": "c2"}))
+    files.write_text(f"{run.config.folder}/torn_manifest.json", "{")
+    found = manifests.differences(manifests.entries(spark, run.config.folder), "run")
+    got = {(r.run_id, r.field): (r.wanted, r.value) for r in found.collect()}
+    assert got == {
+        ("reps", "config.reps"): ("1", "3"), ("axes", "config.axes"): ('["length","format"]', '["length"]'),
+        ("reps", "code_commit"): ("c1", "c2"), ("axes", "code_commit"): ("c1", "c2"),
+    }

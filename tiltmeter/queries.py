@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +21,7 @@ from tiltmeter.operators import report as O
 from tiltmeter.operators import resampling as D
 from tiltmeter.operators import trials as T
 from tiltmeter.sources import bridge as B
-from tiltmeter.sources import files
+from tiltmeter.sources import files, manifests
 from tiltmeter.sources import records as S
 from tiltmeter.sources.files import working_folder
 from tiltmeter.streaming.ingest import ingest
@@ -873,3 +874,25 @@ def log_first_append_wins(spark, sf_dir):
     files.set_times(at, 0)
     first = K.first_by_key(S.load_log(spark, at), S.LOG_ORDER)
     return first.groupBy("judge_id", "axis", "verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """with g as (select coalesce(lang, 'none') as run_id, count(*) as n, min(doc_id) as lo from documents group by 1),
+ e as (select run_id, unnest(['schema', 'items_sha256', 'judges', 'code_commit', 'config.reps', 'config.seed', 'config.axes', 'config.odd']) as field,
+  unnest(['3', sha256(n::VARCHAR), '[{"judge_id":"'||run_id||'"}]', case when n % 2 = 1 then 'unknown' else 'c'||n end, (n % 3)::VARCHAR, coalesce(lo::VARCHAR, 'none'), '["length"]', case when n % 2 = 1 then 'true' end]) as value from g),
+ f as (select * from e where value is not null), base as (select min(run_id) as b from g),
+ w as (select r.run_id, f.field, f.value as wanted from (select run_id from g, base where run_id <> b) r, f, base where f.run_id = b), o as (select f.* from f, base where run_id <> b)
+ select run_id, field, wanted, value from w full join o using (run_id, field) where wanted is distinct from value
+  and not (field = 'code_commit' and coalesce(wanted = 'unknown' or value = 'unknown', true))"""
+)
+def manifest_differences(spark, sf_dir):
+    """A run for each language, its settings made of that language's documents, held against the first of them."""
+    at = working_folder(spark, "manifests")
+    lang = F.coalesce("lang", F.lit("none"))
+    runs = B.documents(spark, sf_dir).groupBy(lang.alias("run_id")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo")).collect()
+    for r in runs:
+        odd = r.n % 2 == 1
+        config = {"reps": r.n % 3, "seed": "none" if r.lo is None else r.lo, "axes": ["length"], "folder": at} | ({"odd": True} if odd else {})
+        made = {"run_id": r.run_id, "schema": 3, "items_sha256": hashlib.sha256(str(r.n).encode()).hexdigest(), "judges": [{"judge_id": r.run_id}], "code_commit": "unknown" if odd else f"c{r.n}", "config": config}
+        O.write_json(f"{at}/{r.run_id}_manifest.json", made)
+    return manifests.differences(manifests.entries(spark, at), min(r.run_id for r in runs))
