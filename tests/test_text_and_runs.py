@@ -186,6 +186,13 @@ def test_run_resume_report(experiment, spark):
         other.run()
     text = run.write_report(n=48)
     assert "`length`" in text and json.loads(open(run.paths["summary"]).read())["results"]
+    assert run.check_report(n=48).count() == 0
+    shown = spark.read.option("header", True).csv(run.paths["results"]).collect()
+    assert {r.axis for r in shown} == {"length", "verbose_cot"} and all(r.verdict for r in shown)
+    with open(run.paths["report"], "w") as out:
+        out.write("\n".join(x.replace("| 12 |", "| 11 |") if x.startswith("| `length`") else x for x in text.split("\n") if "`verbose_cot`" not in x))
+    conflicts = {(r.axis, r.column) for r in run.check_report(n=48).collect()}
+    assert {("verbose_cot", c) for c in O.CHECKED} <= conflicts
     assert experiment(name="").id != experiment(name="", reps=3).id == experiment(name="", reps=3, folder="/else").id
 
 

@@ -88,6 +88,7 @@ def public_rows(results: DataFrame) -> DataFrame:
 
 
 def write_csv(results: DataFrame, path: str) -> None:
+    """The exported columns as CSV with a head, in place of an earlier export."""
     public_rows(results).write.mode("overwrite").option("header", True).csv(path)
 
 
@@ -124,7 +125,7 @@ def write_accepted(audited: DataFrame, path: str) -> None:
 
 
 def run_paths(folder: str, run_id: str) -> dict[str, str]:
-    return {k: f"{folder}/{run_id}_{k}{e}" for k, e in (("raw", ".jsonl"), ("summary", ".json"), ("manifest", ".json"), ("report", ".md"))}
+    return {k: f"{folder}/{run_id}_{k}{e}" for k, e in (("raw", ".jsonl"), ("summary", ".json"), ("manifest", ".json"), ("report", ".md"), ("results", ".csv"))}
 
 
 def harness_card(config: dict, run_id: str, n_items: int, judges: list[str], versions: list[str], items_sha256: str) -> str:

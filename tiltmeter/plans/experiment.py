@@ -22,7 +22,7 @@ from tiltmeter.operators import cells, inference, report, trials
 from tiltmeter.operators.judges import PAID, HttpJudge, ask_all
 from tiltmeter.operators.prompts import TEMPLATES, prompt
 from tiltmeter.sources import files
-from tiltmeter.sources.records import JUDGMENT, LOG_ORDER, load_log, load_manifest
+from tiltmeter.sources.records import JUDGMENT, LOG_ORDER, load_log, load_manifest, report_rows
 
 SCHEMA = 3
 
@@ -250,6 +250,22 @@ class Experiment:
         card = report.harness_card(config, self.id, self.items.count(), [j for j, _ in self.judges], versions, self.items_sha256)
         text = report.report_text(card, {j: report.quality_text(r) for j, r in per_judge.items()}, tables, split)
         files.write_text(self.paths["report"], text)
+        report.write_csv(found, self.paths["results"])
         rows = [json.loads(x) for x in report.public_rows(found).toJSON().collect()]
         report.write_json(self.paths["summary"], {"manifest": self.manifest(), "results": rows})
         return text
+
+    def check_report(self, n: int = inference.RESAMPLES) -> DataFrame:
+        """``judge_id, axis, column, wanted, found`` where the report that was written differs from the log's results.
+
+        Results don't depend on when they are computed, so ``n`` must be the report's.
+        """
+        found = files.stored(self.analyse(n), "results")
+        each = [
+            report.report_conflicts(found.where(F.col("judge_id") == judge), report_rows(self.spark, self.paths["report"], judge)).withColumn("judge_id", F.lit(judge))
+            for judge, _ in self.judges
+        ]
+        conflicts = each[0]
+        for more in each[1:]:
+            conflicts = conflicts.unionByName(more)
+        return conflicts.select("judge_id", "axis", "column", "wanted", "found")

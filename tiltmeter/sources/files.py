@@ -71,6 +71,8 @@ def _put(path: str, text: str, replace: bool) -> bool:
         if replace or not fs.exists(where):
             raise
         return False
+    # A local checksum beside it would make the file unreadable once somebody edits it by hand.
+    fs.delete(jvm.org.apache.hadoop.fs.Path(where.getParent(), f".{where.getName()}.crc"), False)
     return True
 
 
