@@ -190,5 +190,5 @@ def test_repeated_rows_leave_one(spark, documents):
 
 
 def test_every_operator_has_its_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries()) == list(range(1, 14))
     assert minhash_hamming.DISTANCE == 19 and len(corpus_pipeline.STAGES) == 5
