@@ -81,3 +81,42 @@ def test_any_statistic_by_bags(spark):
         a = got["all"]
         assert a.n_items == 3_000 and a.estimate == pytest.approx(values.mean(), abs=1e-9)
         assert (a.lo, a.hi) == pytest.approx((values.mean() - 1.96 * error, values.mean() + 1.96 * error), abs=0.4 * error)
+
+
+def test_any_statistic_of_groups_of_any_size(spark):
+    """Ends within the error of half a bin, and of the draws' own noise, of the plain bootstrap on a million rows."""
+    def mean(x, w):
+        return float((x * w).sum() / w.sum())
+
+    def median(x, w):
+        order = np.argsort(x, kind="stable")
+        return float(x[order][np.searchsorted(np.cumsum(w[order]), w.sum() / 2)])
+
+    size, n = 1_000_000, 400
+    rows = spark.range(size).select(F.lit("g").alias("g"), (-F.log((F.col("id") + 0.5) / size)).alias("v"))
+    values = -np.log((np.arange(size) + 0.5) / size)
+    for stat, spread in ((mean, values.std() / size**0.5), (median, 1 / size**0.5)):  # of an exponential law
+        got = I.bootstrap_binned(rows, ["g"], "v", stat, n=n).first()
+        assert got["n_items"] == size and got["error"] == pytest.approx((values.max() - values.min()) / 8_192)
+        centre = stat(values, np.ones(size))
+        assert abs(got["estimate"] - centre) <= got["error"] + 1e-9
+        assert abs(got["ci_lo"] - (centre - 1.96 * spread)) <= got["error"] + 0.4 * spread
+        assert abs(got["ci_hi"] - (centre + 1.96 * spread)) <= got["error"] + 0.4 * spread
+
+
+def test_binned_bootstrap_equals_the_plain_one_on_whole_bins_and_defines_odd_groups(spark):
+    def mean(x, w):
+        return float((x * w).sum() / w.sum())
+
+    table = [("all", float(v)) for v in (1, 3, 5, 7) for _ in range(v)]  # four bins of width 1.5, a value in each
+    table += [("one", 2.0), ("one", None), ("one", float("nan")), ("one", float("inf")), ("none", None), (None, 1.0)]
+    rows = spark.createDataFrame(table, "g string, v double")
+    got = {r.g: r for r in I.bootstrap_binned(rows, ["g"], "v", mean, n=250, bins=4, block=100).collect()}
+    again = {r.g: r for r in I.bootstrap_binned(rows.repartition(7), ["g"], "v", mean, n=250, bins=4, block=100).collect()}
+    assert got == again and set(got) == {"all", "one", None}
+    assert tuple(got["one"])[1:] == (1, 2.0, 2.0, 2.0, 0.0) and tuple(got[None])[1:] == (1, 1.0, 1.0, 1.0, 0.0)
+    whole = np.repeat([1.75, 3.25, 4.75, 6.25], [1, 3, 5, 7])  # the middles of the bins
+    assert got["all"]["n_items"] == 16 and got["all"]["error"] == 0.75 and got["all"]["estimate"] == whole.mean()
+    plain = np.sort([np.random.default_rng(i).choice(whole, 16).mean() for i in range(4_000)])
+    assert abs(got["all"]["ci_lo"] - plain[100]) < 0.25 and abs(got["all"]["ci_hi"] - plain[3_899]) < 0.25
+    assert I.bootstrap_binned(rows.limit(0), ["g"], "v", mean, n=10).count() == 0
