@@ -120,3 +120,6 @@ def test_binned_bootstrap_equals_the_plain_one_on_whole_bins_and_defines_odd_gro
     plain = np.sort([np.random.default_rng(i).choice(whole, 16).mean() for i in range(4_000)])
     assert abs(got["all"]["ci_lo"] - plain[100]) < 0.25 and abs(got["all"]["ci_hi"] - plain[3_899]) < 0.25
     assert I.bootstrap_binned(rows.limit(0), ["g"], "v", mean, n=10).count() == 0
+    far = 2**53 + 1  # no double
+    keys = spark.createDataFrame([(far, 1.0), (far + 1, 2.0), (None, 3.0)], "k long, v double")
+    assert {r.k: r.estimate for r in I.bootstrap_binned(keys, ["k"], "v", mean, n=10).collect()} == {far: 1.0, far + 1: 2.0, None: 3.0}

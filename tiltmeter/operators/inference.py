@@ -273,9 +273,9 @@ def bootstrap_binned(
         .withColumn("__bin", at.cast("int")).groupBy(*by, "__low", "__half", "__bin").agg(F.count(F.lit(1)).alias("__n"))
     )
     whole = counts.groupBy(*by, "__low", "__half").agg(F.sort_array(F.collect_list(F.struct("__bin", "__n"))).alias("__bins"))
-    table = stored(whole, "binned-counts")
-    kinds = dict(table.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "n_items long, error double, estimate double, drawn double"])
+    # groups go through Python by a text of their keys, which are then looked up: null and long keys stay what they are
+    key = F.to_json(F.struct(F.lit(0).alias("__0"), *by))
+    table = stored(whole.withColumn("__key", key), "binned-counts")
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -286,14 +286,14 @@ def bootstrap_binned(
                 rng = _generator(seed, "binned", f"{row['__block']}|{row['__low']!r}|{row['__half']!r}|{times.tolist()}")
                 some = min(block, n - row["__block"] * block)
                 drawn = [float(stat(values, w)) for w in rng.multinomial(times.sum(), times / times.sum(), some)]
-                head = {c: row[c] for c in by} | {"n_items": int(times.sum()), "error": row["__half"], "estimate": float(stat(values, times))}
+                head = {"__key": row["__key"], "n_items": int(times.sum()), "error": row["__half"], "estimate": float(stat(values, times))}
                 yield pd.DataFrame([head | {"drawn": d} for d in drawn])
 
     blocks = F.explode(F.sequence(F.lit(0), F.lit(-(-n // block) - 1)))
-    spread = table.withColumn("__block", blocks).repartition(F.xxhash64(*by, "__block"))
-    draws = spread.mapInPandas(draw, schema)
-    facts = ["n_items", "error", "estimate"]
-    return _order_statistics(draws, [*by, *facts], "drawn", n, alpha).select(*by, "n_items", "estimate", "ci_lo", "ci_hi", "error")
+    spread = table.select("__key", "__low", "__half", "__bins").withColumn("__block", blocks).repartition("__key", "__block")
+    draws = spread.mapInPandas(draw, "__key string, n_items long, error double, estimate double, drawn double")
+    found = _order_statistics(draws, ["__key", "n_items", "error", "estimate"], "drawn", n, alpha)
+    return table.select(*by, "__key").join(found, "__key").select(*by, "n_items", "estimate", "ci_lo", "ci_hi", "error")
 
 
 def noise_gate(cell_table: DataFrame, by: list[str] = BY, n: int = RESAMPLES, seed: int = GATE_SEED, alpha: float = ALPHA) -> DataFrame:
