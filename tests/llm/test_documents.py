@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import random
 import re
 import struct
 import zlib
@@ -149,6 +150,44 @@ def test_near_duplicates_equal_brute_force(spark, documents, prose, k):
     assert minhash_hamming.near_duplicates(df.limit(0)).count() == 0
 
 
+def crowd_of_texts(seed, n):
+    """Texts around two passages that many share: some near copies of each other, most of them not."""
+    rng = random.Random(seed)
+    passages = [[f"{p}{i}" for i in range(60)] for p in "pq"]
+    texts = []
+    for i in range(n):
+        own = [f"o{rng.randrange(10**6)}" for _ in range(rng.choice([4, 8, 10, 12, 14, 20, 40]))]
+        words = rng.choice(passages)[: rng.choice([40, 50, 60])] + own
+        if i % 3 == 2:  # an earlier text with words changed or left out
+            words = texts[rng.randrange(i)].split()
+            for _ in range(rng.randrange(4)):
+                words[rng.randrange(len(words))] = f"c{rng.randrange(10**6)}"
+            words = words[rng.randrange(3) :]
+        texts.append(" ".join(words))
+    return texts
+
+
+def test_crowded_keys_lose_no_link(spark, monkeypatch):
+    texts = crowd_of_texts(3, 150)
+    rows = [*enumerate(texts), (150, texts[0]), (150, texts[0]), (151, None), (152, "")]
+    sets = {i: minhash_hamming.shingle_set(t, 4) for i, t in rows}
+    comps = {i: i // 40 for i in sets}
+    crowd = spark.createDataFrame(list(comps.items()), "cls long, comp long")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = [(r.x, r.y) for r in minhash_hamming.under_rare_shingles(crowd, df.withColumnRenamed("doc_id", "cls"), 4, 80).collect()]
+    linked, met = set(), set()
+    for (i, a), (j, b) in itertools.combinations([s for s in sets.items() if s[1]], 2):
+        both = len(a & b)
+        if comps[i] != comps[j]:
+            met |= {(i, j)} if both else set()
+            linked |= {(i, j)} if 100 * both >= 80 * (len(a) + len(b) - both) else set()
+    assert len(pairs) == len(set(pairs)) and linked and linked <= set(pairs) <= met and len(pairs) < len(met) / 4
+    monkeypatch.setattr(minhash_hamming, "CROWD", 2)
+    monkeypatch.setattr(minhash_hamming, "HUBS", 0)  # so that every link is left to the crowded keys
+    got = minhash_hamming.near_duplicates(df, shingle=4).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in got) == brute_classes(rows, 4, 80)
+
+
 def test_distances_match_plain_counts(spark):
     words = [minhash_hamming.words_of(t) for t in ("a b c d e f g h i j k l", "a b c d e f g h i j k m")]
     sigs = [minhash_hamming.signature(w, 4, minhash_hamming._WordHashes()) for w in words]

@@ -24,6 +24,11 @@ No group is expanded into all its pairs:
 3. Buckets that lie in one component are done. In the others, pairs from different components are
    compared as well; each pair is taken under the first key that it shares, and leaves the join only
    if all tests allow a link.
+4. Where more than ``CROWD`` classes stand under an open key (texts that share a long passage, but are no
+   copies), they meet under rare shingles instead: all shingles of those classes are ordered by the number
+   of classes that hold them, and the first one that two linked sets have in common lies among the rarest of
+   both, so close to the front that enough can follow. Nothing is lost by it: both ways give the same links.
+   Components meet before their members do, so no two members of one component are compared.
    So each pair that the signatures propose is either confirmed, refuted, or already in one component.
 
 Defined results: a null, empty or white-space text has an empty set (``n_shingles`` 0) and is linked
@@ -51,6 +56,8 @@ ODD, ODD_SIZE = 512, 300
 ODD_LANES = [f"o{j}" for j in range(ODD // 64)]
 SKETCH, SKETCH_ERRORS = 2048, 5.5
 HUBS = 2
+#: Classes under an open key beyond which pairs are sought under rare shingles.
+CROWD = 200
 LANE = BITS + 1  # a value and a free bit above it
 LANES = [f"s{j}" for j in range(CHUNKS)]
 FULL = sum((2**BITS - 1) << (LANE * i) for i in range(PER_CHUNK))
@@ -92,14 +99,19 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def signature(words: list[bytes], k: int, hashes: dict[bytes, int]) -> tuple[int, list[int], np.ndarray]:
-    """Number of distinct shingles, signature and parities packed into longs (``LANES``, ``ODD_LANES``), and the sketch."""
+def shingle_hashes(words: list[bytes], k: int, hashes: dict[bytes, int]) -> np.ndarray:
+    """Hashes of the distinct shingles of at least one word, in ascending order."""
     h = np.array([hashes[w] for w in words], dtype=np.uint64)
     n = max(1, len(words) - k + 1)
     shingles = np.zeros(n, dtype=np.uint64)
     for i in range(min(k, len(words))):
         shingles = _mixed(shingles * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n])
-    shingles = np.unique(shingles)
+    return np.unique(shingles)
+
+
+def signature(words: list[bytes], k: int, hashes: dict[bytes, int]) -> tuple[int, list[int], np.ndarray]:
+    """Number of distinct shingles, signature and parities packed into longs (``LANES``, ``ODD_LANES``), and the sketch."""
+    shingles = shingle_hashes(words, k, hashes)
     short = (shingles >> np.uint64(32)).astype(np.uint32)
     least = np.full(VALUES, 2**32 - 1, dtype=np.uint32)
     for at in range(0, len(short), _BLOCK):
@@ -200,6 +212,58 @@ def sketches_allow(a: str, b: str, percent: int) -> Column:
     return (F.least(na, nb) <= ODD_SIZE) | (common >= F.when(most <= SKETCH, needed - 1e-6).otherwise(estimated))
 
 
+def under_rare_shingles(crowd: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs ``(x, y)`` of ``crowd(cls, comp)`` from different components whose sets may reach ``percent``.
+
+    ``texts(cls, text)`` holds the texts of the classes; rows may repeat, and texts that share an id are taken each. In the common order of shingles (by holders, then by hash),
+    the first one that two sets share has all others that they share behind it in both. A set's place of it is
+    therefore among the first ``n - needed + 1``, where the overlap needed is at least ``percent`` of a larger
+    set, and ``2 * percent / (100 + percent)`` of a smaller one. Shingles of one class only take places, but meet nothing.
+    """
+
+    @F.pandas_udf("array<long>")
+    def spell(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hashes = _WordHashes()
+        for batch in batches:
+            words = [words_of(t) for t in batch]
+            yield pd.Series([shingle_hashes(w, k, hashes).view(np.int64) if w else [] for w in words], dtype=object)
+        hand_back_memory()
+
+    with small_batches(texts.sparkSession, BATCH_PAIRS):
+        spelled = texts.select("cls", F.xxhash64("text").alias("text_key"), spell("text").alias("shingles"))
+        held = stored(
+            spelled.select("cls", "text_key", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")),
+            "minhash-spelled",
+        )
+    holders = held.groupBy("shingle").agg(F.count("*").alias("holders")).where("holders > 1")
+    met = held.join(holders, "shingle").groupBy("cls", "text_key").agg(
+        F.max("n").alias("n"), F.array_sort(F.collect_set(F.struct("holders", "shingle"))).alias("common")
+    )
+    places = crowd.join(met, "cls")
+    place = F.col("n") - F.col("shared") + F.col("nth") + 1
+    as_larger = F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1
+    as_smaller = F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent) - 1e-9) + 1
+    front = stored(
+        places.select("cls", "n", "comp", F.size("common").alias("shared"), F.posexplode("common").alias("nth", "s"))
+        .where(place <= as_larger)
+        .select("cls", "n", "comp", F.col("s.shingle").alias("shingle"), place.alias("place"), (place <= as_smaller).alias("early")),
+        "minhash-front",
+    )
+    comps = front.groupBy("shingle", "comp").agg(F.max("early").alias("early"))
+    meet = comps.where("early").select("shingle", F.col("comp").alias("cx")).join(
+        comps.select("shingle", F.col("comp").alias("cy")), "shingle").where("cx <> cy")
+    side = lambda c: front.select("shingle", F.col("comp").alias(f"c{c}"), *[F.col(f).alias(f"{f}_{c}") for f in ("cls", "n", "place", "early")])
+    behind = F.least(F.expr("n_x - place_x"), F.expr("n_y - place_y")) + 1
+    return (
+        meet.join(side("x").where("early_x"), ["shingle", "cx"])
+        .join(side("y"), ["shingle", "cy"])
+        .where("n_x < n_y or (n_x = n_y and cls_x < cls_y)")
+        .where((F.col("n_x") * 100 >= F.col("n_y") * percent) & (behind * (100 + percent) >= F.expr("n_x + n_y") * percent))
+        .select(F.least("cls_x", "cls_y").alias("x"), F.greatest("cls_x", "cls_y").alias("y"))
+        .distinct()
+    )
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` of ids whose full shingle sets reach ``percent`` Jaccard similarity."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -286,6 +350,15 @@ def near_duplicates(
     a, b = compared.alias("a"), compared.alias("b")
     alike = near("a", "b", percent) & parities_allow("a", "b", percent)
     exact = sketches_allow("a", "b", percent)
+
+    def tests_allow(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs ``(x, y)`` that all tests allow to be links, as ``(a, b)``."""
+        return (
+            pairs.join(a, F.col("x") == F.col("a.cls"))
+            .join(b, (F.col("y") == F.col("b.cls")) & alike & exact)
+            .select(F.col("x").alias("a"), F.col("y").alias("b"))
+        )
+
     tested = joined = None
     for turn in range(HUBS):
         placed = still_open(joined)
@@ -293,24 +366,27 @@ def near_duplicates(
         hubs = placed.groupBy("key").agg(F.min(order).alias("h")).select("key", F.col("h.cls").alias("hub"), F.col("h.comp").alias("hub_comp"))
         around = placed.join(hubs, "key").where("comp <> hub_comp").select(F.least("hub", "cls").alias("x"), F.greatest("hub", "cls").alias("y"))
         pairs = unconfirmed(
-            around.distinct()
-            .join(a, F.col("x") == F.col("a.cls"))
-            .join(b, (F.col("y") == F.col("b.cls")) & alike & exact)
-            .select(F.col("x").alias("a"), F.col("y").alias("b")),
+            tests_allow(around.distinct()),
             tested,
         )
         tested = pairs if tested is None else tested.unionByName(pairs)
         if not pairs.isEmpty():
             joined = more_joined(joined, links_of(pairs))
 
-    rest = still_open(joined).join(compared, "cls")
+    placed = stored(still_open(joined), "minhash-open")
+    crowded = stored(placed.groupBy("key").count().where(F.col("count") > CROWD).select("key"), "minhash-crowded")
+    rest = placed.join(crowded, "key", "left_anti").join(compared, "cls")
     left, right = rest.alias("a"), rest.alias("b")
     meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.cls") < F.col("b.cls")) & (F.col("a.comp") != F.col("b.comp"))
-    pairs = unconfirmed(
-        left.join(right, meet & alike & first_shared("a", "b", F.col("a.nth")) & exact)
-        .select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")),
-        tested,
+    found = left.join(right, meet & alike & first_shared("a", "b", F.col("a.nth")) & exact).select(
+        F.col("a.cls").alias("a"), F.col("b.cls").alias("b")
     )
+    if not crowded.isEmpty():
+        crowd = stored(placed.join(crowded, "key", "left_semi").select("cls", "comp").distinct(), "minhash-crowd")
+        texts = docs.select(F.col(id_col).alias("cls"), F.col(text_col).alias("text"))
+        texts = texts.join(broadcast_if_small(crowd.select("cls")), "cls", "left_semi")
+        found = found.unionByName(tests_allow(under_rare_shingles(crowd, texts, shingle, percent))).distinct()
+    pairs = unconfirmed(found, tested)
     if not pairs.isEmpty():
         joined = more_joined(joined, links_of(pairs))
 
