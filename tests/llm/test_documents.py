@@ -8,6 +8,7 @@ import re
 import struct
 import zlib
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -188,6 +189,25 @@ def test_crowded_keys_lose_no_link(spark, monkeypatch):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in got) == brute_classes(rows, 4, 80)
 
 
+def test_large_sets_at_the_threshold_are_proposed(spark):
+    """The estimated sketch test, for sets too large for exact bounds: pairs just above the threshold by plain counts."""
+    rng, rows = np.random.default_rng(8), []
+    for i in range(300):
+        n = int(rng.integers(2100, 9000))
+        percent = 80 + (i % 3)
+        common = -(-2 * n * percent // (100 + percent))
+        drawn = np.unique(rng.integers(0, 2**64, 3 * n, dtype=np.uint64))
+        rng.shuffle(drawn)
+        for side, own in (("a", drawn[n : 2 * n - common]), ("b", drawn[2 * n : 3 * n - common])):
+            part = np.sort(np.concatenate([drawn[:common], own]))
+            sketch = np.unique((part[: minhash_hamming.SKETCH] >> np.uint64(16) & np.uint64(0xFFFF)).astype(np.uint16).view(np.int16))
+            rows.append((i, side, len(part), sketch.tolist()))
+    df = spark.createDataFrame(rows, "pair int, side string, n long, sketch array<smallint>")
+    a, b = (df.where(F.col("side") == s).alias(s) for s in "ab")
+    got = a.join(b, F.col("a.pair") == F.col("b.pair")).select(minhash_hamming.sketches_allow("a", "b", 80).alias("ok")).collect()
+    assert len(got) == 300 and sum(r.ok for r in got) >= 0.99 * len(got)
+
+
 def test_distances_match_plain_counts(spark):
     words = [minhash_hamming.words_of(t) for t in ("a b c d e f g h i j k l", "a b c d e f g h i j k m")]
     sigs = [minhash_hamming.signature(w, 4, minhash_hamming._WordHashes()) for w in words]

@@ -229,6 +229,8 @@ def under_rare_shingles(crowd: DataFrame, texts: DataFrame, k: int, percent: int
             yield pd.Series([shingle_hashes(w, k, hashes).view(np.int64) if w else [] for w in words], dtype=object)
         hand_back_memory()
 
+    # not to be moved below the join that picks the texts
+    spell = spell.asNondeterministic()
     with small_batches(texts.sparkSession, BATCH_PAIRS):
         spelled = texts.select("cls", F.xxhash64("text").alias("text_key"), spell("text").alias("shingles"))
         held = stored(
