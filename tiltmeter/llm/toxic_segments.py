@@ -3,8 +3,9 @@
 A token's log-odds compare its shares among the documents of the two classes. Counts are smoothed by
 Dirichlet priors in levels: the prior of a prefix is the estimate of the prefix one letter shorter,
 and that of a whole word the estimate of its longest prefix, so rare forms of a known stem inherit
-its odds; a prefix counts its words but for the most toxic one. Tokens whose odds are not clearly
-above even (by likelihood ratio) get a common negative score. A linear scan
+its odds; a prefix counts its words but for the most toxic one. Where the odds differ clearly from even
+(by likelihood ratio), on either side, they count; other tokens are taken as even. A token's score is its
+log-odds and ``BACKGROUND``, the log of the odds of toxic passages before any token is seen. A linear scan
 (Ruzzo and Tompa) finds all maximal scoring segments of a text. A segment of score s in n tokens is
 expected ``K n exp(-lambda s)`` times by chance; lambda solves the usual moment equation over clean
 texts and K is fitted to their best segments. Segments with an expectation below ``SIGNIFICANT`` are
@@ -12,7 +13,9 @@ toxic passages. A document's statistic is the sum of their surpluses over that l
 fit turns it into a score.
 
 The lexicon is fitted on a bounded sample (``labelled.PER_CLASS`` rows of each class); its counts are
-summed in Spark, and what passes the evidence limits is broadcast. Texts are scanned where they lie.
+summed in Spark, and what passes the evidence limits is broadcast. lambda, K and the logistic are fitted on
+texts that their lexicon has not seen: the sample is dealt into ``PARTS`` by a hash of the text, and each part is
+scanned with the lexicon of the others. Texts are scanned where they lie.
 
 Defined results: a null or empty text has no segments and gets the score of the offset alone; repeated
 rows are scored each; a null id is not held out; without labels of both classes no token is toxic and
@@ -27,7 +30,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,8 @@ SHORTEST, LONGEST = 3, 8
 #: Weight of a prior in documents; least toxic documents and least evidence in standard errors of a lexicon entry.
 PRIOR, LEAST_TEXTS, ERRORS = 2.0, 4, 4.0
 BACKGROUND = -0.6
+#: Parts of the sample; each is scanned with the lexicon of the others.
+PARTS = 3
 #: Shares are kept this far from 0 and 1.
 LEAST_SHARE = 0.001
 SIGNIFICANT, THRESHOLD, WORD_CACHE = 0.05, 0.3, 100_000
@@ -57,7 +61,7 @@ def evidence(toxic: float, clean: float, share: float) -> float:
 
 
 def lexicon(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> dict[str, float]:
-    """Log-odds of features from (toxic, clean) document counts; only those clearly above even."""
+    """Scores of features from (toxic, clean) document counts; only of those whose odds differ clearly from even."""
     if not toxic or not clean:
         return {}
     scale_t, scale_c = min(toxic, clean) / toxic, min(toxic, clean) / clean
@@ -71,8 +75,9 @@ def lexicon(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> dict[
         a, b = counts[feature][0] * scale_t, counts[feature][1] * scale_c
         q = (a + PRIOR * share[parent]) / (a + b + PRIOR)
         q = share[feature] = min(max(q, LEAST_SHARE), 1 - LEAST_SHARE)
-        if counts[feature][0] >= LEAST_TEXTS and q > 0.5 and evidence(*counts[feature], toxic / (toxic + clean)) >= ERRORS:
-            found[feature] = float(np.log(q / (1 - q)))
+        clear = evidence(*counts[feature], toxic / (toxic + clean))
+        if (counts[feature][0] >= LEAST_TEXTS and q > 0.5 and clear >= ERRORS) or (q < 0.5 and clear <= -ERRORS):
+            found[feature] = float(np.log(q / (1 - q))) + BACKGROUND
     return found
 
 
@@ -163,88 +168,82 @@ def token_scores(text: str | None, scorer: Scorer) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, folds: int, held_out: int) -> Model:
     sample, counts = labelled_sample(docs, labels, label_col, id_col, text_col, folds, held_out)
-    sample = stored(sample, "toxic-sample")
+    sample = stored(sample.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(PARTS)).cast("int")), "toxic-sample")
 
     def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for text, label in zip(batch["text"], batch["label"], strict=True):
-                yield pd.DataFrame({"word": sorted(set(TOKEN.findall(text.lower()))), "toxic": int(label), "clean": 1 - int(label)})
+            for text, label, part in zip(batch["text"], batch["label"], batch["part"], strict=True):
+                words = sorted(set(TOKEN.findall(text.lower())))
+                yield pd.DataFrame({"part": part, "word": words, "toxic": int(label), "clean": 1 - int(label)})
 
     words = (
-        sample.select("text", "label").mapInPandas(spell, "word string, toxic long, clean long")
-        .groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+        sample.select("text", "label", "part").mapInPandas(spell, "part int, word string, toxic long, clean long")
+        .groupBy("part", "word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     )
-    sums = feature_counts(words)
-    sizes = {0: 0, 1: 0} | {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
-    if not sizes[0] or not sizes[1]:
+    # lexicon PARTS is learned from all parts, lexicon i from all but part i
+    learning = F.filter(F.sequence(F.lit(0), F.lit(PARTS)), lambda x: x != F.col("part"))
+    words = words.select(F.explode(learning).alias("lex"), "word", "toxic", "clean").groupBy("lex", "word").agg(
+        F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")
+    )
+    sizes = {(p, c): 0 for p in range(PARTS) for c in (0, 1)}
+    sizes |= {(r["part"], r["label"]): r["count"] for r in sample.groupBy("part", "label").count().collect()}
+    of = [[sum(n for (p, c), n in sizes.items() if c == label and p != lex) for label in (0, 1)] for lex in range(PARTS + 1)]
+    if not all(of[PARTS]):
         return Model({}, counts)
-    scale = sizes[0] / sizes[1]
-    # at most what the bounded sample holds: features met in several toxic texts and there more than elsewhere
-    rows = sums.where((F.col("toxic") >= LEAST_TEXTS) & (F.col("toxic") * scale > F.col("clean") * 1.5)).collect()
-    known = lexicon({r["feature"]: (r["toxic"], r["clean"]) for r in rows}, sizes[1], sizes[0])
+    share = F.element_at(F.array(*[F.lit((t + 0.5) / (t + c + 1)) for c, t in of]), F.col("lex") + 1)
+    n, gain = F.col("toxic") + F.col("clean"), lambda c, p: F.when(F.col(c) > 0, F.col(c) * F.ln(F.col(c) / (n * p))).otherwise(0.0)
+    # at most what the bounded sample holds; the lexicon's own limits are the finer ones
+    rows = feature_counts(words).where((n > 0) & (gain("toxic", share) + gain("clean", 1 - share) >= ERRORS**2 / 4)).collect()
+    found: list[dict[str, tuple[int, int]]] = [{} for _ in of]
+    for r in rows:
+        found[r["lex"]][r["feature"]] = (r["toxic"], r["clean"])
+    lexicons = [lexicon(found[lex], t, c) for lex, (c, t) in enumerate(of)]
+    known = lexicons[PARTS]
     model = Model(known, counts)
+    held = docs.sparkSession.sparkContext.broadcast(lexicons)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(known)
+        scorers = [Scorer(known) for known in held.value]
         for batch in batches:
-            yield pd.DataFrame(
-                {"id": batch["id"], "label": batch["label"], "s": [token_scores(t, scorer).astype("f4").tobytes() for t in batch["text"]]}
-            )
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    # only positions of scores above the background are sent: they and the length say everything
-    got = sample.mapInPandas(_sparse(scan), f"id {kind}, label int, n int, at binary, v binary").collect()
-    got = sorted(got, key=lambda r: xxhash.xxh3_64_intdigest(str(r["id"])))
-    y = np.array([r["label"] for r in got], dtype=int)
-    series = [_dense(r["n"], r["at"], r["v"]) for r in got]
-    seen: dict[float, int] = {}
-    best, tokens = [], []
-    for scores, label in zip(series, y, strict=True):
-        if label == 0:
-            for v, n in zip(*np.unique(scores, return_counts=True), strict=True):
-                seen[float(v)] = seen.get(float(v), 0) + int(n)
-            best.append(max((s for *_, s in segments(scores)), default=0.0))
-            tokens.append(len(scores))
+            out = []
+            for text, label, part in zip(batch["text"], batch["label"], batch["part"], strict=True):
+                scores = token_scores(text, scorers[part])
+                seen, times = np.unique(scores, return_counts=True)
+                out.append((label, len(scores), [s for *_, s in segments(scores)], seen.tolist(), times.tolist()))
+            yield pd.DataFrame(out, columns=["label", "n", "found", "seen", "times"])
+
+    scanned = stored(
+        sample.select("text", "label", "part").mapInPandas(
+            scan, "label int, n int, found array<double>, seen array<double>, times array<long>"
+        ),
+        "toxic-scanned",
+    )
+    clean = scanned.where("label = 0")
+    pairs = clean.select(F.explode(F.arrays_zip("seen", "times")).alias("p")).groupBy("p.seen").agg(F.sum("p.times").alias("times"))
+    score_counts = {r["seen"]: r["times"] for r in pairs.collect()}
     for v in set(known.values()):  # a token that no clean text of the sample holds may still occur
-        seen[v] = seen.get(v, 0) + 1
-    model.fit_chance(best, tokens, seen)
-    x = np.array([model.statistic(s) for s in series])
+        score_counts[v] = score_counts.get(v, 0) + 1
+    tops = sorted((r["n"], r["best"]) for r in clean.select("n", F.coalesce(F.array_max("found"), F.lit(0.0)).alias("best")).collect())
+    model.fit_chance([b for _, b in tops], [n for n, _ in tops], score_counts)
+    over = F.transform("found", lambda x: x * model.rate + (np.log(SIGNIFICANT) - np.log(model.scale)) - F.ln("n"))
+    total = F.aggregate(F.filter(over, lambda x: x > 0), F.lit(0.0), lambda a, x: a + x)
+    fitted = sorted((r["x"], r["label"]) for r in scanned.select(F.sqrt(total).alias("x"), "label").collect())
+    x, y = np.array([x for x, _ in fitted]), np.array([label for _, label in fitted], dtype=int)
     model.slope, model.offset = calibrated(x, y.astype(float), class_weights(y, counts))
     return model
 
 
-def _sparse(scan):
-    """Turns the scan's score arrays into positions and values above the background."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in scan(batches):
-            scores = [np.frombuffer(s, dtype="f4") for s in batch["s"]]
-            at = [np.flatnonzero(s > 0).astype("i4") for s in scores]
-            yield pd.DataFrame(
-                {"id": batch["id"], "label": batch["label"], "n": [len(s) for s in scores],
-                 "at": [a.tobytes() for a in at], "v": [s[a].tobytes() for s, a in zip(scores, at, strict=True)]}
-            )
-
-    return run
-
-
-def _dense(n: int, at: bytes, values: bytes) -> np.ndarray:
-    scores = np.full(n, BACKGROUND)
-    scores[np.frombuffer(at, dtype="i4")] = np.frombuffer(values, dtype="f4").astype(float)
-    return scores
-
-
 def feature_counts(words: DataFrame) -> DataFrame:
-    """Counts of whole words, and of prefixes without the most toxic word of each: one word says nothing about others."""
+    """Counts of each lexicon's whole words, and of prefixes without the most toxic word of each: one word says nothing about others."""
     top = F.least(F.length("word"), F.lit(LONGEST))
     prefixes = F.when(top >= SHORTEST, F.transform(F.sequence(F.lit(SHORTEST), top), lambda k: F.substring("word", F.lit(1), k)))
     shared = (
-        words.select(F.explode(prefixes).alias("feature"), "toxic", "clean")
-        .groupBy("feature")
+        words.select("lex", F.explode(prefixes).alias("feature"), "toxic", "clean")
+        .groupBy("lex", "feature")
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.max(F.struct("toxic", "clean")).alias("top"))
-        .select("feature", (F.col("toxic") - F.col("top.toxic")).alias("toxic"), (F.col("clean") - F.col("top.clean")).alias("clean"))
+        .select("lex", "feature", (F.col("toxic") - F.col("top.toxic")).alias("toxic"), (F.col("clean") - F.col("top.clean")).alias("clean"))
     )
-    return words.select(F.concat("word", F.lit(".")).alias("feature"), "toxic", "clean").unionByName(shared)
+    return words.select("lex", F.concat("word", F.lit(".")).alias("feature"), "toxic", "clean").unionByName(shared)
 
 
 def judged_column(spark: SparkSession, model: Model, text: Column) -> Column:
