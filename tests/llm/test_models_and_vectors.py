@@ -1,9 +1,12 @@
 """Classifiers by held-out accuracy, embeddings and the pipeline against plain Python."""
 
+import math
+import random
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -49,6 +52,93 @@ def test_classifiers_take_odd_tables(spark, documents, classify, column):
     assert classify(documents.limit(0), labels).count() == 0
 
 
+def plain_toxicity(rows):
+    """The toxicity model done over in plain Python: (lexicon, lambda, K, statistics and weights of the training rows)."""
+    m = toxic_segments
+    train = [(t, y, (xxhash.xxh64(t.encode(), seed=42).intdigest() ^ 1 << 63) - (1 << 63)) for i, t, y in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    train = [(t, y, h % m.PARTS) for t, y, h in train]
+
+    def learn(texts):
+        totals = [sum(y == c for _, y in texts) for c in (0, 1)]
+        words = {}
+        for t, y in texts:
+            for w in set(m.TOKEN.findall(t.lower())):
+                words.setdefault(w, [0, 0])[y] += 1
+        counts = {w + ".": tuple(c) for w, c in words.items()}
+        for k in range(m.SHORTEST, m.LONGEST + 1):
+            for prefix in {w[:k] for w in words if len(w) >= k}:
+                those = sorted((c[1], c[0]) for w, c in words.items() if w.startswith(prefix))[:-1]
+                counts[prefix] = (sum(c for _, c in those), sum(t for t, _ in those))
+        p, even, known = (totals[1] + 0.5) / (sum(totals) + 1), {"": 0.5}, {}
+        weigh = lambda c, p: sum(x * math.log(x / (sum(c) * q)) for x, q in zip(c, (1 - p, p), strict=True) if x)
+        for f in sorted(counts, key=lambda f: (f.endswith("."), len(f))):
+            c = counts[f]
+            if not sum(c) or weigh(c, p) < m.ERRORS**2 / 4:
+                continue
+            word = f.rstrip(".")
+            up = next(word[:k] for k in range(min(m.LONGEST, len(word)) - (not f.endswith(".")), -1, -1) if k == 0 or word[:k] in even and word[:k] != f)
+            a, b = (x * min(totals) / n for x, n in zip(c, totals, strict=True))
+            q = min(max((b + m.PRIOR * even[up]) / (a + b + m.PRIOR), m.LEAST_SHARE), 1 - m.LEAST_SHARE)
+            if not f.endswith("."):
+                even[f] = q
+            share = totals[1] / sum(totals)
+            if 2 * weigh(c, share) >= m.ERRORS**2 and (q > 0.5 and c[1] > sum(c) * share and c[1] >= m.LEAST_TEXTS or q < 0.5 and c[1] <= sum(c) * share):
+                known[f] = math.log(q / (1 - q)) + m.BACKGROUND
+        return known
+
+    def scored(text, known):
+        out = []
+        for w in m.TOKEN.findall(text.lower()):
+            at = [w + "."] + [w[:k] for k in range(min(m.LONGEST, len(w)), m.SHORTEST - 1, -1)]
+            out.append(next((known[f] for f in at if f in known), m.BACKGROUND))
+        return out
+
+    final = learn([(t, y) for t, y, _ in train])
+    parts = [learn([(t, y) for t, y, q in train if q != part]) for part in range(m.PARTS)]
+    scores = [scored(t, parts[part]) for t, _, part in train]
+    clean = [s for s, (_, y, _) in zip(scores, train, strict=True) if y == 0]
+    values = [v for s in clean for v in s] + list(set(final.values()))
+    low, high = 1e-6, 50.0
+    for _ in range(80):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(math.exp(min(600, mid * v)) for v in values) < len(values) else (low, mid)
+    best = lambda s: max((x for *_, x in m.segments(np.array(s))), default=0.0)
+    k = len(clean) / sum(len(s) * math.exp(-low * best(s)) for s in clean)
+
+    def statistic(s):
+        over = [math.log(m.SIGNIFICANT / (k * len(s))) + low * x for *_, x in m.segments(np.array(s))]
+        return math.sqrt(sum(o for o in over if o > 0))
+
+    return final, low, k, [(statistic(s), y) for s, (_, y, _) in zip(scores, train, strict=True)], lambda t: statistic(scored(t, final))
+
+
+def test_toxicity_equals_a_plain_version(spark):
+    rng = random.Random(6)
+    mild, vile = [f"mild{i:02d}word" for i in range(60)], ["vilesome", "vilest", "grimly", "grimmer", "foulness"]
+    rows = []
+    for i in range(420):
+        words = [rng.choice(mild) for _ in range(rng.randrange(15, 50))]
+        y = int(i % 4 == 0)
+        if y:
+            at = rng.randrange(len(words))
+            words[at:at] = [rng.choice(vile) for _ in range(rng.randrange(2, 6))]
+        else:
+            words += ["pleasantly"] * (i % 3) + (["vilest"] if i % 50 == 1 else [])
+        rows.append((i, " ".join(words), y))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    final, rate, k, fitted, statistic = plain_toxicity(rows)
+    assert min(final.values()) < toxic_segments.BACKGROUND < 0 < max(final.values())
+    model = toxic_segments.fit(docs, labels, "toxic", "doc_id", "text", 4, 2)
+    assert model.lexicon == pytest.approx(final) and (model.rate, model.scale) == pytest.approx((rate, k))
+    p = [1 / (1 + math.exp(-model.slope * x - model.offset)) for x, _ in fitted]
+    # the logistic is where its slightly shrunk likelihood has no slope; the sample holds all rows, so they weigh the same
+    assert sum((y - q) * x for q, (x, y) in zip(p, fitted, strict=True)) == pytest.approx(1e-3 * model.slope, abs=1e-5)
+    assert sum(y - q for q, (_, y) in zip(p, fitted, strict=True)) == pytest.approx(1e-3 * model.offset, abs=1e-5)
+    for r in toxic_segments.classify(docs, labels).collect():
+        assert r.score == pytest.approx(1 / (1 + math.exp(-model.slope * statistic(r.text) - model.offset)))
+
+
 def test_segments_equal_brute_force():
     """Repeatedly take the best segment out and go on to both sides (Ruzzo and Tompa's definition)."""
 
