@@ -65,6 +65,13 @@ def test_near_pairs_are_all_and_once(spark, monkeypatch, block):
     assert len(wanted) > 300 and len(got) == len(set(got)) and set(got) == wanted
 
 
+def test_a_rare_gram_at_two_places_in_a_row_gives_a_pair_once(spark):
+    words = [f"{a}mnqqrs{b}" for a in "abcdefgh" for b in "tuvwx"] + ["amnqqqqrst", "aumnqqqqrst"]
+    found = spelling_variants.near_pairs(spark.createDataFrame([(w,) for w in words], "word string")).collect()
+    got = sorted(tuple(sorted(r)) for r in found)
+    assert got == sorted((a, b) for a in words for b in words if a < b and abs(len(a) - len(b)) < 2 and near(a, b))
+
+
 def test_variants_equal_brute_force(spark, documents):
     rng = random.Random(5)
     words = words_near_each_other(rng, 40)

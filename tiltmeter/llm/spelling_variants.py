@@ -88,7 +88,8 @@ def _indexed(words: DataFrame, frequency: dict[str, int]) -> DataFrame:
                 rare, size = rarest(word, frequency, Q + 1), len(word)
                 keys = "\t".join(f"{g}{at}" for g, at in rare)
                 out += [(f"{size}{g}{at}", word, keys, True) for g, at in rare]
-                out += [(f"{size + 1}{g}{at + d}", word, keys, False) for g, at in rare[:Q] for d in (0, 1)]
+                # A gram that stands at two places in a row, one shifted, the other not, names the same cell twice.
+                out += [(cell, word, keys, False) for cell in {f"{size + 1}{g}{at + d}" for g, at in rare[:Q] for d in (0, 1)}]
             yield pd.DataFrame(out, columns=["cell", "word", "keys", "long"])
 
     return words.select("word").mapInPandas(rows, "cell string, word string, keys string, long boolean")
