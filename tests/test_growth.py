@@ -9,6 +9,7 @@ from tiltmeter import queries as Q
 from tiltmeter.operators import cells as K
 from tiltmeter.operators import inference as I
 from tiltmeter.operators.prompts import parse_verdict
+from tiltmeter.sources import appends
 from tiltmeter.sources import bridge as B
 
 
@@ -45,3 +46,11 @@ def test_draws_over_several_spans_equal_a_loop(spark):
         for slot in range(k):
             drawn[r] += int(int(hashlib.md5(f"5|s|j|a|{r}|{slot}".encode()).hexdigest()[:13], 16) / 2**52 * k)
     assert got == {r: (drawn[r], drawn[r] / 8) for r in range(2)}
+
+
+def test_logs_are_written_compressed(spark, tmp_path):
+    log = str(tmp_path / "log")
+    appends.append(spark.createDataFrame([("k", "A")], "key string, verdict string"), log)
+    written = [f for f in (tmp_path / "log").glob("data-*/part-*")]
+    assert written and all(f.name.endswith(".json.gz") for f in written)
+    assert spark.read.json(str(written[0])).count() == 1

@@ -35,7 +35,7 @@ def is_committed(spark: SparkSession, log: str, tag: str) -> bool:
 
 
 def append(rows: DataFrame, log: str, tag: str = "") -> int:
-    """Add ``rows`` as JSON lines in one append, and give its number; a ``tag`` that was committed before adds nothing (-1).
+    """Add ``rows`` as compressed JSON lines in one append, and give its number; a ``tag`` that was committed before adds nothing (-1).
 
     Readers see the rows of a task when it commits; their number follows when all have.
     """
@@ -43,7 +43,7 @@ def append(rows: DataFrame, log: str, tag: str = "") -> int:
     if tag and is_committed(spark, log, tag):
         return -1
     part = f"data-{uuid.uuid4().hex}"
-    rows.write.json(f"{log}/{part}")
+    rows.write.json(f"{log}/{part}", compression="gzip")
     own = [f"{part}/{n}" for n in files.names(f"{log}/{part}")]
     taken = files.names(f"{log}/{COMMITS}")
     number = int(taken[-1].partition(".")[0]) + 1 if taken else 0
