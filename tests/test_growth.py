@@ -9,7 +9,7 @@ from tiltmeter import queries as Q
 from tiltmeter.operators import cells as K
 from tiltmeter.operators import inference as I
 from tiltmeter.operators.prompts import parse_verdict
-from tiltmeter.operators.trials import trial_key
+from tiltmeter.operators.trials import key_counts, trial_key
 from tiltmeter.sources import appends
 from tiltmeter.sources import bridge as B
 
@@ -37,6 +37,14 @@ def test_grid_is_exploded_from_numbers_and_keeps_its_verdicts(spark, sf_dir):
     assert both.where("verdict is distinct from wanted").count() == 0 and both.count() == grid.count() > 0
 
 
+def test_grid_counts_make_no_texts_and_shuffle_no_keys(spark, sf_dir):
+    told = plan(Q.QUERIES["trial_grid_counts"](spark, sf_dir)).replace(" ", "")
+    assert "regexp_replace" not in told and told.count("Exchangehashpartitioning") == 2
+    rows = [("d1", "a", "x"), ("d1", "a", "x"), ("d1", "a", "y"), ("d2", "a", "z"), ("d2", "b", "z")]
+    counted = key_counts(spark.createDataFrame(rows, "item_id string, axis string, key string"), ["axis"])
+    assert {(r.axis, r.n, r["keys"]) for r in counted.collect()} == {("a", 4, 3), ("b", 1, 1)}
+
+
 def test_quality_and_first_by_key_read_once(spark, sf_dir):
     assert plan(Q.QUERIES["quality_metrics"](spark, sf_dir)).count("Scan parquet") == 1
     assert plan(Q.QUERIES["dedup_first_by_key"](spark, sf_dir)).count("Scan parquet") == 1
