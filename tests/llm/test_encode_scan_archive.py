@@ -38,6 +38,19 @@ def test_coder_equals_the_library(library, coder):
         assert coder.encode_decode(text)[2] == library.decode(ids) == coder.decode(ids), text
 
 
+def test_only_altered_texts_are_kept_beside_their_ids(library, monkeypatch):
+    monkeypatch.setattr(prefix_bpe, "CACHE_CHUNKS", 3)
+    coder = prefix_bpe.PrefixCoder(prefix_bpe.read_vocabulary(MODEL))
+    for text in ("one two  three", "four five six seven", "\u00e9\u2603 \U0001f600 x\u2581y", "  a\n b "):
+        ids = library.encode(text)
+        assert coder.encode_decode(text) == (",".join(map(str, ids)), len(ids), library.decode(ids))
+    assert not coder.odd and not coder.altered
+    for _ in range(2):  # half a pair of surrogates has no UTF-8, so it is written as a question mark
+        for k in range(6):
+            assert coder.encode_decode(f"z{k} q\ud800r{k} one")[2] == f"z{k} q?r{k} one"
+    assert coder.encode_decode("one two")[2] == "one two" and coder.altered and len(coder.odd) <= 4
+
+
 def test_encode_documents(spark, documents, library):
     got = prefix_bpe.encode_documents(documents, MODEL).select("text", "ids", "n_tokens", "decoded", "score").collect()
     assert len(got) == documents.count()

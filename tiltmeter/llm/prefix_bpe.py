@@ -34,7 +34,7 @@ SPACE = "▁"
 NO_RANK = float("inf")
 #: Encoded chunks and rows of prefix tables that a Python worker remembers (twice as many chunks, of the last two
 #: generations), and the length of the longest such chunk.
-CACHE_CHUNKS, CACHE_ROWS, CACHE_CHARS = 30_000, 120_000, 60
+CACHE_CHUNKS, CACHE_ROWS, CACHE_CHARS = 60_000, 120_000, 60
 #: Encoded rows that a Python worker hands on at once.
 OUT_ROWS = 250
 
@@ -96,8 +96,9 @@ class PrefixCoder:
         self.rows: dict[tuple, _Row] = {}
         self.merge_rank = {p: rank[p] for p in self.split}
         self.tokens: dict[str, tuple[str, str, int]] = {}
-        self.ids_of, self.text_of = _Memory(self._learn), _Memory(self._learn)
-        self.word_ids, self.word_text = _Memory(self._learn_word), _Memory(self._learn_word)
+        self.altered = False  # whether any token met so far decodes to something else than its piece
+        self.ids_of, self.word_ids = _Memory(self._learn), _Memory(self._learn_word)
+        self.odd: dict[str, str] = {}  # decoded texts of remembered chunks that are not the chunk again
         assert not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.pieces)
         self.chunks = re.compile(self._chunk_pattern())
         self.long = re.compile(f"(?s:.{{{CACHE_CHARS}}})").match
@@ -174,6 +175,7 @@ class PrefixCoder:
             i = self.pieces.get(piece)
             ids = [i] if i is not None else [self.bytes[b] for b in piece.encode("utf-8", "replace")]
             got = self.tokens[piece] = (",".join([self.id_name[i] for i in ids]), self.decoded(ids), len(piece))
+            self.altered |= got[1] != piece.replace(SPACE, " ")
         return got
 
     def coded(self, chunk: str) -> tuple[str, str]:
@@ -184,23 +186,28 @@ class PrefixCoder:
             for memory in (self.rows, self.endings, self.fits, self.tokens):
                 memory.clear()
         table = list(accumulate(chunk, getitem, initial=self.first))
-        ids, texts, at = [], [], len(chunk)
+        ids, at = [], len(chunk)
+        if self.altered:
+            texts, end = [], at
+            while end:
+                _, text, size = table[end].token
+                texts.append(text)
+                end -= size
+            decoded = "".join(texts[::-1])
+        else:
+            decoded = chunk.replace(SPACE, " ")
         while at:
-            name, text, size = table[at].token
-            ids.append(name)
-            texts.append(text)
-            at -= size
+            row = table[at]
+            ids.append(row.name)
+            at -= row.size
         if chunk.startswith(SPACE + SPACE):
             single, blanks = self.token(SPACE)[0], 0
             while ids and ids[-1] == single:
                 ids.pop()
-                texts.pop()
                 blanks += 1
-            for piece in reversed(self.blanks(blanks)):
-                name, text, _ = self.token(piece)
-                ids.append(name)
-                texts.append(text)
-        return ",".join(ids[::-1]), "".join(texts[::-1])
+            ids += [self.token(piece)[0] for piece in reversed(self.blanks(blanks))]
+        ids.reverse()
+        return ",".join(ids), decoded
 
     def blanks(self, n: int) -> list[str]:
         """Pieces of ``n`` separate white-space symbols: the leftmost merge first, all of one rank or by rank."""
@@ -240,30 +247,42 @@ class PrefixCoder:
             out.append(_lenient(bytes(raw)))
         return "".join(out)
 
+    def _coded_once(self, chunk: str) -> str:
+        ids, decoded = self.coded(chunk)
+        if decoded != chunk.replace(SPACE, " "):
+            self.odd[chunk] = decoded
+        return ids
+
     def _learn(self, chunk: str) -> None:
-        self.ids_of[chunk], self.text_of[chunk] = self.coded(chunk)
+        self.ids_of[chunk] = self._coded_once(chunk)
 
     def _learn_word(self, word: str) -> None:
         """A word is what stands between single spaces; it is encoded with the space before it."""
-        self.word_ids[word], self.word_text[word] = self.coded(SPACE + word)
+        self.word_ids[word] = self._coded_once(SPACE + word)
 
     def encode_decode(self, text: str | None) -> tuple[str, int, str]:
         """Ids joined by commas, their number, and the decoded text (dummy prefix added and taken away)."""
         if not text:
             return "", 0, ""
         text = text.replace(SPACE, " ")
-        for memory in (self.word_ids, self.word_text, self.ids_of, self.text_of):
+        if len(self.odd) > CACHE_CHUNKS:  # a remembered chunk that is odd stays known as such
+            for memory in (self.word_ids, self.ids_of):
+                memory.age()
+                memory.older = {}
+            self.odd.clear()
+        for memory in (self.word_ids, self.ids_of):
             if len(memory) > CACHE_CHUNKS:
                 memory.age()
-        if "  " in text or text[0] == " " or text[-1] == " ":
-            of_ids, of_text, parts = self.ids_of, self.text_of, self.chunks.findall(SPACE + text.replace(" ", SPACE))
+        if words := not ("  " in text or text[0] == " " or text[-1] == " "):
+            of_ids, parts = self.word_ids, text.split(" ")
         else:
-            of_ids, of_text, parts = self.word_ids, self.word_text, text.split(" ")
-        ids = ",".join(map(of_ids.__getitem__, parts))
-        decoded = "".join(map(of_text.__getitem__, parts))[1:]
+            of_ids, parts = self.ids_of, self.chunks.findall(SPACE + text.replace(" ", SPACE))
+        ids, decoded = ",".join(map(of_ids.__getitem__, parts)), text
+        if self.odd:
+            chunks = [SPACE + p for p in parts] if words else parts
+            decoded = "".join([self.odd.get(c, c.replace(SPACE, " ")) for c in chunks])[1:]
         for part in filter(self.long, parts):  # not worth its memory
             of_ids.pop(part, None)
-            of_text.pop(part, None)
         return ids, ids.count(",") + 1, decoded
 
     def encode(self, text: str | None) -> list[int]:
@@ -315,11 +334,12 @@ class _Memory(dict):
 class _Row(dict):
     """A row of the prefix table, by character the rows that can follow it."""
 
-    __slots__ = ("coder", "state", "lasts", "token")
+    __slots__ = ("coder", "state", "lasts", "token", "name", "size")
 
     def __init__(self, coder: PrefixCoder, state: str, lasts: tuple[str, ...]):
         super().__init__()
         self.coder, self.state, self.lasts, self.token = coder, state, lasts, coder.token(lasts[-1])
+        self.name, _, self.size = self.token
 
     def __missing__(self, char: str) -> _Row:
         found = self[char] = self.coder._next_row(self, char)
