@@ -51,6 +51,26 @@ def test_only_altered_texts_are_kept_beside_their_ids(library, monkeypatch):
     assert coder.encode_decode("one two")[2] == "one two" and coder.altered and len(coder.odd) <= 4
 
 
+def test_words_of_a_batch_are_encoded_side_by_side(library, monkeypatch):
+    rng = random.Random(8)
+    syllables = ["tion", "the", "er", "ü", "é", "ing", "sch", "aa", "0", "中", ".\n", "$$$", "X", "☃"]
+    words = ["".join(rng.choice(syllables) for _ in range(rng.randrange(1, 9))) for _ in range(4000)]
+    texts = [" ".join(words[k : k + 40]) for k in range(0, 4000, 40)] + [None, "", *strange_texts(500)]
+    want = [(",".join(map(str, ids)), len(ids), library.decode(ids) if ids else "") for ids in (library.encode(t or "") for t in texts)]
+    monkeypatch.setattr(prefix_bpe, "OUT_CHARS", 3000)
+    for chunks, pairs in ((60_000, 500_000), (50, 300)):  # the second forgets all the time
+        monkeypatch.setattr(prefix_bpe, "CACHE_CHUNKS", chunks)
+        monkeypatch.setattr(prefix_bpe, "CACHE_PAIRS", pairs)
+        coder = prefix_bpe.PrefixCoder(prefix_bpe.read_vocabulary(MODEL))
+        parts = list(prefix_bpe._in_parts(texts))
+        assert [t for part in parts for t in part] == texts and len(parts) > 10
+        assert [got for part in parts[:8] for got in coder.encode_decode_all(part)] == want[: sum(map(len, parts[:8]))]
+        assert not coder.rows  # no row of a table was made for one word alone
+        assert [got for part in parts for got in coder.encode_decode_all(part)] == want
+    assert coder.encode_decode_all(["q\ud800r one", "one two"]) == [coder.encode_decode("q\ud800r one"), coder.encode_decode("one two")]
+    assert coder.altered and coder.encode_decode("q\ud800r one")[2] == "q?r one"
+
+
 def test_encode_documents(spark, documents, library):
     got = prefix_bpe.encode_documents(documents, MODEL).select("text", "ids", "n_tokens", "decoded", "score").collect()
     assert len(got) == documents.count()

@@ -19,10 +19,11 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
-from itertools import accumulate
+from collections.abc import Callable, Iterator
+from itertools import accumulate, filterfalse
 from operator import getitem
 
+import numpy as np
 import pandas as pd
 import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,8 +36,12 @@ NO_RANK = float("inf")
 #: Encoded chunks and rows of prefix tables that a Python worker remembers (twice as many chunks, of the last two
 #: generations), and the length of the longest such chunk.
 CACHE_CHUNKS, CACHE_ROWS, CACHE_CHARS = 60_000, 120_000, 60
-#: Encoded rows that a Python worker hands on at once.
-OUT_ROWS = 250
+#: Pairs of tokens whose border a Python worker knows, and as many steps of the automaton, for chunks side by side.
+CACHE_PAIRS = 500_000
+#: An odd number that spreads keys over a table.
+SPREAD = 0x1E3779B97F4A7C15
+#: Encoded rows that a Python worker hands on at once, and characters in which no further row is begun.
+OUT_ROWS, OUT_CHARS = 250, 1_000_000
 
 
 def read_vocabulary(model_path: str) -> dict:
@@ -101,7 +106,8 @@ class PrefixCoder:
         self.odd: dict[str, str] = {}  # decoded texts of remembered chunks that are not the chunk again
         assert not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.pieces)
         self.chunks = re.compile(self._chunk_pattern())
-        self.long = re.compile(f"(?s:.{{{CACHE_CHARS}}})").match
+        self.passing: list[tuple[_Memory, str]] = []  # chunks too long to be worth their memory
+        self.side = _SideBySide(self)
         self.from_id = {i: p for p, i in self.pieces.items()}
         self.id_text = {i: p.replace(SPACE, " ") for i, p in self.from_id.items()}
         self.id_name = {i: str(i) for i in (*self.from_id, *self.bytes.values())}
@@ -140,16 +146,19 @@ class PrefixCoder:
             else:
                 before_b, b = rb, split[b][0]
 
+    def ending(self, seen: str) -> tuple[str, list[tuple[int, str]]]:
+        """The longest end of ``seen`` that a piece may continue; starts and pieces that end there, the longest first."""
+        state = seen
+        while state not in self.begins:
+            state = state[1:]
+        return state, [(k, seen[k:]) for k in range(len(seen) - 1) if seen[k:] in self.split]
+
     def _next_row(self, row: _Row, char: str) -> _Row:
         """The row after ``char``: the longest end of the text that a piece may continue, and the last token."""
         seen = row.state + char
         got = self.endings.get(seen)
         if got is None:
-            state = seen
-            while state not in self.begins:
-                state = state[1:]
-            pieces = [(k, seen[k:]) for k in range(len(seen) - 1) if seen[k:] in self.split]
-            got = self.endings[seen] = (state, pieces)
+            got = self.endings[seen] = self.ending(seen)
         state, pieces = got
         last = char
         for k, piece in pieces:  # the longest first
@@ -255,16 +264,49 @@ class PrefixCoder:
 
     def _learn(self, chunk: str) -> None:
         self.ids_of[chunk] = self._coded_once(chunk)
+        if len(chunk) >= CACHE_CHARS:
+            self.passing.append((self.ids_of, chunk))
 
     def _learn_word(self, word: str) -> None:
         """A word is what stands between single spaces; it is encoded with the space before it."""
         self.word_ids[word] = self._coded_once(SPACE + word)
+        if len(word) >= CACHE_CHARS:
+            self.passing.append((self.word_ids, word))
+
+    def _parts(self, text: str) -> tuple[bool, list[str]]:
+        """Whether a text is words between single spaces; and these words, or else its chunks."""
+        if "  " in text or text[0] == " " or text[-1] == " ":
+            return False, self.chunks.findall(SPACE + text.replace(" ", SPACE))
+        return True, text.split(" ")
+
+    def _learn_all(self, memory: _Memory, parts: set[str], before: str) -> None:
+        """Remember those parts that can be encoded side by side; the others are learned when they are asked for."""
+        if self.altered:  # decoded texts are kept as well, one by one
+            return
+        new = filterfalse(memory.older.__contains__, filterfalse(memory.__contains__, parts))
+        new = [p for p in new if len(p) < CACHE_CHARS and not p.startswith(SPACE + SPACE)]
+        ids = self.side.coded([before + p for p in new])
+        if not self.altered:
+            memory.update(zip(new, ids, strict=True))
+
+    def encode_decode_all(self, texts: list[str | None]) -> list[tuple[str, int, str]]:
+        """What ``encode_decode`` gives for each text."""
+        texts = [t.replace(SPACE, " ") if t else "" for t in texts]
+        self._forget()
+        split = [self._parts(t) if t else (True, []) for t in texts]
+        self._learn_all(self.word_ids, set().union(*[parts for words, parts in split if words]), SPACE)
+        self._learn_all(self.ids_of, set().union(*[parts for words, parts in split if not words]), "")
+        return [self._put_together(t, *s) for t, s in zip(texts, split, strict=True)]
 
     def encode_decode(self, text: str | None) -> tuple[str, int, str]:
         """Ids joined by commas, their number, and the decoded text (dummy prefix added and taken away)."""
         if not text:
             return "", 0, ""
         text = text.replace(SPACE, " ")
+        self._forget()
+        return self._put_together(text, *self._parts(text))
+
+    def _forget(self) -> None:
         if len(self.odd) > CACHE_CHUNKS:  # a remembered chunk that is odd stays known as such
             for memory in (self.word_ids, self.ids_of):
                 memory.age()
@@ -273,16 +315,18 @@ class PrefixCoder:
         for memory in (self.word_ids, self.ids_of):
             if len(memory) > CACHE_CHUNKS:
                 memory.age()
-        if words := not ("  " in text or text[0] == " " or text[-1] == " "):
-            of_ids, parts = self.word_ids, text.split(" ")
-        else:
-            of_ids, parts = self.ids_of, self.chunks.findall(SPACE + text.replace(" ", SPACE))
+
+    def _put_together(self, text: str, words: bool, parts: list[str]) -> tuple[str, int, str]:
+        if not parts:
+            return "", 0, ""
+        of_ids = self.word_ids if words else self.ids_of
         ids, decoded = ",".join(map(of_ids.__getitem__, parts)), text
         if self.odd:
             chunks = [SPACE + p for p in parts] if words else parts
             decoded = "".join([self.odd.get(c, c.replace(SPACE, " ")) for c in chunks])[1:]
-        for part in filter(self.long, parts):  # not worth its memory
-            of_ids.pop(part, None)
+        for memory, part in self.passing:
+            memory.pop(part, None)
+        self.passing.clear()
         return ids, ids.count(",") + 1, decoded
 
     def encode(self, text: str | None) -> list[int]:
@@ -312,6 +356,145 @@ def _lenient(raw: bytes) -> str:
     return "".join(out)
 
 
+class _Numbers:
+    """Numbers for whole keys, looked up many at a time in an open table; ``make`` gives the number of a new key."""
+
+    def __init__(self, make: Callable[[int], int]):
+        self.make, self.many = make, 0
+        self.keys, self.values = np.full(4096, -1), np.zeros(4096, np.int64)
+
+    def _slots(self, wanted: np.ndarray) -> np.ndarray:
+        """The slot of each key, or the free slot at which the search for it ends."""
+        mask = len(self.keys) - 1
+        slots = wanted * SPREAD >> 32 & mask
+        found = self.keys[slots]
+        left = np.flatnonzero((found != wanted) & (found >= 0))
+        while len(left):
+            slots[left] = slots[left] + 1 & mask
+            found = self.keys[slots[left]]
+            left = left[(found != wanted[left]) & (found >= 0)]
+        return slots
+
+    def __call__(self, wanted: np.ndarray) -> np.ndarray:
+        slots = self._slots(wanted)
+        lacking = self.keys[slots] != wanted
+        if lacking.any():
+            self._add(np.unique(wanted[lacking]))
+            slots = self._slots(wanted)
+        return self.values[slots]
+
+    def _add(self, new: np.ndarray) -> None:
+        made = [self.make(k) for k in new.tolist()]
+        self.many += len(new)
+        if 2 * self.many > len(self.keys):
+            held = self.keys >= 0
+            old, room = (self.keys[held], self.values[held]), 1 << (4 * self.many).bit_length()
+            self.keys, self.values = np.full(room, -1), np.zeros(room, np.int64)
+            self._put(*old)
+        self._put(new, np.array(made, np.int64))
+
+    def _put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        while len(keys):  # of keys that end at one free slot, one gets it
+            slots = self._slots(keys)
+            self.keys[slots] = keys
+            placed = self.keys[slots] == keys
+            self.values[slots[placed]] = values[placed]
+            keys, values = keys[~placed], values[~placed]
+
+
+class _SideBySide:
+    """Prefix tables of many short chunks at once, as an array with a row for each place and a column for each chunk."""
+
+    def __init__(self, coder: PrefixCoder):
+        self.coder = coder
+        self._clear()
+
+    def _clear(self) -> None:
+        self.coder.tokens.clear()
+        self.texts, self.names, self.sizes = [""], [""], [0]  # by token; 0 is the start of a chunk
+        self.numbers = {"": 0}
+        self.states, self.state_numbers = [""], {"": 0}
+        self.ends, self.ends_used = np.zeros(4096, np.int64), 0  # pieces that end at each step, the longest first, and their sizes
+        self.char = _Numbers(lambda c: self._token(chr(c)))
+        self.step = _Numbers(self._make_step)
+        self.fit = _Numbers(lambda pair: int(not pair >> 32 or self.coder.compatible(self.texts[pair >> 32], self.texts[pair & 0xFFFFFFFF])))
+
+    def _token(self, piece: str) -> int:
+        got = self.numbers.get(piece)
+        if got is None:
+            got = self.numbers[piece] = len(self.texts)
+            name, _, size = self.coder.token(piece)
+            self.texts.append(piece)
+            self.names.append(name)
+            self.sizes.append(size)
+        return got
+
+    def _make_step(self, key: int) -> int:
+        state, pieces = self.coder.ending(self.states[key >> 21] + chr(key & 0x1FFFFF))
+        number = self.state_numbers.setdefault(state, len(self.states))
+        if number == len(self.states):
+            self.states.append(state)
+        begin, self.ends_used = self.ends_used, self.ends_used + len(pieces)
+        if self.ends_used > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.ends[begin : self.ends_used] = [self._token(piece) << 16 | len(piece) for _, piece in pieces]
+        return number << 42 | begin << 10 | len(pieces)
+
+    def coded(self, chunks: list[str]) -> list[str]:
+        """Ids joined by commas of each chunk; none starts with two spaces."""
+        if not chunks:
+            return []
+        if max(self.fit.many, self.step.many) > CACHE_PAIRS:
+            self._clear()
+        sizes = np.array([len(c) for c in chunks])
+        order = np.argsort(-sizes, kind="stable")  # chunks that reach a place stand before those that don't
+        sizes, width = sizes[order], len(chunks)
+        text = np.frombuffer("".join([chunks[i] for i in order.tolist()]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        first = np.cumsum(sizes) - sizes
+        char = self.char(text)
+        table = np.zeros((int(sizes[0]) + 1, width), np.int64)
+        state = np.zeros(width, np.int64)
+        reach = np.searchsorted(-sizes, -np.arange(int(sizes[0])), side="left")
+        for place, n in enumerate(reach.tolist(), 1):
+            at = first[:n] + place - 1
+            step = self.step(state[:n] << 21 | text[at])
+            state[:n] = step >> 42
+            last = char[at]
+            left = np.flatnonzero(step & 1023)
+            begin, many, k = step[left] >> 10 & 0xFFFFFFFF, step[left] & 1023, 0
+            while len(left):
+                piece = self.ends[begin + k]
+                fits = self.fit(table[place - (piece & 0xFFFF), left] << 32 | piece >> 16) > 0
+                last[left[fits]] = piece[fits] >> 16
+                k += 1
+                more = ~fits & (many > k)
+                left, begin, many = left[more], begin[more], many[more]
+            table[place, :n] = last
+        return self._read_off(table, sizes, order)
+
+    def _read_off(self, table: np.ndarray, at: np.ndarray, order: np.ndarray) -> list[str]:
+        """Ids joined by commas, read backwards off the columns, which belong to the chunks of ``order``."""
+        size, width = np.array(self.sizes), np.array([len(n) + 1 for n in self.names])
+        left, found = np.arange(len(order)), []
+        while len(left):
+            token = table[at[left], left]
+            found.append((left, token))
+            at[left] -= size[token]
+            left = left[at[left] > 0]
+        many = np.zeros(len(order), np.int64)
+        for left, _ in found:
+            many[left] += 1
+        ends = np.cumsum(many)
+        tokens = np.empty(ends[-1], np.int64)
+        for k, (left, token) in enumerate(found, 1):
+            tokens[ends[left] - k] = token
+        names = ",".join(map(self.names.__getitem__, tokens.tolist()))
+        places = np.concatenate([[0], np.cumsum(width[tokens])])
+        back = np.argsort(order)
+        starts, stops = places[ends - many][back], places[ends][back] - 1
+        return [names[a:b] for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
+
+
 class _Memory(dict):
     """A dict that asks for what it lacks, and drops what it has not used for a generation."""
 
@@ -346,6 +529,19 @@ class _Row(dict):
         return found
 
 
+def _in_parts(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """The texts in order, in parts of ``OUT_ROWS``, or of fewer once they have ``OUT_CHARS`` characters."""
+    part, chars = [], 0
+    for text in texts:
+        part.append(text)
+        chars += len(text or "")
+        if len(part) >= OUT_ROWS or chars >= OUT_CHARS:
+            yield part
+            part, chars = [], 0
+    if part:
+        yield part
+
+
 def coded_column(spark: SparkSession, model_path: str, text: Column) -> Column:
     """A struct for each text: ``ids`` (decimal, joined by commas), ``n_tokens``, ``decoded``."""
     vocabulary = read_vocabulary(model_path)
@@ -356,9 +552,8 @@ def coded_column(spark: SparkSession, model_path: str, text: Column) -> Column:
     def code(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         coder = remembered(name, lambda: PrefixCoder(held.value))
         for texts in batches:
-            for at in range(0, len(texts), OUT_ROWS):  # ids and text are several times the input: hand them on in parts
-                done = [coder.encode_decode(t) for t in texts.iloc[at : at + OUT_ROWS]]
-                yield pd.DataFrame(done, columns=["ids", "n_tokens", "decoded"])
+            for part in _in_parts(texts.tolist()):  # ids and text are several times the input: hand them on in parts
+                yield pd.DataFrame(coder.encode_decode_all(part), columns=["ids", "n_tokens", "decoded"])
         hand_back_memory(keep=name)
 
     return code(text)
