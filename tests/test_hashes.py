@@ -41,7 +41,7 @@ def rows(spark, sf_dir, name):
     return {(r.judge_id, r.axis): r for r in QUERIES[name](spark, sf_dir).collect()}
 
 
-@pytest.mark.parametrize("name, ends", [("bootstrap_h_ci", ("ci_lo", "ci_hi"))])
+@pytest.mark.parametrize("name, ends", [("bootstrap_h_ci", ("ci_lo", "ci_hi")), ("noise_gate", ("noise_lo", "noise_hi"))])
 def test_intervals_by_item_are_as_fine_as_all_resamples(spark, sf_dir, name, ends):
     """Ends of 40 draws lie up to half a deviation off."""
     item, counted = rows(spark, sf_dir, f"{name}_by_item"), rows(spark, sf_dir, name)
