@@ -49,3 +49,10 @@ def test_intervals_by_item_are_as_fine_as_all_resamples(spark, sf_dir, name, end
         for end in ends:
             assert abs(item[key][end] - r[end]) < 0.05 * (r[ends[1]] - r[ends[0]])
     assert "range(40)" not in ORACLE[f"{name}_by_item"]
+
+
+def test_verdicts_by_item_come_from_all_signs(spark, sf_dir):
+    found = rows(spark, sf_dir, "holm_verdicts_by_item")
+    assert found["hash-biased", "verbose_cot"].p == pytest.approx(1 / (I.RESAMPLES + 1), abs=1e-9)
+    assert all(r.p * (I.RESAMPLES + 1) == pytest.approx(round(r.p * (I.RESAMPLES + 1)), abs=1e-3) for r in found.values())
+    assert "range(40)" not in ORACLE["holm_verdicts_by_item"] and "/193" not in ORACLE["holm_verdicts_by_item"]
