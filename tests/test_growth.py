@@ -72,3 +72,11 @@ def test_logs_are_written_compressed(spark, tmp_path):
     written = [f for f in (tmp_path / "log").glob("data-*/part-*")]
     assert written and all(f.name.endswith(".json.gz") for f in written)
     assert spark.read.json(str(written[0])).count() == 1
+
+
+def test_pending_trials_broadcast_no_keys(spark, sf_dir):
+    """Spark takes an exploded grid for as small as its items, so it would hand all keys to the driver."""
+    pending = Q.QUERIES["pending_trials_anti_join"](spark, sf_dir)
+    assert pending.collect()
+    final = plan(pending).partition("Initial Plan")[0]
+    assert "BroadcastExchange" not in final and "SortMergeJoin" in final
