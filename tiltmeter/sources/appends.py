@@ -55,7 +55,7 @@ def append(rows: DataFrame, log: str, tag: str = "") -> int:
 def numbered(lines: DataFrame, log: str) -> DataFrame:
     """``lines(file, written, ...)`` of a log with the number of their append; the time counts only where there is none."""
     named = commits(lines.sparkSession, log).select(F.col("append").alias("__append"), F.explode("files").alias("__name"))
-    name: Column = F.regexp_extract("file", r"([^/]+/[^/]+)$", 1)
+    name: Column = F.substring_index("file", "/", -2)
     joined = lines.withColumn("__name", name).join(named, "__name", "left")
     known = F.col("__append").isNotNull()
     return joined.withColumn("append", F.coalesce("__append", F.lit(UNNUMBERED))).withColumn(
